@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.expr import EPS, clip, db
+from ..session import written
 from .partitioning import runs
 
 KEYS = ["capture_id", "block_id"]
@@ -37,12 +38,12 @@ def threshold_mask(cell: DataFrame, floor: Column, margin_db: Column | float = 8
 
 
 def hit_frames(frames: DataFrame) -> DataFrame:
-    """Frames with at least one hit, placed by block.
+    """Frames with at least one hit, written once.
 
-    Every later step is keyed by (capture, block) or finer, so this is the only shuffle of spectra; the steps
-    that read it share one exchange and the FFT work runs once.
+    Band search, band statistics, gap levels and final evidence each read only the bin arrays they need from
+    this table, so samples are read and transformed once and no whole spectrum is shuffled.
     """
-    return frames.where(F.exists("hit", lambda h: h)).repartition(*KEYS)
+    return written(frames.where(F.exists("hit", lambda h: h)).drop("above"))
 
 
 def hit_cells(frames: DataFrame, array: str = "hit") -> DataFrame:
@@ -195,7 +196,7 @@ def merge_fragments(stats: DataFrame, joins: DataFrame) -> DataFrame:
 
 def merged_bands(frames: DataFrame, nbins: int) -> DataFrame:
     """Qualified bands with fragments joined, from frames placed by `hit_frames`."""
-    stats = band_stats(band_frames(as_parts(find_bands(frames)), frames))
+    stats = written(band_stats(band_frames(as_parts(find_bands(frames)), frames)))
     pairs = band_pairs(stats)
     return merge_fragments(stats, joinable(pairs, pair_levels(pairs, stats, frames, nbins)))
 
@@ -307,7 +308,7 @@ def detect(frames: DataFrame, rate: float, nperseg: int, hop: int, margin_db: fl
            fixed_db: float | None = None, real: bool = False, merge: bool = True) -> DataFrame:
     """Detections per (capture, block): bounds, time extent and evidence of every qualified band.
 
-    After `hit_frames` all grouping keys contain (capture, block): the whole chain runs in place.
+    All grouping keys contain (capture, block): band slices are shuffled once and the chain then runs in place.
     """
     nb = nperseg // 2 + 1 if real else nperseg
     step = rate / nperseg

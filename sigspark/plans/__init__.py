@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["q_spectra"]
+MODULES = ["q_spectra", "q_pulses"]
 
 
 def load():

@@ -60,7 +60,7 @@ def block_psd(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events: one capture per event type, one sample per hour, power = sum(value), empty hours are 0."""
     e = table(spark, sf_dir, "events")
-    hour = F.floor((F.unix_micros("ts") - F.lit(1704067200000000)) / F.lit(3600000000))
+    hour = (F.datediff(F.to_date("ts"), F.lit("2024-01-01")) * 24 + F.hour("ts")).cast("long")
     got = e.groupBy(F.col("event_type").alias("capture_id"), hour.alias("n")).agg(F.sum("value").alias("power"))
     span = got.groupBy("capture_id").agg(F.max("n").alias("last"))
     grid = span.select("capture_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("n"))

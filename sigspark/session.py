@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,10 +31,18 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, **conf: st
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the cluster's shared folder; survives lost executors."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors see: what the cluster names in spark.checkpoint.dir, a local one in tests."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        folder = tempfile.mkdtemp(prefix="sigspark-shared-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Write once to the shared folder and read back: later readers prune columns and survive lost executors."""
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sigspark-checkpoint-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(spark)}/sigspark-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
