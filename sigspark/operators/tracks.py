@@ -146,6 +146,6 @@ def combine_spans(spans: DataFrame) -> DataFrame:
     ok = (F.col("modulation_label").isNotNull() & (F.col("_rated") == F.col("_nl"))
           & (F.col("_worst") <= 0.05 * F.col("_rate")))
     return a.join(b, keys).select(
-        *keys, "n_spans", F.round("_cf", 6).alias("center_frequency_hz"),
-        (F.round("_bw3", 6) + F.lit(0.0)).alias("bandwidth_3db_hz"), F.round("_snr", 6).alias("snr_db"), "modulation_label",
-        F.when(ok, F.round("_rate", 6)).alias("symbol_rate_hz"), F.col("_rep.i").alias("rep_idx"))
+        *keys, "n_spans", F.col("_cf").alias("center_frequency_hz"),
+        F.col("_bw3").alias("bandwidth_3db_hz"), F.col("_snr").alias("snr_db"), "modulation_label",
+        F.when(ok, F.col("_rate")).alias("symbol_rate_hz"), F.col("_rep.i").alias("rep_idx"))

@@ -317,9 +317,9 @@ _SPANRES = """SELECT candidate AS track, row_number() OVER (PARTITION BY candida
   CASE WHEN label NOT IN ('none','FM') THEN label END AS label, rate, score AS cf, usage AS bw3, residual AS snr FROM hyps"""
 
 
-@query("combine_spans", sql("""SELECT track, n_spans, round(cf,6) AS center_frequency_hz, round(bw3,6)+0.0 AS bandwidth_3db_hz, round(snr,6) AS snr_db,
+@query("combine_spans", sql("""SELECT track, n_spans, round(cf,8) AS center_frequency_hz, round(bw3,8)+0.0 AS bandwidth_3db_hz, round(snr,8)+0.0 AS snr_db,
   CASE WHEN nl=1 AND 2*labelled>=n_spans THEN l END AS modulation_label,
-  CASE WHEN nl=1 AND 2*labelled>=n_spans AND rated=labelled AND worst<=0.05*mr THEN round(mr,6) END AS symbol_rate_hz, rep_idx
+  CASE WHEN nl=1 AND 2*labelled>=n_spans AND rated=labelled AND worst<=0.05*mr THEN round(mr,8)+0.0 END AS symbol_rate_hz, rep_idx
   FROM (SELECT s.track, count(*) AS n_spans, median(cf) AS cf, median(bw3) AS bw3, median(snr) AS snr, count(DISTINCT label) AS nl, count(label) AS labelled,
     min(label) AS l, median(rate) FILTER (label IS NOT NULL) AS mr, count(rate) FILTER (label IS NOT NULL) AS rated FROM spanres s GROUP BY ALL) a
   LEFT JOIN (SELECT track, max(abs(rate-m)) AS worst FROM spanres JOIN (SELECT track, median(rate) FILTER (label IS NOT NULL) AS m FROM spanres GROUP BY 1) USING (track)
@@ -334,4 +334,5 @@ def _(spark, d):
     s = h.select(F.col("candidate").alias("track"), (F.row_number().over(w) - 1).cast("long").alias("idx"),
                  F.when(~F.col("label").isin("none", "FM"), F.col("label")).alias("label"), "rate",
                  F.col("score").alias("cf"), F.col("usage").alias("bw3"), F.col("residual").alias("snr"))
-    return TR.combine_spans(s)
+    c = TR.combine_spans(s)
+    return c.withColumns({k: r(F.col(k), 8) for k in ("center_frequency_hz", "bandwidth_3db_hz", "snr_db", "symbol_rate_hz")})

@@ -122,7 +122,7 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents x labels: a score rounded to 4 decimals, as confidences are, and its 0/1 outcome."""
     d, y = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return d.join(y, "doc_id").select(
-        "doc_id", "lang", "source", F.round(F.least(F.col("n_chars") / 20000.0, F.lit(1.0)), 4).alias("score"),
+        "doc_id", "lang", "source", F.round(F.least(F.col("n_chars") / 30000.0, F.lit(1.0)), 4).alias("score"),
         F.col("quality").alias("label"),
         F.when(F.col("doc_id") % 2 == 0, "train").otherwise("test").alias("split"))
 
@@ -274,7 +274,7 @@ CTES: dict[str, tuple[list[str], str]] = {
     "candidates": ([], """SELECT o_orderkey AS candidate, 0.02::DOUBLE AS noise_var,
         (o_totalprice%100.0::DOUBLE)/500.0+0.03 AS total_power, 2000+o_custkey%3000 AS n_samples, 20000.0::DOUBLE AS fs,
         (o_custkey%20)/20.0::DOUBLE AS inband, o_orderstatus AS gen FROM orders"""),
-    "scores": ([], """SELECT doc_id, lang, source, round(least(n_chars/20000.0::DOUBLE,1.0),4) AS score, quality AS label,
+    "scores": ([], """SELECT doc_id, lang, source, round(least(n_chars/30000.0::DOUBLE,1.0),4) AS score, quality AS label,
         CASE WHEN doc_id%2=0 THEN 'train' ELSE 'test' END AS split FROM documents JOIN labels USING (doc_id)"""),
     "score_rows": ([], f"""SELECT l_returnflag AS gen, l_orderkey, ln AS line, p_type AS kind, truth,
         CASE WHEN ln<=3 THEN CASE WHEN truth<>'noise' THEN truth END WHEN ln=4 THEN regexp_replace(truth,'\\d+$','')
