@@ -221,3 +221,38 @@ def iq_or_audio(pairs: DataFrame, keys: list[str]) -> DataFrame:
     ok = (F.least("va", "vb") >= 1e-15) & (F.col("quadrature") > 0.9) & (F.abs("correlation") < 0.2) & (bal > 0.5)
     return x.select(*keys, "correlation", "quadrature", bal.alias("balance"),
                     F.when(ok, "iq_pair_evidence").otherwise("ambiguous").alias("result"))
+
+
+def gap_tracks(blocks: DataFrame, keys: list[str], scales=(1, 2, 4, 8)) -> DataFrame:
+    """Rows (keys, scale, i[], q[]): abs(smoothed[n + w] - smoothed[n])^2 of each row's samples, mean removed."""
+    types = dict(blocks.dtypes)
+    spec = ", ".join(f"{k} {types[k]}" for k in keys) + ", scale long, i array<double>, q array<double>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in range(b.num_rows):
+                x = np.asarray(b.column("i")[row].values, float) + 1j * np.asarray(b.column("q")[row].values, float)
+                for w in scales:
+                    s = np.convolve(x, np.ones(w) / w, "same")
+                    g = np.abs(s[w:] - s[:-w]) ** 2
+                    g = g - g.mean()
+                    yield pa.RecordBatch.from_arrays(
+                        [b.column(k).slice(row, 1) for k in keys] + [pa.array([w], pa.int64()), _lists(g[None]), _lists(np.zeros((1, len(g))))],
+                        names=[*keys, "scale", "i", "q"])
+    return blocks.select(*keys, "i", "q").mapInArrow(run, spec)
+
+
+def gap_difference_proposals(blocks: DataFrame, keys: list[str], rate: float, band: tuple[float, float], nperseg: int = 256,
+                             per_scale: int = 3, tol: float = 0.02) -> DataFrame:
+    """Symbol-rate proposals: strongest in-band lines of the gap differences, deduplicated, plus half and double the first."""
+    from .measure import dedupe_tolerance, top_lines
+    step = rate / nperseg
+    kk = [*keys, "scale"]
+    s = block_spectra(gap_tracks(blocks, keys), kk, rate, nperseg, real=True)
+    z = s.select(*kk, F.posexplode("power").alias("bin", "power")).where((F.col("bin") * step >= band[0]) & (F.col("bin") * step <= band[1]))
+    t = top_lines(z, kk, lambda b: b * F.lit(step), per_scale, step)
+    g = t.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("scale", "rank", "frequency_hz"))).alias("a"))
+    first = dedupe_tolerance(F.transform("a", lambda c: c["frequency_hz"]), band[0], band[1], tol)
+    g = g.select(*keys, first.alias("p"))
+    more = dedupe_tolerance(F.array(F.get("p", F.lit(0)) / 2, F.get("p", F.lit(0)) * 2), band[0], band[1], tol)
+    return g.select(*keys, F.transform(F.concat("p", more), lambda v: F.round(v, 4)).alias("proposals"))

@@ -196,8 +196,9 @@ def consensus_rate(votes: DataFrame, keys: list[str], value: str, tol: float) ->
     """
     import math
     x = votes.where(F.col(value) > 0).withColumn("_l", F.log(value))
-    w = W.partitionBy(*keys).orderBy("_l").rangeBetween(math.log(1 - tol), math.log(1 + tol))
-    x = x.withColumn("_sup", F.count(F.lit(1)).over(w))
+    down, up = -math.log(1 - tol), math.log(1 + tol)
+    x = x.withColumn("_sup", F.expr(f"count(1) OVER (PARTITION BY {', '.join(keys)} ORDER BY _l "
+                                    f"RANGE BETWEEN {down!r}D PRECEDING AND {up!r}D FOLLOWING)"))
     best = x.groupBy(*keys).agg(F.max(F.struct("_sup", (-F.col(value)).alias("_m"))).alias("_b"), F.count(F.lit(1)).alias("n_votes"))
     best = best.select(*keys, "n_votes", F.col("_b._sup").alias("support"), (-F.col("_b._m")).alias("best"))
     near = x.join(best, keys).where(F.abs(F.col(value) - F.col("best")) / F.col("best") < tol)

@@ -12,11 +12,11 @@ BLOCK = 1 << 16
 
 
 def halo(df: DataFrame, keys: list[str], pos: str, block: int, left: int, right: int,
-         out: str = "blk") -> DataFrame:
+         out: str = "_hb") -> DataFrame:
     """Copy each row into every block whose [start - left, end + right) covers it.
 
     `core` marks the one copy that lies inside its block; windows with frames of at most left/right rows
-    over (keys, blk) are then exact on core rows.
+    over (keys, block) are then exact on core rows.
     """
     p = F.col(pos)
     first = F.floor((p - right) / block)
@@ -25,7 +25,7 @@ def halo(df: DataFrame, keys: list[str], pos: str, block: int, left: int, right:
               .withColumn("core", F.floor(p / block) == F.col(out)))
 
 
-def halo_window(keys: list[str], pos: str, out: str = "blk"):
+def halo_window(keys: list[str], pos: str, out: str = "_hb"):
     return W.partitionBy(*keys, out).orderBy(pos)
 
 

@@ -91,9 +91,9 @@ def moving_mean(df: DataFrame, keys: list[str], pos: str, value: Column, w: int,
     # mirrored copies sit outside [0, n): shift keeps block numbers non-negative
     x = x.withColumn("_p", F.col(pos) + before)
     x = halo(x, keys, "_p", block, before, after)
-    w_ = W.partitionBy(*keys, "blk").orderBy("_p").rowsBetween(-before, after)
+    w_ = W.partitionBy(*keys, "_hb").orderBy("_p").rowsBetween(-before, after)
     return (x.withColumn(out, F.avg("_value").over(w_)).where(F.col("core") & (F.col(pos) == F.col("_orig")))
-             .drop("_value", "_orig", "_p", "blk", "core"))
+             .drop("_value", "_orig", "_p", "_hb", "core"))
 
 
 def on_level(env: DataFrame, keys: list[str], value: str, w: int, noise: Column | float) -> DataFrame:
@@ -181,7 +181,7 @@ def instantaneous_frequency(samples: DataFrame, keys: list[str], rate: float, bl
     re, im = cmul(F.col("i"), F.col("q"), F.col("_pi"), -F.col("_pq"))
     x = x.withColumns({"_pi": pi, "_pq": pq, "_pn": pn})
     x = x.where(F.col("core") & (F.col("_pn") == F.col("n") - 1))
-    return x.withColumn("fi", F.atan2(im, re) * (rate / (2 * np.pi))).drop("_pi", "_pq", "_pn", "blk", "core")
+    return x.withColumn("fi", F.atan2(im, re) * (rate / (2 * np.pi))).drop("_pi", "_pq", "_pn", "_hb", "core")
 
 
 def tone_split(fi: DataFrame, packets: DataFrame, keys: list[str], block: int = 1 << 16) -> DataFrame:

@@ -208,9 +208,9 @@ def _(spark, d):
 def _dft(src, nf=49, real=False):
     """Average 32-point spectrum, hop 16, of local samples (capture_id, blk, k, i, q)."""
     bins, off, two = ("range(17)", 0, "*CASE WHEN bin BETWEEN 1 AND 15 THEN 2 ELSE 1 END") if real else ("range(32)", 16, "")
-    return f"""SELECT capture_id, blk, bin, avg(p){two} AS power FROM (SELECT capture_id, blk, f, bin, (pow(sum(w*(i*cos(a)+q*sin(a))),2)+pow(sum(w*(q*cos(a)-i*sin(a))),2))/(32000.0*12) AS p FROM (
+    return f"""SELECT capture_id, blk, bin, pw{two} AS power FROM (SELECT capture_id, blk, bin, avg(p) AS pw FROM (SELECT capture_id, blk, f, bin, (pow(sum(w*(i*cos(a)+q*sin(a))),2)+pow(sum(w*(q*cos(a)-i*sin(a))),2))/(32000.0*12) AS p FROM (
       SELECT capture_id, blk, f, bin, i, q, 0.5-0.5*cos(2*pi()*(k-16*f)/32) AS w, 2*pi()*(bin-{off})*(k-16*f)/32 AS a FROM {src}, (SELECT unnest(range({nf})) AS f), (SELECT unnest({bins}) AS bin)
-      WHERE k-16*f BETWEEN 0 AND 31) GROUP BY ALL) GROUP BY ALL"""
+      WHERE k-16*f BETWEEN 0 AND 31) GROUP BY ALL) GROUP BY ALL)"""
 
 
 _X1 = "SELECT capture_id, n//800 AS blk, n%800 AS k, i, q FROM iq"
@@ -235,7 +235,7 @@ _MAGS = "SELECT capture_id, n//800 AS blk, sqrt(i*i+q*q) AS v, i, q FROM iq"
 
 
 def _clusters(rounds, ks="[2,3,4]"):
-    ex = {"mags": _MAGS, "c0": f"""SELECT capture_id, blk, k, list_transform(range(k), lambda j: a+(b-a)*(j+0.5)/k) AS lv FROM (SELECT capture_id, blk, min(v) AS a, max(v) AS b, unnest({ks}) AS k FROM mags GROUP BY ALL)"""}
+    ex = {"mags": _MAGS, "c0": f"""SELECT capture_id, blk, k, list_transform(range(k), lambda j: a+(b-a)*(j+0.5)/k) AS lv FROM (SELECT *, unnest({ks}) AS k FROM (SELECT capture_id, blk, min(v) AS a, max(v) AS b FROM mags GROUP BY ALL))"""}
     for x in range(rounds):
         ex[f"a{x}"] = f"""SELECT capture_id, blk, k, lv, v, i, q, len(list_filter(range(1,len(lv)), lambda j: v>(lv[j]+lv[j+1])/2)) AS c FROM mags JOIN c{x} USING (capture_id, blk)"""
         ex[f"c{x + 1}"] = f"SELECT capture_id, blk, k, list(m ORDER BY m) AS lv FROM (SELECT capture_id, blk, k, c, avg(v) AS m FROM a{x} GROUP BY ALL) GROUP BY ALL"
