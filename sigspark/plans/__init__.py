@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["q_spectra", "q_pulses", "q_measure", "q_decisions", "q_scoring"]
+MODULES = ["q_files", "q_spectra", "q_pulses", "q_measure", "q_decisions", "q_scoring", "q_streams"]
 
 
 def load():
