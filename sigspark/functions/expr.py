@@ -15,6 +15,11 @@ def r(c: Column, digits: int = 6) -> Column:
     return F.round(c, digits) + F.lit(0.0)
 
 
+def let(value: Column, fn) -> Column:
+    """fn(value) with `value` computed once, however often fn uses it; keeps generated methods small."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def db(c: Column) -> Column:
     return 10.0 * F.log10(F.greatest(c, F.lit(EPS)))
 

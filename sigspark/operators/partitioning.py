@@ -59,15 +59,13 @@ def value_bucket(c: Column, per_fold: int = 64, scale: float = 1e6) -> Column:
 
 
 def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
-    """Exact linear-interpolated quantiles of any number of rows per key.
+    """Exact linear-interpolated quantiles of any number of rows per key. NULLs are ignored.
 
-    Values are counted first (map-side combined); ranks are then located by two levels of log-spaced
-    buckets, so only the values of the buckets that hold a wanted rank meet in one task. NULLs are ignored.
+    Rows are first counted into two levels of log-spaced buckets, map-side combined; only the rows of the few
+    buckets that hold a wanted rank are then looked at value by value, so no key is ever gathered in one task.
     """
-    v = (df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_x"))
-           .agg(F.count(F.lit(1)).alias("_n"))
-           .withColumn("_b1", value_bucket(F.col("_x")))
-           .withColumn("_b2", value_bucket(F.col("_x"), 64 * 4096)))
+    x = (df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_x"))
+           .withColumn("_b1", value_bucket(F.col("_x"))).withColumn("_b2", value_bucket(F.col("_x"), 64 * 4096)))
     ranks = {name: F.lit(p) * (F.col("_total") - 1) for name, p in probs.items()}
 
     def wanted(start: str, end: str) -> Column:
@@ -77,21 +75,19 @@ def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float
         return cond
 
     part = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
-    c1 = v.groupBy(*keys, "_b1").agg(F.sum("_n").alias("_n"))
-    c1 = (c1.withColumn("_end", F.sum("_n").over(part.orderBy("_b1").rowsBetween(W.unboundedPreceding, 0)))
-            .withColumn("_total", F.sum("_n").over(part))
-            .withColumn("_start", F.col("_end") - F.col("_n"))
-            .where(wanted("_start", "_end")).select(*keys, "_b1", F.col("_start").alias("_base"), "_total"))
-    inside = v.join(c1, [*keys, "_b1"])
-    c2 = inside.groupBy(*keys, "_b1", "_b2", "_base", "_total").agg(F.sum("_n").alias("_n"))
-    c2 = (c2.withColumn("_end", F.col("_base") + F.sum("_n").over(
-              W.partitionBy(*keys, "_b1").orderBy("_b2").rowsBetween(W.unboundedPreceding, 0)))
-            .withColumn("_start", F.col("_end") - F.col("_n"))
-            .where(wanted("_start", "_end"))
-            .select(*keys, "_b1", "_b2", F.col("_start").alias("_from"), "_total"))
-    fine = v.join(c2, [*keys, "_b1", "_b2"])
+    upto = (W.unboundedPreceding, 0)
+    c2 = x.groupBy(*keys, "_b1", "_b2").agg(F.count(F.lit(1)).alias("_n"))
+    c1 = c2.groupBy(*keys, "_b1").agg(F.sum("_n").alias("_n"))
+    c1 = (c1.withColumn("_end", F.sum("_n").over(part.orderBy("_b1").rowsBetween(*upto)))
+            .withColumn("_total", F.sum("_n").over(part)).withColumn("_base", F.col("_end") - F.col("_n"))
+            .where(wanted("_base", "_end")).select(*keys, "_b1", "_base", "_total"))
+    c2 = (c2.join(c1, [*keys, "_b1"])
+            .withColumn("_end", F.col("_base") + F.sum("_n").over(W.partitionBy(*keys, "_b1").orderBy("_b2").rowsBetween(*upto)))
+            .withColumn("_from", F.col("_end") - F.col("_n")).where(wanted("_from", "_end"))
+            .select(*keys, "_b1", "_b2", "_from", "_total"))
+    fine = x.join(c2, [*keys, "_b1", "_b2"]).groupBy(*keys, "_b1", "_b2", "_from", "_total", "_x").agg(F.count(F.lit(1)).alias("_n"))
     fine = (fine.withColumn("_end", F.col("_from") + F.sum("_n").over(
-                W.partitionBy(*keys, "_b1", "_b2").orderBy("_x").rowsBetween(W.unboundedPreceding, 0)))
+                W.partitionBy(*keys, "_b1", "_b2").orderBy("_x").rowsBetween(*upto)))
                 .withColumn("_start", F.col("_end") - F.col("_n")))
     aggs = []
     for name, rk in ranks.items():
@@ -102,12 +98,6 @@ def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float
     return fine.groupBy(*keys).agg(*aggs)
 
 
-def top_mean_rank(df: DataFrame, keys: list[str], order: list, k: int | Column, name: str = "rank") -> DataFrame:
-    """Rows ranked <= k inside each key; the rank limit prunes each map task before the shuffle."""
-    w = W.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(name, F.row_number().over(w)).where(F.col(name) <= k)
-
-
 def merge_intervals(df: DataFrame, keys: list[str], lo: str, hi: str, gap: int | Column = 0,
                     block: int | None = BLOCK) -> DataFrame:
     """Union of half-open intervals; two of them merge when lo <= reach + gap.

@@ -34,7 +34,7 @@ CRITERIA = [
 
 def label_matches(pred: Column, truth: Column) -> Column:
     """Exact label, or an order-less family label against any order of that family. Never NULL."""
-    family = pred.isin("QAM", "FSK", "ASK") & (F.regexp_replace(truth, r"\d+$", "") == pred)
+    family = pred.isin("QAM", "FSK", "ASK") & (F.rtrim(truth, F.lit("0123456789")) == pred)
     return F.coalesce((truth != "noise") & ((pred == truth) | family), F.lit(False))
 
 
@@ -108,11 +108,13 @@ def param_stats(rows: DataFrame, keys: list[str]) -> DataFrame:
     a = x.groupBy(*keys).agg(
         F.count_if(lin).alias("n_linear"), share(cf, lin).alias("cf_ok"), share(bw, lin).alias("bw3_ok"),
         F.count_if(sig).alias("n_signal"), share(snr, sig).alias("snr_ok"))
-    q1 = quantiles(x.where(lin).select(*keys, (_c("bw3") / _c("bw3_true")).alias("_r")), keys, "_r",
-                   {"median_bw3_ratio": 0.5})
-    q2 = quantiles(x.where(sig).select(*keys, (_c("snr") - _c("snr_true")).alias("_e")), keys, "_e",
-                   {"median_snr_err_db": 0.5})
-    return a.join(q1, keys, "left").join(q2, keys, "left")
+    both = F.explode(F.array(
+        F.struct(F.lit("ratio").alias("s"), F.when(lin, _c("bw3") / F.nullif(_c("bw3_true"), F.lit(0.0))).alias("v")),
+        F.struct(F.lit("error").alias("s"), F.when(sig, _c("snr") - _c("snr_true")).alias("v"))))
+    q = quantiles(x.select(*keys, both.alias("m")).select(*keys, "m.s", "m.v"), [*keys, "s"], "v", {"med": 0.5})
+    q = q.groupBy(*keys).agg(F.max(F.when(_c("s") == "ratio", _c("med"))).alias("median_bw3_ratio"),
+                             F.max(F.when(_c("s") == "error", _c("med"))).alias("median_snr_err_db"))
+    return a.join(q, keys, "left")
 
 
 def speed_stats(rows: DataFrame, keys: list[str]) -> DataFrame:

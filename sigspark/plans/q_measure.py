@@ -12,8 +12,12 @@ from .views import sql
 
 BK = ["capture_id", "block_id"]
 CB = ["capture_id", "blk"]
-FREQ = S.bin_frequency(V.NFFT, V.FS)
-POWER = F.col("i") * F.col("i") + F.col("q") * F.col("q")
+def _freq():
+    return S.bin_frequency(V.NFFT, V.FS)
+
+def _power():
+    return F.col("i") * F.col("i") + F.col("q") * F.col("q")
+
 
 
 def rnd(df, *cols, digits=6):
@@ -38,7 +42,7 @@ def _samples(spark, d):
 def _(spark, d):
     p = _psd(spark, d)
     j = p.join(S.noise_floor_median(p, BK), BK)
-    c = H.centroid_frequency(j, BK, FREQ, F.col("noise_floor"), F.when(F.col("block_id") % 2 == 1, F.lit(1e6)))
+    c = H.centroid_frequency(j, BK, _freq(), F.col("noise_floor"), F.when(F.col("block_id") % 2 == 1, F.lit(1e6)))
     return c.select(*BK, r(F.col("excess") * 1e6).alias("excess"), r(F.col("center_frequency_hz"), 4).alias("center_frequency_hz"))
 
 
@@ -48,7 +52,7 @@ def _(spark, d):
     c = V.catalog(spark, d)
     w = c.select("capture_id", F.explode(F.array(F.struct(F.lit(100).alias("a"), F.lit(900).alias("b")), F.struct(F.lit(1500).alias("a"), F.lit(2600).alias("b")))).alias("w"))
     w = w.select("capture_id", F.col("w.a").alias("a"), F.col("w.b").alias("b"))
-    on = PT.point_in_interval(V.iq(spark, d), w, ["capture_id"], "n", "a", "b", 1024).groupBy("capture_id").agg(F.avg(POWER).alias("on_power"))
+    on = PT.point_in_interval(V.iq(spark, d), w, ["capture_id"], "n", "a", "b", 1024).groupBy("capture_id").agg(F.avg(_power()).alias("on_power"))
     f = V.frames(spark, d).groupBy(*BK).agg(F.first("floor").alias("f")).groupBy("capture_id").agg((F.percentile("f", 0.5) * 0.8).alias("f"))
     x = on.join(f, "capture_id")
     return x.select("capture_id", r(F.col("on_power"), 8).alias("on_power"), r(H.snr_db(F.col("on_power"), F.col("f"), V.FS)).alias("snr_db"))
@@ -144,13 +148,13 @@ def _(spark, d):
 
 @query("inband_share", sql("SELECT capture_id, block_id, round(sum(power) FILTER (abs((bin-16)*1000.0)<=4000)/sum(power),6) AS inband_share FROM psd GROUP BY ALL", "psd"))
 def _(spark, d):
-    return rnd(H.inband_share(_psd(spark, d), BK, FREQ, 8000.0), "inband_share")
+    return rnd(H.inband_share(_psd(spark, d), BK, _freq(), 8000.0), "inband_share")
 
 
 @query("occupied_centroid", sql("""SELECT capture_id, block_id, round(coalesce(sum(f*e)/nullif(sum(e),0),0),4)+0.0 AS centroid_hz, round(max(fl)*32000.0,6) AS noise_power FROM (
   SELECT p.*, (bin-16)*1000.0 AS f, fl, CASE WHEN power>2*fl THEN power-fl ELSE 0 END AS e FROM psd p JOIN (SELECT capture_id, block_id, quantile_cont(power,0.2) AS fl FROM psd GROUP BY ALL) USING (capture_id, block_id)) GROUP BY ALL""", "psd"))
 def _(spark, d):
-    c = H.occupied_centroid(_psd(spark, d), BK, FREQ, V.FS)
+    c = H.occupied_centroid(_psd(spark, d), BK, _freq(), V.FS)
     return c.select(*BK, r(F.col("centroid_hz"), 4).alias("centroid_hz"), r(F.col("noise_power")).alias("noise_power"))
 
 
@@ -362,7 +366,7 @@ def _typed(spark, d):
 
 @query("dc_spike", sql("SELECT capture_id, round(e,6)+0.0 AS dc_excess_db, e>15 AS dc_spike FROM dc", "psd", bw=_BW, dc=_DC))
 def _(spark, d):
-    return rnd(Q.dc_spike(_cpsd(spark, d), ["capture_id"], FREQ), "dc_excess_db")
+    return rnd(Q.dc_spike(_cpsd(spark, d), ["capture_id"], _freq()), "dc_excess_db")
 
 
 @query("floor_nonflat", sql("SELECT capture_id, round(s,6) AS spread_db, s>12 AS floor_nonflat FROM fn", "psd", bw=_BW, fn=_FN))
@@ -380,4 +384,4 @@ def _(spark, d):
   UNION ALL SELECT 1000000+doc_id, NULL, NULL, NULL, 'unreadable capture' FROM documents WHERE n_chars<40""", "psd", "iq", bw=_BW, dc=_DC, fn=_FN, cl=_CL))
 def _(spark, d):
     err = V.table(spark, d, "documents").where("n_chars < 40").select((F.col("doc_id") + 1000000).alias("capture_id"), F.lit("unreadable capture").alias("error"))
-    return Q.triage_report(_cpsd(spark, d), _typed(spark, d), ["capture_id"], FREQ, "datatype", err)
+    return Q.triage_report(_cpsd(spark, d), _typed(spark, d), ["capture_id"], _freq(), "datatype", err)

@@ -11,7 +11,9 @@ from .registry import query
 from .views import sql
 
 KEY = ["capture_id"]
-POWER = F.col("i") * F.col("i") + F.col("q") * F.col("q")
+def _power():
+    return F.col("i") * F.col("i") + F.col("q") * F.col("q")
+
 # the view band that gets isolated
 LO, HI = 1000.0, 5000.0
 NOISE = 1.0
@@ -56,7 +58,7 @@ def _(spark, d):
   AND y.n=CASE WHEN x.n+o<0 THEN -(x.n+o)-1 WHEN x.n+o>=total THEN 2*total-1-(x.n+o) ELSE x.n+o END GROUP BY ALL""", "iq", "caps"))
 def _(spark, d):
     s = V.iq(spark, d).join(V.catalog(spark, d), KEY)
-    e = P.moving_mean(s, KEY, "n", POWER, P.envelope_window(V.FS), "n_samples", block=1024)
+    e = P.moving_mean(s, KEY, "n", _power(), P.envelope_window(V.FS), "n_samples", block=1024)
     return e.select("capture_id", "n", r(F.col("envelope")).alias("envelope"))
 
 

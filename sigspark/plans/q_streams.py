@@ -41,7 +41,7 @@ def _(spark, d):
 
 
 @query("stream_frames", sql("""SELECT capture_id, b AS start_us, b+7200000000 AS end_us, count(*) AS n_samples, round(avg(value),6) AS mean_power, max(value) AS peak FROM (SELECT event_type AS capture_id, value,
-  epoch_us(ts)//1800000000*1800000000-unnest([0,1,2,3])*1800000000 AS b FROM events) GROUP BY ALL HAVING b+7200000000<=(SELECT wm//1000*1000 FROM wm)""", wm=_WM))
+  epoch_us(ts)//1800000000*1800000000-unnest([0,1,2,3]::BIGINT[])*1800000000 AS b FROM events) GROUP BY ALL HAVING b+7200000000<=(SELECT wm//1000*1000 FROM wm)""", wm=_WM))
 def _(spark, d):
     x = _run(spark, J.stream_frames(_events(spark, d), "ts", "2 hours", "30 minutes", "1 hour", ["capture_id"], "value"))
     return _span(x, "window").withColumn("mean_power", r(F.col("mean_power")))

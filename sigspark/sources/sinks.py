@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.expr import finite_or_null
+from ..functions.expr import finite_or_null, let
 
 # fixed values
 SUMMARY_FIELDS = ["needs_review", "file", "detection_id", "label", "tier", "symbol_rate_hz", "center_frequency_hz", "bandwidth_3db_hz",
@@ -45,34 +45,42 @@ def write_jsonl(det: DataFrame, path: str) -> None:
 
 def general(v: Column) -> Column:
     """Six significant digits, exponent form outside 1e-4..1e6, no trailing zeros; empty for NULL."""
-    s = F.format_string("%.5e", v)
-    e = F.regexp_extract(s, r"e([+-]\d+)$", 1).cast("int")
-    digits = F.concat(F.regexp_extract(s, r"(\d)\.", 1), F.regexp_extract(s, r"\.(\d+)e", 1))
-    sign = F.when(F.startswith(s, F.lit("-")), "-").otherwise("")
-    trim = lambda c: F.regexp_replace(F.regexp_replace(c, r"(\.\d*?)0+$", "$1"), r"\.$", "")
-    fixed = F.when(e >= 0, F.concat(F.substr(digits, F.lit(1), e + 1), F.lit("."), F.substr(digits, e + 2))) \
-        .otherwise(F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - 1), digits))
-    sci = F.concat(trim(F.concat(F.substr(digits, F.lit(1), F.lit(1)), F.lit("."), F.substr(digits, F.lit(2)))), F.lit("e"),
-                   F.regexp_extract(s, r"e([+-]\d+)$", 1))
-    body = F.when((e >= -4) & (e < 6), trim(fixed)).otherwise(sci)
-    return F.when(v.isNull(), "").when(v == 0, "0").otherwise(F.concat(sign, body))
+    trim = lambda c: F.rtrim(F.rtrim(c, F.lit("0")), F.lit("."))
+    forms = F.array(F.lit("%.5e"), *[F.lit(f"%.{5 - k}f") for k in range(-4, 6)], F.lit("%.5e"))
+
+    def decade(x):
+        # decade of the rounded value: -5 stands for smaller, 6 for larger
+        e = F.floor(F.log10(F.abs(x) / 0.9999995)).cast("int")
+        return F.least(F.greatest(e, F.lit(-5)), F.lit(6))
+
+    def show(x):
+        return let(decade(x), lambda e: let(F.call_function("format_string", F.element_at(forms, e + 6), x), lambda s: F.when(
+            (e < -4) | (e > 5), F.concat(trim(F.substring_index(s, "e", 1)), F.lit("e"), F.substring_index(s, "e", -1)))
+            .when(e == 5, s).otherwise(trim(s))))
+    return F.when(v.isNull(), "").when(v == 0, "0").otherwise(let(v, show))
 
 
 def summary_rows(det: DataFrame, errors: DataFrame | None = None) -> DataFrame:
-    """15 text columns per detection plus one row per failed file; review rows first."""
-    txt = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    """15 text columns per detection plus one row per failed file; review rows first.
+
+    Raw values are sorted and then turned into text, so the sort moves numbers and each text is made once.
+    """
     review = F.coalesce("needs_review", F.lit(False)) | F.coalesce("label_needs_review", F.lit(True))
-    rows = det.select(
-        F.when(review, "true").otherwise("false").alias("needs_review"), txt("file").alias("file"), txt("id").alias("detection_id"),
+    raw = det.select(
+        review.alias("_review"), "file", F.coalesce(F.col("id").cast("string"), F.lit("")).alias("detection_id"),
+        "modulation_label", "estimate_tier", "symbol_rate_hz", F.coalesce("center_frequency_refined_hz", "center_frequency_hz").alias("_cf"),
+        "bandwidth_3db_hz", "snr_db", "freq_lower_hz", "freq_upper_hz", "start_sample", "end_sample", "verify_status", F.lit("").alias("error"))
+    if errors is not None:
+        e = errors.select("file", "error", F.lit(True).alias("_review"), F.lit("").alias("detection_id"))
+        raw = raw.unionByName(e, allowMissingColumns=True)
+    raw = raw.orderBy(F.desc("_review"), "file", "detection_id")
+    txt = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    return raw.select(
+        F.when(F.col("_review"), "true").otherwise("false").alias("needs_review"), "file", "detection_id",
         txt("modulation_label").alias("label"), txt("estimate_tier").alias("tier"), general(F.col("symbol_rate_hz")).alias("symbol_rate_hz"),
-        general(F.coalesce("center_frequency_refined_hz", "center_frequency_hz")).alias("center_frequency_hz"),
+        general(F.col("_cf")).alias("center_frequency_hz"),
         *[general(F.col(c)).alias(c) for c in ("bandwidth_3db_hz", "snr_db", "freq_lower_hz", "freq_upper_hz")],
-        txt("start_sample").alias("start_sample"), txt("end_sample").alias("end_sample"), txt("verify_status").alias("status"), F.lit("").alias("error"))
-    if errors is not None:
-        blank = {c: F.lit("") for c in SUMMARY_FIELDS if c not in ("needs_review", "file", "error")}
-        e = errors.select("file", "error").withColumns({"needs_review": F.lit("true"), **blank})
-        rows = rows.unionByName(e.select(*SUMMARY_FIELDS))
-    return rows.orderBy(F.col("needs_review") != "true", "file", "detection_id")
+        txt("start_sample").alias("start_sample"), txt("end_sample").alias("end_sample"), txt("verify_status").alias("status"), "error")
 
 
 def write_summary(rows: DataFrame, path: str) -> None:
