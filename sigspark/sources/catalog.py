@@ -30,7 +30,7 @@ def parse_catalog(df: DataFrame, text: str) -> DataFrame:
 
 
 def read_capture_catalog(spark: SparkSession, folder: str) -> DataFrame:
-    t = spark.read.option("wholetext", True).option("pathGlobFilter", "*.sigmf-meta").text(folder)
+    t = spark.read.option("pathGlobFilter", "*.sigmf-meta").text(folder, wholetext=True)
     t = t.select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("name"), F.col("value"))
     return parse_catalog(t, "value").drop("value")
 

@@ -41,7 +41,7 @@ def stream_packets(active: DataFrame, ts: str, gap: str, late: str, keys: list[s
 
 def watch_folder(spark: SparkSession, folder: str, per_trigger: int = 1000) -> DataFrame:
     """New capture files; the checkpoint remembers what was seen, also after a restart."""
-    s = (spark.readStream.format("binaryFile").option("pathGlobFilter", "*.{sigmf-data,wav,iq,cu8,cs8,cs16}")
+    s = (spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.{sigmf-data,wav,iq,cu8,cs8,cs16}")
          .option("maxFilesPerTrigger", per_trigger).load(folder).drop("content"))
     return s.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"), "modificationTime")
 
