@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.expr import ratio
-from .partitioning import numbered, prefix_sums, value_bucket
+from .partitioning import FINE, numbered, prefix_sums, value_bucket
 
 # fixed values
 MIN_COUNT, PRECISION = 8, 0.97
@@ -103,7 +103,7 @@ def precision_threshold(df: DataFrame, keys: list[str], value: str, ok: Column,
     """
     v = df.where(F.col(value).isNotNull()).groupBy(*keys, F.round(value, 6).alias("_x")).agg(
         F.count(F.lit(1)).alias("_n"), F.count_if(ok).alias("_k"))
-    v = prefix_sums(v.withColumn("_bk", value_bucket(F.col("_x"))), keys, "_bk", ["_x"], _cn=F.col("_n"), _ck=F.col("_k"))
+    v = prefix_sums(v.withColumn("_bk", value_bucket(F.col("_x"), FINE)), keys, "_bk", ["_x"], _cn=F.col("_n"), _ck=F.col("_k"))
     tot = v.groupBy(*keys).agg(F.sum("_n").alias("_tn"), F.sum("_k").alias("_tk"))
     j = v.join(tot, keys)
     n, k = F.col("_tn") - F.col("_cn") + F.col("_n"), F.col("_tk") - F.col("_ck") + F.col("_k")
@@ -123,11 +123,10 @@ def stratified_split(entries: DataFrame, force_test: list[str]) -> DataFrame:
     return entries.join(side.unionByName(forced), ["stratum", "protocol"])
 
 
-def split_digest(entries: DataFrame, key: str, bucket: Column) -> DataFrame:
-    """Digest of the sorted (id, split) list, as a digest of ordered bucket digests: any number of rows."""
-    b = entries.withColumn("_bk", bucket).groupBy("_bk").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, "split"))),
-                                 lambda s: F.concat_ws(":", s[key].cast("string"), s["split"])), ",").alias("_t"))
-    d = b.select("_bk", F.sha2("_t", 256).alias("_d"))
-    return d.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_bk", "_d"))), lambda s: s["_d"]), ""), 256)
-                 .alias("digest"))
+def split_digest(entries: DataFrame, key: str, size: int = 256) -> DataFrame:
+    """Digest of the sorted (id, split) list as a tree: ids in ranges of `size`, ranges in groups of `size`, then all."""
+    joined = lambda fields, item, sep: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*fields))), item), sep), 256)
+    d = entries.groupBy(F.floor(F.col(key) / size).alias("_k")).agg(
+        joined([key, "split"], lambda s: F.concat_ws(":", s[key].cast("string"), s["split"]), ",").alias("_d"))
+    d = d.groupBy(F.floor(F.col("_k") / size).alias("_g")).agg(joined(["_k", "_d"], lambda s: s["_d"], "").alias("_d"))
+    return d.agg(joined(["_g", "_d"], lambda s: s["_d"], "").alias("digest"))

@@ -53,6 +53,9 @@ def prefix_sums(df: DataFrame, keys: list[str], bucket: str, order: list, **sums
                 .drop(*[f"_v_{c}" for c in names], *[f"_o_{c}" for c in names]))
 
 
+FINE = 64 * 256
+
+
 def value_bucket(c: Column, per_fold: int = 64, scale: float = 1e6) -> Column:
     """Order-preserving coarse code of a double: log-spaced, `per_fold` buckets per e-fold."""
     return F.floor(F.signum(c) * F.log1p(F.abs(c) * scale) * per_fold).cast("long")

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions.expr import ratio, share
-from .partitioning import numbered, prefix_sums, quantiles, value_bucket
+from .partitioning import FINE, numbered, prefix_sums, quantiles, value_bucket
 
 # fixed values: pass/fail thresholds
 MIN_SNR_DB = 5.0
@@ -298,21 +298,25 @@ def auc_pairs(df: DataFrame, value: str, good: Column, keys: list[str] | None =
     """P(value of a good row > value of a bad row), ties one half, by rank sums over distinct values."""
     keys = keys or []
     v = df.groupBy(*keys, F.col(value).alias("_x")).agg(F.count_if(good).alias("_g"), F.count_if(~good).alias("_b"))
-    v = prefix_sums(v.withColumn("_bk", value_bucket(_c("_x"))), keys, "_bk", ["_x"], _cb=_c("_b"))
+    v = prefix_sums(v.withColumn("_bk", value_bucket(_c("_x"), FINE)), keys, "_bk", ["_x"], _cb=_c("_b"))
     wins = F.sum(_c("_g") * (_c("_cb") - _c("_b") + 0.5 * _c("_b")))
     a = v.groupBy(*keys).agg(F.sum("_g").alias("n_good"), F.sum("_b").alias("n_bad"), wins.alias("_w"))
     return a.select(*keys, "n_good", "n_bad", ratio(_c("_w"), _c("n_good").cast("double") * _c("n_bad")).alias("auc"))
 
 
 def spread_summary(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Median, p10 and p90 by sorted index (n // 10 and 9n // 10), shares outside [0.5, 2]."""
-    ranked = numbered(df.where(_c(value).isNotNull()).withColumn("_t", F.xxhash64(*df.columns)), keys,
-                      value_bucket(_c(value)), [value, "_t"], "_rn")
-    n = df.where(_c(value).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    x = ranked.join(n, keys)
-    pick = lambda num: F.max(F.when(_c("_rn") - 1 == F.floor(num * _c("n") / 10), _c(value)))
-    a = x.groupBy(*keys, "n").agg(pick(1).alias("p10"), pick(9).alias("p90"),
-                                  share(_c(value) > 2).alias("over_2"), share(_c(value) < 0.5).alias("under_half"))
+    """Median, p10 and p90 by sorted index (n // 10 and 9n // 10), shares outside [0.5, 2].
+
+    Counts of distinct values are ranked, so a value that very many rows share is one row.
+    """
+    v = df.where(_c(value).isNotNull()).groupBy(*keys, _c(value).alias("_x")).agg(F.count(F.lit(1)).alias("_n"))
+    v = prefix_sums(v.withColumn("_bk", value_bucket(_c("_x"), FINE)), keys, "_bk", ["_x"], _end=_c("_n"))
+    n = v.groupBy(*keys).agg(F.sum("_n").alias("n"))
+    at = lambda num: F.floor(num * _c("n") / 10)
+    pick = lambda num: F.max(F.when((_c("_end") > at(num)) & (_c("_end") - _c("_n") <= at(num)), _c("_x")))
+    part = lambda cond: F.sum(F.when(cond, _c("_n")).otherwise(0)) / _c("n")
+    a = v.join(n, keys).groupBy(*keys, "n").agg(pick(1).alias("p10"), pick(9).alias("p90"), part(_c("_x") > 2).alias("over_2"),
+                                                part(_c("_x") < 0.5).alias("under_half"))
     return a.join(quantiles(df, keys, value, {"median": 0.5}), keys)
 
 

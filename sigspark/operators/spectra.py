@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.expr import EPS, db
+from ..session import bound_batches
 
 BLOCK_SAMPLES = 524_288
 GUARD_SAMPLES = 4_096
@@ -135,6 +136,7 @@ def scan_blocks(blocks: DataFrame, rate: float, nperseg: int = 1024, hop: int |
     """
     if fixed_db is None and not 3 <= margin_db <= 30:
         raise ValueError("Adaptive margin must be between 3 and 30 dB.")
+    bound_batches(blocks.sparkSession)
     hop = hop or nperseg // 4
     every = nperseg // 2 // hop
 

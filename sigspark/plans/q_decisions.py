@@ -336,15 +336,10 @@ def _(spark, d):
     return rnd(L.align_sequences(b.select("user_id", "k", "bit"), b.select("user_id", "k", F.col("tb").alias("bit")), ["user_id"]), "error_rate")
 
 
-_SY = "SELECT l_orderkey, list(l_linenumber ORDER BY l_extendedprice, l_linenumber, l_tax, l_discount, l_quantity) AS s FROM lineitem GROUP BY 1"
-
-
-@query("truncate_symbols", sql("SELECT l_orderkey, s[1:4] AS shown, len(s)::INTEGER AS total, len(s)>4 AS truncated FROM sy", sy=_SY))
+@query("truncate_symbols", """SELECT vec_id, list_transform(embedding[1:20], lambda v: (v>0)::INT) AS shown, len(embedding)::INTEGER AS total, len(embedding)>20 AS truncated FROM embeddings""")
 def _(spark, d):
-    a = F.array_sort(F.collect_list(F.struct("l_extendedprice", "l_linenumber", "l_tax", "l_discount", "l_quantity")))
-    g = V.table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.transform(a, lambda s: s["l_linenumber"]).alias("s"))
-    shown, total, cut = L.truncate_symbols(F.col("s"), 4)
-    return g.select("l_orderkey", shown.alias("shown"), total.alias("total"), cut.alias("truncated"))
+    shown, total, cut = L.truncate_symbols(F.transform("embedding", lambda v: (v > 0).cast("int")), 20)
+    return V.table(spark, d, "embeddings").select("vec_id", shown.alias("shown"), total.alias("total"), cut.alias("truncated"))
 
 
 @query("symbol_text_rows", """SELECT vec_id, p//16 AS line, string_agg(CASE WHEN p%16>0 AND p%4=0 THEN ' ' ELSE '' END||s::VARCHAR, '' ORDER BY p) AS text FROM (SELECT vec_id, k AS p, (embedding[k+1]>0)::INT AS s FROM embeddings, (SELECT unnest(range(64)) AS k)) GROUP BY ALL""")

@@ -527,6 +527,7 @@ def _(spark, d):
     return _split(spark, d)
 
 
-@query("split_digest", sql("""SELECT sha256(string_agg(dg,'' ORDER BY bk)) AS digest FROM (SELECT id//256 AS bk, sha256(string_agg(id::VARCHAR||':'||split, ',' ORDER BY id, split)) AS dg FROM sp GROUP BY 1)""", sp=_SPLIT))
+@query("split_digest", sql("""SELECT sha256(string_agg(d,'' ORDER BY g)) AS digest FROM (SELECT k//256 AS g, sha256(string_agg(d,'' ORDER BY k)) AS d FROM (
+  SELECT id//256 AS k, sha256(string_agg(id::VARCHAR||':'||split, ',' ORDER BY id, split)) AS d FROM sp GROUP BY 1) GROUP BY 1)""", sp=_SPLIT))
 def _(spark, d):
-    return C.split_digest(_split(spark, d), "id", F.floor(F.col("id") / 256))
+    return C.split_digest(_split(spark, d), "id")

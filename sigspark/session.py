@@ -31,6 +31,14 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, **conf: st
     return spark
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Sample blocks are rows of megabytes: bound Arrow batches by bytes unless the session already does."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, None)
+    if now is None or (now.lstrip("-").rstrip("bB").isdigit() and not 0 < int(now.rstrip("bB")) <= 1 << 28):
+        spark.conf.set(key, SETTINGS[key])
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors see: what the cluster names in spark.checkpoint.dir, a local one in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.expr import finite_or_null, let
+from ..operators.validation import MAX_CANDIDATES
 
 # fixed values
 SUMMARY_FIELDS = ["needs_review", "file", "detection_id", "label", "tier", "symbol_rate_hz", "center_frequency_hz", "bandwidth_3db_hz",
@@ -20,11 +21,17 @@ def json_safe(df: DataFrame) -> DataFrame:
     return df.select(*[finite_or_null(F.col(c)).alias(c) if types[c] in ("double", "float") else F.col(c) for c in keep])
 
 
+def _bounded(df: DataFrame, array: str) -> DataFrame:
+    """Fail, never cut, when a capture holds more detections than one may."""
+    over = F.raise_error(F.lit("Capture exceeds 4,096 candidates; results are not truncated.")).cast("boolean")
+    return df.where(F.when(F.size(array) > MAX_CANDIDATES, over).otherwise(F.lit(True)))
+
+
 def detection_documents(det: DataFrame, captures: DataFrame, key: str = "file") -> DataFrame:
     """One document per capture; a capture has at most 4,096 detections (`check_limits`)."""
     d = json_safe(det)
     fields = [c for c in d.columns if c != key]
-    g = d.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("detections"))
+    g = _bounded(d.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("detections")), "detections")
     return json_safe(captures).join(g, key, "left").withColumn("detections", F.coalesce("detections", F.array()))
 
 
@@ -98,7 +105,7 @@ def annotation(det: DataFrame) -> Column:
 
 def sigmf_annotations(det: DataFrame, key: str = "file") -> DataFrame:
     """One annotation array per file, by start sample; at most 4,096 per capture."""
-    return det.groupBy(key).agg(F.array_sort(F.collect_list(annotation(det))).alias("annotations"))
+    return _bounded(det.groupBy(key).agg(F.array_sort(F.collect_list(annotation(det))).alias("annotations")), "annotations")
 
 
 def validate_annotations(df: DataFrame, key: str = "file") -> DataFrame:
