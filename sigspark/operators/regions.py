@@ -63,19 +63,24 @@ def bridge_gaps(active: DataFrame, keys: list[str] = KEYS, max_gap: int = MAX_GA
         .select(*keys, F.col("start").alias("fa"), F.col("end").alias("fb"))
 
 
-def qualify_bands(bands: DataFrame, active: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    """Keep bands of at least 2 bins, 3 active frames and 12 hit cells."""
-    wide = bands.where(F.col("fb") - F.col("fa") >= MIN_BINS)
-    spread = wide.withColumn("bin", F.explode(F.sequence(F.col("fa"), F.col("fb") - 1)))
-    a = active.join(spread, [*keys, "bin"]).groupBy(*keys, "fa", "fb").agg(
+def qualify_bands(active: DataFrame, keys: list[str] = KEYS, max_gap: int = MAX_GAP_BINS) -> DataFrame:
+    """Bridged bands of at least 2 bins, 3 active frames and 12 hit cells.
+
+    Active bins carry all that is needed, so bands come from one pass over them and the spectra are read once.
+    """
+    w = W.partitionBy(*keys).orderBy("bin")
+    x = active.withColumn("_new", F.coalesce(F.col("bin") - F.lag("bin").over(w) > max_gap + 1, F.lit(True)).cast("int"))
+    x = x.withColumn("_g", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    a = x.groupBy(*keys, "_g").agg(
+        F.min("bin").alias("fa"), (F.max("bin") + 1).alias("fb"),
         F.size(F.array_distinct(F.flatten(F.collect_list("frames")))).cast("long").alias("active_frames"),
-        F.sum("n_hit").alias("hit_cells"))
-    return a.where((F.col("active_frames") >= MIN_FRAMES) & (F.col("hit_cells") >= MIN_CELLS))
+        F.sum("n_hit").alias("hit_cells")).drop("_g")
+    return a.where((F.col("fb") - F.col("fa") >= MIN_BINS) & (F.col("active_frames") >= MIN_FRAMES)
+                   & (F.col("hit_cells") >= MIN_CELLS))
 
 
 def find_bands(frames: DataFrame) -> DataFrame:
-    act = active_bins(hit_cells(frames))
-    return qualify_bands(bridge_gaps(act), act)
+    return qualify_bands(active_bins(hit_cells(frames)))
 
 
 def as_parts(bands: DataFrame) -> DataFrame:
@@ -280,8 +285,7 @@ def margin_sweep(frames: DataFrame, margins: list[float]) -> DataFrame:
         *keys, "frame", F.transform("smooth", lambda s: db(s) > F.col("line")).alias("above"))
     hits = (opened(fr, keys).where(F.exists("hit", lambda h: h))
             .select(*keys, "frame", F.posexplode("hit").alias("bin", "h")).where("h"))
-    act = active_bins(hits, keys)
-    return qualify_bands(bridge_gaps(act, keys), act, keys)
+    return qualify_bands(active_bins(hits, keys), keys)
 
 
 def opened(frames: DataFrame, keys: list[str]) -> DataFrame:
