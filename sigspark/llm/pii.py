@@ -147,5 +147,9 @@ def find(docs: DataFrame) -> DataFrame:
     return x.select("doc_id", F.concat(*KINDS).alias("spans"))
 
 
+def of_kinds(spans: str, *kinds: str) -> Column:
+    return F.filter(spans, lambda s: s["kind"].isin(*kinds))
+
+
 def joined(spans: Column) -> Column:
     return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontam, mixing, ngram_join, pii, quality, sharding, tokens
+from . import chat, decontam, fingerprint, mixing, ngram_join, pii, quality, sharding, tokens, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,11 +80,28 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_personal_data")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = pii.find(table(spark, sf_dir, "documents"))
-    count = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.BASE]
-    base = F.filter("spans", lambda s: s["kind"].isin(*pii.BASE))
+    count = [pii.of_kinds("spans", k) for k in pii.BASE]
+    count = [F.size(c).cast("long").alias(f"n_{k}") for c, k in zip(count, pii.BASE)]
+    base = pii.of_kinds("spans", *pii.BASE)
     return x.select("doc_id", *count, F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
 
 
 @query("op2_rule_ensemble")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("stats")
+
+
+@query("op8_warc_index")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = warc.archive(table(spark, sf_dir, "pages"))
+    return x.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "timestamp", "archive", "offset", "length")
+
+
+@query("op9_edit_embedding")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edit_test(table(spark, sf_dir, "documents"))
+
+
+@query("op5_role_repair")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(table(spark, sf_dir, "conversations"))

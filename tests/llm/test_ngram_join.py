@@ -41,7 +41,7 @@ def corpus(seed=3):
     return rows
 
 
-@pytest.mark.parametrize("small,leaf,tile", [(32, 32, 1 << 16), (4, 8, 40)])
+@pytest.mark.parametrize("small,leaf,tile", [(8, 32, 1 << 16), (3, 8, 40)])
 def test_components_equal_all_pairs(spark, monkeypatch, small, leaf, tile):
     monkeypatch.setattr(J, "SMALL", small)
     monkeypatch.setattr(J, "LEAF", leaf)
