@@ -12,8 +12,8 @@ coordinates of two points bounds the overlap of their sets from above. The same
 3. Points. Pairs that pass the bound are verified on the token sets themselves.
 
 Sets that are equal are one node from the start. Inside large posting lists pairs are proposed in three rounds, each
-followed by verification and connected components: with the most central member, with the nearest member of another
-component, and finally every pair of different components that the bound lets pass. So links between different
+followed by verification and connected components: with the most central member, then (with finer points) with the nearest
+member of another component, and finally every pair of different components that the bound lets pass. So links between different
 components are all checked, while a family of thousands of near copies never becomes all its pairs.
 """
 
@@ -30,16 +30,18 @@ from . import text as T
 from .common import Bloom, text_bytes, written
 
 GROUPS = 64
+#: groups of the later rounds, where near misses have to be told from links
+FINE_GROUPS = 512
 LEAF = 32
 #: share of the token space that decides about most sets
 PROBE = 0.4
 #: text bytes behind one exchange bucket of the whole corpus
 BUCKET_BYTES = 16 << 20
 #: tokens behind one exchange bucket of the survivors
-BUCKET_TOKENS = 1 << 19
+BUCKET_TOKENS = 1 << 21
 MAX_BUCKETS = 1 << 20
 #: posting lists up to this length are joined at once; longer ones go through the rounds
-SMALL = 32
+SMALL = 8
 #: sets in one R-tree task; fuller buckets are split into pairs of tiles
 TILE = 1 << 16
 FLUSH = 1 << 22
@@ -146,13 +148,14 @@ def _ref(h: str):
 
 # ---------------------------------------------------------------- candidates
 
-def count_vectors(tokens: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """Tokens of every set counted in `GROUPS` hash groups, saturated at 65,535 (a saturated sum is replaced by the size
-    in the bound, see `within`)."""
+def count_vectors(tokens: np.ndarray, offs: np.ndarray, groups: int = GROUPS) -> np.ndarray:
+    """Tokens of every set counted in hash groups. A count is at most the set's size, which is far below the type's limit
+    with `GROUPS`; finer points are kept in bytes and saturate, which `bounds` makes up for."""
     m = len(offs) - 1
     own = np.repeat(np.arange(m), np.diff(offs))
-    v = np.bincount(own * GROUPS + (tokens % _U(GROUPS)).astype(np.int64), minlength=m * GROUPS).reshape(m, GROUPS)
-    return np.minimum(v, 65535).astype(np.uint16)
+    v = np.bincount(own * groups + (tokens % _U(groups)).astype(np.int64), minlength=m * groups).reshape(m, groups)
+    kind = np.uint16 if groups == GROUPS else np.uint8
+    return np.minimum(v, np.iinfo(kind).max).astype(kind)
 
 
 def within(overlap: np.ndarray, na: np.ndarray, nb: np.ndarray, share: int) -> np.ndarray:
@@ -161,11 +164,13 @@ def within(overlap: np.ndarray, na: np.ndarray, nb: np.ndarray, share: int) -> n
 
 
 def bounds(va: np.ndarray, vb: np.ndarray) -> np.ndarray:
-    """Largest possible overlap of row i of va with row j of vb: summed coordinate minima."""
-    out = np.zeros((len(va), len(vb)), np.int64)
-    for i in range(len(va)):
-        low = np.minimum(va[i], vb)
-        out[i] = low.sum(1, dtype=np.int64) + np.where((low == 65535).any(1), 1 << 40, 0)
+    """Largest possible overlap of row i of va with row j of vb: summed coordinate minima. A minimum at the type's limit
+    stands for any number."""
+    full = np.iinfo(va.dtype).max
+    low = np.minimum(va[:, None, :], vb[None, :, :])
+    out = low.sum(2, dtype=np.uint32).astype(np.int64)
+    if va.size and vb.size and va.max() == full and vb.max() == full:
+        out += np.where((low == full).any(2), 1 << 40, 0)
     return out
 
 
@@ -198,50 +203,55 @@ def search_tree(v: np.ndarray, n: np.ndarray, comp: np.ndarray, share: int) -> I
 
 
 def _lists(mode: str, tokens: np.ndarray, own: np.ndarray, v: np.ndarray, n: np.ndarray, comp: np.ndarray, share: int) -> np.ndarray:
-    """Codes i * m + j of the pairs that this round proposes from the posting lists of one task."""
+    """Codes i * m + j (i < j) of the pairs that this round proposes from the posting lists of one task."""
     m = len(n)
     order = np.lexsort((own, tokens))
     tokens, own = tokens[order], own[order]
     start = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
     size = np.diff(np.append(start, len(tokens)))
-    out: list[np.ndarray] = []
+    code = lambda p, q: np.minimum(p, q) * m + np.maximum(p, q)
+    out: list[np.ndarray] = [np.zeros(0, np.int64)]
+    long_ = np.repeat(size > SMALL, size)
     if mode == "first":
         for w in np.unique(size[(size > 1) & (size <= SMALL)]):
             rows = own[start[size == w][:, None] + np.arange(w)]
             i, j = np.triu_indices(w, 1)
-            out.append(np.unique(rows[:, i].ravel() * m + rows[:, j].ravel()))
-    seen: set[bytes] = set()
-    for s, w in zip(start[size > SMALL], size[size > SMALL]):
-        x = own[s:s + w]
-        if mode != "first" and comp[x].min() == comp[x].max():
-            continue
-        if x.tobytes() in seen:
-            continue
-        seen.add(x.tobytes())
-        if mode == "first":
-            mean = v[x].mean(0)
-            far = np.abs(v[x] - mean).sum(1) / n[x]
-            pivot = x[np.argmin(far)]
-            y = x[x != pivot]
-            out.append(np.minimum(y, pivot) * m + np.maximum(y, pivot))
-        elif mode == "nearest":
-            best = np.full(m, -1, np.int64)
-            partner = np.zeros(m, np.int64)
-            for i, j, bd in search_tree(v[x], n[x], comp[x], share):
-                score = bd * 1000 // (n[x][i] + n[x][j])
-                for a, b in ((i, j), (j, i)):
-                    by = np.lexsort((b, -score, a))
-                    one = by[np.concatenate(([True], a[by][1:] != a[by][:-1]))]
-                    up = one[score[one] > best[a[one]]]
-                    best[a[up]], partner[a[up]] = score[up], b[up]
-            got = np.flatnonzero(best >= 0)
-            p, q = x[got], x[partner[got]]
-            out.append(np.unique(np.minimum(p, q) * m + np.maximum(p, q)))
-        else:
-            for i, j, _ in search_tree(v[x], n[x], comp[x], share):
-                p, q = x[i], x[j]
-                out.append(np.minimum(p, q) * m + np.maximum(p, q))
-    return np.unique(np.concatenate(out)) if out else np.zeros(0, np.int64)
+            out.append(np.unique(code(rows[:, i].ravel(), rows[:, j].ravel())))
+        # the member of most long lists leads each of its lists, so that lists of one family agree on it
+        lists = np.repeat(np.arange(len(size)), size)[long_]
+        x = own[long_]
+        often = np.bincount(x, minlength=m)
+        by = np.lexsort((x, -often[x], lists))
+        head = by[np.concatenate((np.ones(min(1, len(by)), bool), lists[by][1:] != lists[by][:-1]))]
+        lead = np.zeros(len(size), np.int64)
+        lead[lists[head]] = x[head]
+        y = lead[lists]
+        out.append(np.unique(code(x[x != y], y[x != y])))
+        return np.unique(np.concatenate(out))
+    # long lists with members of several components, searched as one set of points
+    lists = np.repeat(np.arange(len(size)), size)
+    lo, hi = np.full(len(size), np.iinfo(np.int64).max), np.full(len(size), np.iinfo(np.int64).min)
+    np.minimum.at(lo, lists, comp[own])
+    np.maximum.at(hi, lists, comp[own])
+    x = np.unique(own[long_ & (lo != hi)[lists]])
+    if not len(x):
+        return out[0]
+    if mode == "all":
+        for i, j, _ in search_tree(v[x], n[x], comp[x], share):
+            out.append(code(x[i], x[j]))
+        return np.unique(np.concatenate(out))
+    ids, inverse, count = np.unique(comp[x], return_inverse=True, return_counts=True)
+    asks = inverse != np.argmax(count)
+    best, partner = np.full(len(x), -1.0), np.zeros(len(x), np.int64)
+    for i, j, bd in search_tree(v[x], n[x], comp[x], share):
+        score = bd / (n[x][i] + n[x][j])
+        for a, b in ((i, j), (j, i)):
+            by = np.lexsort((b, -score, a))
+            one = by[np.concatenate(([True], a[by][1:] != a[by][:-1]))]
+            up = one[score[one] > best[a[one]]]
+            best[a[up]], partner[a[up]] = score[up], b[up]
+    got = np.flatnonzero((best >= 0) & asks)
+    return np.unique(code(x[got], x[partner[got]]))
 
 
 def _prefixes(part: pa.RecordBatch, share: int, buckets: int):
@@ -266,12 +276,14 @@ PACK = "bucket long, i int, j int, tokens binary, owners binary, keys binary, si
 def propose(family: DataFrame, mode: str, share: int, buckets: int, tiles: dict[int, int]) -> DataFrame:
     """Pairs (a, b) of set keys that pass the bound. `family`: key, tokens, comp (a 64-bit component number)."""
 
+    groups, kind = (GROUPS, np.uint16) if mode == "first" else (FINE_GROUPS, np.uint8)
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             if not part.num_rows:
                 continue
             tokens, offs, n, t, own, b = _prefixes(part, share, buckets)
-            v = count_vectors(tokens, offs)
+            v = count_vectors(tokens, offs, groups)
             keys = np.frombuffer(b"".join(part.column("key").to_pylist()), "V16")
             comp = part.column("comp").to_numpy()
             rows: list[tuple] = []
@@ -295,7 +307,7 @@ def propose(family: DataFrame, mode: str, share: int, buckets: int, tiles: dict[
         tokens, owners, keys, sizes, comps = get("tokens", np.uint64), get("owners", np.uint32), get("keys", "V16"), get("sizes", np.int64), get("comps", np.int64)
         base = np.concatenate(([0], np.cumsum([len(x) for x in keys])))
         own = np.concatenate([o.astype(np.int64) + x for o, x in zip(owners, base)])
-        v = np.concatenate(get("vectors", np.uint16)).reshape(-1, GROUPS)
+        v = np.concatenate(get("vectors", kind)).reshape(-1, groups)
         keys, n, comp = np.concatenate(keys), np.concatenate(sizes), np.concatenate(comps)
         # the same order whatever the order of the rows
         by = np.argsort(keys.view(np.uint64).reshape(-1, 2)[:, 0], kind="stable")
@@ -308,8 +320,8 @@ def propose(family: DataFrame, mode: str, share: int, buckets: int, tiles: dict[
         for s in range(0, len(code), 1 << 14):
             a, b = i[s:s + (1 << 14)], j[s:s + (1 << 14)]
             low = np.minimum(v[a], v[b])
-            most = low.sum(1, dtype=np.int64) + np.where((low == 65535).any(1), 1 << 40, 0)
-            ok[s:s + (1 << 14)] = within(most, n[a], n[b], share) & ((comp[a] != comp[b]) | (a != b) & (mode == "first"))
+            most = low.sum(1, dtype=np.int64) + np.where((low == np.iinfo(kind).max).any(1), 1 << 40, 0)
+            ok[s:s + (1 << 14)] = within(most, n[a], n[b], share) & ((comp[a] != comp[b]) | (mode == "first"))
         return pa.table([T.fixed_binary(keys[i[ok]], 16), T.fixed_binary(keys[j[ok]], 16)], ["a", "b"])
 
     packs = family.select("key", "tokens", "comp").mapInArrow(pack, PACK)
@@ -387,22 +399,20 @@ def components(edges: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- the operator
 
 def _token_rows(docs: DataFrame, k: int, words) -> DataFrame:
-    """key, h, n, tokens of the documents whose set is in the Bloom filter."""
+    """key, h, n, tokens of the documents whose id is in the Bloom filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(pa.array(Bloom.hits(words.value, batch.column("_id").to_numpy())))
             for part in T.slices(batch):
                 tokens, offs = T.shingle_sets(part.column("text"), k)
                 keys = T.set_keys(tokens, offs)
-                n = np.diff(offs)
-                hit = Bloom.hits(words.value, keys[:, 0].copy().view(np.int64)) & (n > 0)
-                who = np.flatnonzero(hit)
-                if len(who):
-                    yield pa.RecordBatch.from_arrays(
-                        [T.fixed_binary(keys[who], 16), pa.array(keys[who, 0].view(np.int64)), pa.array(n[who].astype(np.int64)),
-                         T.pieces(tokens[np.repeat(hit, n)], np.concatenate(([0], np.cumsum(n[who]))))], ["key", "h", "n", "tokens"])
+                n = np.diff(offs).astype(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [T.fixed_binary(keys, 16), pa.array(keys[:, 0].copy().view(np.int64)), pa.array(n), T.pieces(tokens, offs)], ["key", "h", "n", "tokens"])
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "key binary, h long, n long, tokens binary")
+    x = docs.select(F.col("text").cast("string").alias("text"), F.xxhash64(F.col("doc_id").cast("long")).alias("_id"))
+    return x.mapInArrow(run, "key binary, h long, n long, tokens binary")
 
 
 def _probe_requests(docs: DataFrame, k: int, probe: float, buckets: int) -> DataFrame:
@@ -460,8 +470,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, share: int = 75) -> DataFrame:
     classes = all_sets.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc"), F.first("h").alias("h"), F.first("n").alias("n"), F.first("n_probe").alias("n_probe"))
     # 1: sets that share enough of the probed part of the token space
     buckets = min(MAX_BUCKETS, max(1, -(-text_bytes(docs) // BUCKET_BYTES)))
-    first = written(_kept(classes.select("key", "h", "n", "n_probe"), shared_counts(_probe_requests(docs, k, PROBE, buckets), buckets), "n_probe", share), "left")
-    words = Bloom(first, "h").shared(spark)
+    first = written(_kept(classes, shared_counts(_probe_requests(docs, k, PROBE, buckets), buckets), "n_probe", share), "left")
+    words = Bloom(first.select(F.xxhash64("doc").alias("h")), "h").shared(spark)
     rows = _token_rows(docs, k, words).join(first.select("key"), "key", "left_semi")
     rows = written(rows.groupBy("key").agg(F.first("h").alias("h"), F.first("n").alias("n"), F.first("tokens").alias("tokens")), "tokens")
     total = int(rows.agg(F.sum("n")).first()[0] or 0)
