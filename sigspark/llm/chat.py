@@ -151,7 +151,7 @@ def format_chats(conversations: DataFrame) -> DataFrame:
 
     Input: conv_id, turn, role, text; other columns are ignored. Output: conv_id, turn, role (as given), out_role, action
     (keep, relabel, merge, relabel and merge), n_empty (empty turns put before it), cost, n_closing (empty turns behind
-    the last), piece. The pieces of a conversation in order of `place` (block, index) are the rendered chat. Turns are
+    the last), piece. The pieces of a conversation in order of (block, place) are the rendered chat. Turns are
     ordered by number, null first, turns of one number by a hash of role and text; repeated rows are turns of their own.
     A null or unknown role takes the cheapest label; null text is empty; rows without conv_id are one conversation. An
     empty table gives an empty result.
@@ -159,7 +159,7 @@ def format_chats(conversations: DataFrame) -> DataFrame:
     b = written(blocks(conversations), "chat")
     e = _borders(b)
     x = b.join(e.withColumnsRenamed({"conv_id": "_c", "block": "_b"}), F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("block") == F.col("_b")), "left")
-    out = "conv_id long, turn long, role string, out_role string, action string, n_empty int, n_closing int, cost int, piece string, block long, index int"
+    out = "conv_id long, turn long, role string, out_role string, action string, n_empty int, n_closing int, cost int, piece string, block long, place int"
     names = [c.split()[0] for c in out.split(", ")]
     kinds = [pa.int64(), pa.int64(), *[pa.string()] * 3, *[pa.int32()] * 3, pa.string(), pa.int64(), pa.int32()]
 

@@ -54,7 +54,7 @@ def cost_of(got, conv):
 
 
 def rendered(got, conv):
-    return "".join(r.piece for r in sorted((r for r in got if r.conv_id == conv), key=lambda r: (r.block, r.index)))
+    return "".join(r.piece for r in sorted((r for r in got if r.conv_id == conv), key=lambda r: (r.block, r.place)))
 
 
 def roles_of(text):

@@ -35,12 +35,12 @@ def check(rows, texts):
         by[r.source] += r.copies * r["size"]
         assert 0 <= r.copies <= 3
     goal = brute_targets(dict(want))
-    largest = defaultdict(int)
+    smallest = defaultdict(lambda: 1 << 60)
     for r in rows:
         assert r.source_size == want[r.source] and r.target == pytest.approx(goal[r.source], abs=1e-6)
-        largest[r.source] = max(largest[r.source], r["size"])
+        smallest[r.source] = min(smallest[r.source], r["size"] or 1 << 60)
     for s in want:
-        assert abs(by[s] - goal[s]) <= max(0.02 * goal[s], min(largest[s], 30)), s
+        assert abs(by[s] - goal[s]) <= max(0.02 * goal[s], smallest[s]), s  # whole copies of the smallest documents settle the rest
 
 
 def test_real_sources(spark):
@@ -51,7 +51,7 @@ def test_real_sources(spark):
     check(rows, texts)
     again = {r.doc_id: r.copies for r in M.mix(docs.repartition(5)).collect()}
     assert again == {r.doc_id: r.copies for r in rows}
-    out = M.mixed(docs, ).groupBy("doc_id").count().collect()
+    out = M.mixed(docs).groupBy("doc_id").count().collect()
     assert {r.doc_id: r["count"] for r in out} == {d: c for d, c in again.items() if c}
 
 
