@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -40,9 +41,12 @@ def bound_batches(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see: what the cluster names in spark.checkpoint.dir, a local one in tests."""
+    """The folder all executors see: what the cluster names in spark.checkpoint.dir. Only a session whose driver is its
+    only executor, as in tests, may fall back to a folder of its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="sigspark-shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder

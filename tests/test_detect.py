@@ -63,51 +63,32 @@ def test_track_over_many_blocks(spark):
     assert len(t) == 6 and {r.track for r in t} == {0}
 
 
-def joins_by_hand(fa, fb, peak, on, power, mask_bins, nbins):
-    """Fragment rules for each neighbouring pair, straight from their description."""
-    out = []
-    db = lambda v: 10 * np.log10(v)
-    for i in range(len(fa) - 1):
-        both = len(on[i] & on[i + 1]) >= 0.8 * min(len(on[i]), len(on[i + 1]))
-        gap, wa, wb = fa[i + 1] - fb[i], fb[i] - fa[i], fb[i + 1] - fa[i + 1]
-        ok = gap <= 0.25 * max(wa, wb)
-        s, w = (i, i + 1) if peak[i] >= peak[i + 1] else (i + 1, i)
-        far = i + 2 if w == i + 1 else i - 1
-        if peak[s] - peak[w] >= 6 and gap <= fb[s] - fa[s]:
-            owned = 0 <= far < len(fa) and peak[far] - peak[w] >= 6 and min(abs(fa[far] - fb[w]), abs(fa[w] - fb[far])) <= fb[far] - fa[far]
-            ok = ok or not owned
-        fr = sorted(on[i] | on[i + 1])
-        span = fb[i + 1] - fa[i]
-        near = [k for k in [*range(max(0, fa[i] - 3 * span), max(0, fa[i] - span)), *range(min(nbins, fb[i + 1] + span), min(nbins, fb[i + 1] + 3 * span))]
-                if k not in mask_bins]
-        if gap > 0 and len(near) >= 4:
-            mean = power[fr].mean(axis=0)
-            g, weaker = mean[fb[i]:fa[i + 1]].mean(), min(mean[fa[i]:fb[i]].mean(), mean[fa[i + 1]:fb[i + 1]].mean())
-            ok = ok or (db(g) - db(np.median(mean[near])) >= 1.5 and db(weaker) - db(g) <= 10)
-        out.append(bool(both and ok))
-    return out
-
-
-@pytest.mark.parametrize("seed", range(3))
-def test_fragment_joins_match_the_rules(spark, seed):
-    r = np.random.default_rng(seed)
-    x = noise(6144, seed)
-    n = 3000
-    for f in r.choice(np.arange(-20, 20), 6, replace=False) * 1000.0:
-        a = int(r.integers(0, 2000))
-        x[a:a + n] += tone(n, f) * float(r.choice([0.06, 0.3, 1.0]))
-    x[1000:4000] += (r.normal(size=3000) + 1j * r.normal(size=3000)) * 0.05
-    f = R.hit_frames(frames(spark, x, 8192, margin=6.0))
-    stats = R.band_stats(R.band_frames(R.as_parts(R.find_bands(f)), f))
-    pairs = R.band_pairs(stats)
-    got = [row.joins for row in R.joinable(pairs, R.pair_levels(pairs, stats, f, NFFT)).orderBy("fa").collect()]
-    b = stats.orderBy("fa").collect()
-    power = S.frame_power(x, FS, NFFT, HOP)
-    fa, fb = [q.fa for q in b], [q.fb for q in b]
-    own = {k for a, z in zip(fa, fb) for k in range(a, z)}
-    assert got == joins_by_hand(fa, fb, [q.peak_db for q in b], [set(q.frames) for q in b], power, own, NFFT)
-    m = R.merged_bands(f, NFFT).count()
-    assert m == len(b) - sum(got)
+#: (bands as (first bin, end bin, frames, peak dB), gap levels as (left, right, gap, noise power) by left band, joined?)
+FRAGMENTS = {
+    "one empty bin between two equal lobes": ([(4, 12, 6, 20.0), (13, 21, 6, 20.0)], {}, [True]),
+    "a gap of half the width": ([(4, 12, 6, 20.0), (16, 24, 6, 20.0)], {}, [False]),
+    "a weak lobe beside a strong one": ([(4, 12, 6, 20.0), (18, 20, 6, 10.0)], {}, [True]),
+    "a weak lobe with a strong band on either side": ([(4, 12, 6, 20.0), (18, 20, 6, 10.0), (24, 32, 6, 20.0)], {}, [False, False]),
+    "a gap well above the noise": ([(4, 12, 6, 20.0), (18, 24, 6, 18.0)], {4: (10.0, 8.0, 2.0, 1.0)}, [True]),
+    "a gap at the noise": ([(4, 12, 6, 20.0), (18, 24, 6, 18.0)], {4: (10.0, 8.0, 1.0, 1.0)}, [False]),
+    "a valley far below both": ([(4, 12, 6, 20.0), (18, 24, 6, 18.0)], {4: (100.0, 80.0, 2.0, 1.0)}, [False]),
+    "lobes at different times": ([(4, 12, range(0, 6), 20.0), (13, 21, range(4, 10), 20.0)], {}, [False]),
+    "a chain of three": ([(4, 12, 6, 20.0), (13, 21, 6, 20.0), (22, 30, 6, 20.0)], {}, [True, True]),
+}
+
+
+@pytest.mark.parametrize("name", FRAGMENTS)
+def test_fragments_of_known_spectra(spark, name):
+    bands, levels, want = FRAGMENTS[name]
+    frames = lambda x: list(range(x)) if isinstance(x, int) else list(x)
+    stats = spark.createDataFrame([(1, 0, fa, fb, frames(t), p) for fa, fb, t, p in bands],
+                                  "capture_id long, block_id long, fa int, fb int, frames array<int>, peak_db double")
+    end = {fa: fb for fa, fb, _, _ in bands}
+    level = spark.createDataFrame([(1, 0, fa, end[fa], *v, 8) for fa, v in levels.items()],
+                                  "capture_id long, block_id long, fa int, fb int, left_power double, right_power double, gap_power double, noise_power double, noise_bins long")
+    joins = R.joinable(R.band_pairs(stats), level)
+    assert [r.joins for r in joins.orderBy("fa").collect()] == want
+    assert R.merge_fragments(stats, joins).count() == len(bands) - sum(want)
 
 
 def test_pulse_train_timing(spark):
