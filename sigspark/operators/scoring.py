@@ -123,39 +123,60 @@ def speed_stats(rows: DataFrame, keys: list[str]) -> DataFrame:
     return a.join(quantiles(rows, keys, "time_s", {"p50_s": 0.5, "p95_s": 0.95}), keys)
 
 
-def match_center_in_band(truth: DataFrame, det: DataFrame) -> DataFrame:
-    """Truth rows (one per capture) flagged by whether some detection strictly contains their centre."""
-    j = det.join(truth.select("capture_id", "centre"), "capture_id")
-    hit = j.where((_c("lo") < _c("centre")) & (_c("centre") < _c("hi"))).select("capture_id").distinct()
-    return truth.join(hit.withColumn("detected", F.lit(True)), "capture_id", "left") \
-        .withColumn("detected", F.coalesce("detected", F.lit(False)))
+TRUTH = ["capture_id", "truth_id"]
+#: width of the frequency bins of the truth join; a parameter, it changes no result
+BIN_HZ = 50.0
 
 
-def match_best_overlap(truth: DataFrame, det: DataFrame) -> DataFrame:
-    """Per capture: detections, how many overlap the true band, and the best overlapping one.
+def _binned(df: DataFrame, lo: str, hi: str, bin_hz: float) -> DataFrame:
+    return df.withColumn("_bin", F.explode(F.sequence(F.floor(_c(lo) / bin_hz), F.floor(_c(hi) / bin_hz))))
 
-    One truth row per capture, so the join is linear in detections; the aggregate combines on the map side.
+
+def _centres(truth: DataFrame, det: DataFrame, bin_hz: float, *more: str) -> DataFrame:
+    """Detections and the truth centres in their frequency bins, on (capture, bin): no capture meets itself as a whole."""
+    t = truth.select(*TRUTH, "centre", *more, F.floor(_c("centre") / bin_hz).alias("_bin"))
+    return _binned(det, "lo", "hi", bin_hz).join(t, ["capture_id", "_bin"]).drop("_bin")
+
+
+def match_center_in_band(truth: DataFrame, det: DataFrame, bin_hz: float = BIN_HZ) -> DataFrame:
+    """Truth rows (capture_id, truth_id; several per capture) flagged by whether a detection strictly contains their centre."""
+    j = _centres(truth, det, bin_hz)
+    hit = j.where((_c("lo") < _c("centre")) & (_c("centre") < _c("hi"))).select(*TRUTH).distinct()
+    return truth.join(hit.withColumn("detected", F.lit(True)), TRUTH, "left").withColumn("detected", F.coalesce("detected", F.lit(False)))
+
+
+def flag_detections(truth: DataFrame, det: DataFrame, bin_hz: float = BIN_HZ) -> DataFrame:
+    """Detections with the number of truth centres strictly inside them; a detection is known by capture, number and band."""
+    key = ["capture_id", "det", "lo", "hi"]
+    j = _centres(truth, det, bin_hz).where((_c("lo") < _c("centre")) & (_c("centre") < _c("hi")))
+    n = j.groupBy(*key).agg(F.countDistinct("truth_id").alias("n_truth"))
+    return det.join(n, key, "left").withColumn("n_truth", F.coalesce("n_truth", F.lit(0).cast("long")))
+
+
+def match_best_overlap(truth: DataFrame, det: DataFrame, bin_hz: float = BIN_HZ) -> DataFrame:
+    """Per truth row: detections of its capture, how many overlap its band, and the best overlapping one.
+
+    Truths and detections meet in shared frequency bins, a pair counts in the first bin it shares.
     """
-    t = truth.select("capture_id", _c("lo").alias("t_lo"), _c("hi").alias("t_hi"))
-    j = det.join(t, "capture_id")
+    t = _binned(truth.select(*TRUTH, _c("lo").alias("t_lo"), _c("hi").alias("t_hi")), "t_lo", "t_hi", bin_hz)
+    j = _binned(det, "lo", "hi", bin_hz).join(t, ["capture_id", "_bin"])
     ov = F.least("hi", "t_hi") - F.greatest("lo", "t_lo")
-    best = F.max(F.when(ov > 0, F.struct(ov.alias("o"), (-_c("det")).alias("d"), _c("lo"), _c("hi"))))
-    a = j.groupBy("capture_id").agg(F.count(F.lit(1)).alias("n_det"), F.count_if(ov > 0).alias("n_overlap"),
-                                    best.alias("b"))
-    a = a.select("capture_id", "n_det", "n_overlap", (-_c("b.d")).alias("best_det"), _c("b.o").alias("overlap_hz"),
-                 _c("b.lo").alias("best_lo"), _c("b.hi").alias("best_hi"))
-    out = truth.join(a, "capture_id", "left").na.fill(0, ["n_det", "n_overlap"])
+    j = j.where((_c("_bin") == F.floor(F.greatest("lo", "t_lo") / bin_hz)) & (ov > 0))
+    best = F.max(F.struct(ov.alias("o"), (-_c("det")).alias("d"), _c("lo"), _c("hi")))
+    a = j.groupBy(*TRUTH).agg(F.count(F.lit(1)).alias("n_overlap"), best.alias("b"))
+    a = a.select(*TRUTH, "n_overlap", (-_c("b.d")).alias("best_det"), _c("b.o").alias("overlap_hz"), _c("b.lo").alias("best_lo"), _c("b.hi").alias("best_hi"))
+    n = det.groupBy("capture_id").agg(F.count(F.lit(1)).alias("n_det"))
+    out = truth.join(n, "capture_id", "left").join(a, TRUTH, "left").na.fill(0, ["n_det", "n_overlap"])
     return out.withColumn("hit", _c("best_det").isNotNull())
 
 
-def match_time_freq(truth: DataFrame, det: DataFrame) -> DataFrame:
-    """Strongest detection that overlaps the burst in time and contains its centre frequency."""
-    t = truth.select("capture_id", "centre", _c("start").alias("t_start"), _c("end").alias("t_end"))
-    j = det.join(t, "capture_id").where((_c("lo") <= _c("centre")) & (_c("centre") <= _c("hi"))
-                                        & (_c("start") < _c("t_end")) & (_c("end") > _c("t_start")))
-    b = j.groupBy("capture_id").agg(F.max(F.struct("excess", (-_c("det")).alias("d"), "lo", "hi")).alias("b"))
-    return b.select("capture_id", (-_c("b.d")).alias("det"), _c("b.excess").alias("excess"),
-                    (_c("b.hi") - _c("b.lo")).alias("width_hz"))
+def match_time_freq(truth: DataFrame, det: DataFrame, bin_hz: float = BIN_HZ) -> DataFrame:
+    """Per truth row: the strongest detection that overlaps the burst in time and contains its centre frequency."""
+    x = truth.withColumns({"t_start": _c("start"), "t_end": _c("end")})
+    j = _centres(x, det, bin_hz, "t_start", "t_end").where((_c("lo") <= _c("centre")) & (_c("centre") <= _c("hi"))
+                                                           & (_c("start") < _c("t_end")) & (_c("end") > _c("t_start")))
+    b = j.groupBy(*TRUTH).agg(F.max(F.struct("excess", (-_c("det")).alias("d"), "lo", "hi")).alias("b"))
+    return b.select(*TRUTH, (-_c("b.d")).alias("det"), _c("b.excess").alias("excess"), (_c("b.hi") - _c("b.lo")).alias("width_hz"))
 
 
 def width_ratio(matched: DataFrame) -> DataFrame:

@@ -127,25 +127,40 @@ def translate_windows(windows: Column, a: Column, b: Column) -> Column:
     return F.filter(moved, lambda w: w["end_sample"] > w["start_sample"])
 
 
+# fixed text of a track without an agreed label
+DISAGREE = "not reliably estimated (sampled spans disagree: %s)"
+TOO_FEW = "not reliably estimated (a label on %s of %s sampled spans, fewer than half)"
+
+
 def combine_spans(spans: DataFrame) -> DataFrame:
-    """Medians over a track's (at most eight) spans; a label only when unanimous on at least half of them."""
-    keys = ["track"]
+    """Medians over the spans of a track of a capture; a label only when unanimous on at least half of them.
+
+    Spans that could not be analysed (`ok` false) count for the half, but for nothing else; a track without any other has
+    NULLs. `status` says why there is no label. `rep_idx` is the agreeing span nearest to the middle of the analysed ones.
+    """
+    keys = ["capture_id", "track"]
+    w = W.partitionBy(*keys).orderBy("idx")
+    x = spans.withColumn("_ok", F.coalesce("ok", F.lit(False)))
+    x = x.withColumn("_at", F.when(F.col("_ok"), F.sum(F.col("_ok").cast("int")).over(w.rowsBetween(W.unboundedPreceding, 0)) - 1))
+    x = x.withColumns({c: F.when(F.col("_ok"), F.col(c)) for c in ("label", "rate", "cf", "bw3", "bw99", "snr")})
     labelled = F.col("label").isNotNull()
-    a = spans.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_spans"), *[F.percentile(c, 0.5).alias(f"_{c}") for c in ("cf", "bw3", "snr")],
-        F.min("label").alias("_l0"), F.max("label").alias("_l1"), F.count("label").alias("_nl"),
+    a = x.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_spans"), F.count_if("_ok").alias("n_ok"), *[F.percentile(c, 0.5).alias(f"_{c}") for c in ("cf", "bw3", "bw99", "snr")],
+        F.array_sort(F.collect_set("label")).alias("_labels"), F.count("label").alias("_nl"),
         F.percentile(F.when(labelled, F.col("rate")), 0.5).alias("_rate"),
         F.count(F.when(labelled, F.col("rate"))).alias("_rated"))
-    agreed = F.when((F.col("_l0") == F.col("_l1")) & (2 * F.col("_nl") >= F.col("n_spans")), F.col("_l0"))
-    a = a.withColumn("modulation_label", agreed)
-    j = spans.join(a, keys)
-    off = F.abs(F.col("idx") - (F.col("n_spans") - 1) / 2)
-    fits = F.col("modulation_label").isNull() | (F.col("label") == F.col("modulation_label"))
+    one = (F.size("_labels") == 1) & (2 * F.col("_nl") >= F.col("n_spans"))
+    a = a.withColumn("modulation_label", F.when(one, F.col("_labels")[0]))
+    why = F.when(F.size("_labels") > 1, F.format_string(DISAGREE, F.array_join("_labels", ", "))).otherwise(F.format_string(TOO_FEW, "_nl", "n_spans"))
+    a = a.withColumn("status", F.when(F.col("modulation_label").isNull() & (F.col("n_ok") > 0), why))
+    j = x.join(a, keys)
+    off = F.abs(F.col("_at") - (F.col("n_ok") - 1) / 2)
+    fits = F.col("_ok") & (F.col("modulation_label").isNull() | (F.col("label") == F.col("modulation_label")))
     b = j.groupBy(*keys).agg(F.max(F.when(labelled, F.abs(F.col("rate") - F.col("_rate")))).alias("_worst"),
                              F.min(F.when(fits, F.struct(off.alias("o"), F.col("idx").alias("i")))).alias("_rep"))
     ok = (F.col("modulation_label").isNotNull() & (F.col("_rated") == F.col("_nl"))
           & (F.col("_worst") <= 0.05 * F.col("_rate")))
     return a.join(b, keys).select(
-        *keys, "n_spans", F.col("_cf").alias("center_frequency_hz"),
-        F.col("_bw3").alias("bandwidth_3db_hz"), F.col("_snr").alias("snr_db"), "modulation_label",
-        F.when(ok, F.col("_rate")).alias("symbol_rate_hz"), F.col("_rep.i").alias("rep_idx"))
+        *keys, "n_spans", (F.col("n_spans") - F.col("n_ok")).alias("n_failed"), F.col("_cf").alias("center_frequency_hz"),
+        F.col("_bw3").alias("bandwidth_3db_hz"), F.col("_bw99").alias("bandwidth_99pct_hz"), F.col("_snr").alias("snr_db"), "modulation_label",
+        F.when(ok, F.col("_rate")).alias("symbol_rate_hz"), F.col("_rep.i").alias("rep_idx"), "status")

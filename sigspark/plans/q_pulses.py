@@ -315,26 +315,34 @@ def _(spark, d):
         "capture_id", "start_sample", F.col("pulse_windows")[0]["start_sample"].alias("a"), F.col("pulse_windows")[0]["end_sample"].alias("b"))
 
 
-_SPANRES = """SELECT candidate AS track, row_number() OVER (PARTITION BY candidate ORDER BY score, expert, label, residual, usage, rate)-1 AS idx,
-  CASE WHEN label NOT IN ('none','FM') THEN label END AS label, rate, score AS cf, usage AS bw3, residual AS snr FROM hyps"""
-
-
-@query("combine_spans", sql("""SELECT track, n_spans, round(cf,8) AS center_frequency_hz, round(bw3,8)+0.0 AS bandwidth_3db_hz, round(snr,8)+0.0 AS snr_db,
-  CASE WHEN nl=1 AND 2*labelled>=n_spans THEN l END AS modulation_label,
-  CASE WHEN nl=1 AND 2*labelled>=n_spans AND rated=labelled AND worst<=0.05*mr THEN round(mr,8)+0.0 END AS symbol_rate_hz, rep_idx
-  FROM (SELECT s.track, count(*) AS n_spans, median(cf) AS cf, median(bw3) AS bw3, median(snr) AS snr, count(DISTINCT label) AS nl, count(label) AS labelled,
+# the spans of the tracks of 100 captures; track numbers repeat between captures, some spans could not be analysed
+_SPANRES = """SELECT *, CASE WHEN ok THEN count(*) FILTER (ok) OVER (PARTITION BY capture_id, track ORDER BY idx)-1 END AS pos FROM (
+  SELECT capture_id, track, idx, ok, CASE WHEN ok THEN lab END AS label, CASE WHEN ok THEN rate END AS rate, CASE WHEN ok THEN score END AS cf,
+  CASE WHEN ok THEN usage END AS bw3, CASE WHEN ok AND usage>0.04 THEN usage*2 END AS bw99, CASE WHEN ok THEN residual END AS snr FROM (
+  SELECT candidate%100 AS capture_id, candidate//100 AS track, row_number() OVER (PARTITION BY candidate ORDER BY score, expert, label, residual, usage, rate)-1 AS idx,
+  CASE WHEN label NOT IN ('none','FM') THEN label END AS lab, expert<>'null' AS ok, rate, score, usage, residual FROM hyps))"""
+
+
+@query("combine_spans", sql("""SELECT capture_id, track, n_spans, n_spans-n_ok AS n_failed, round(cf,8) AS center_frequency_hz, round(bw3,8)+0.0 AS bandwidth_3db_hz,
+  round(bw99,8)+0.0 AS bandwidth_99pct_hz, round(snr,8)+0.0 AS snr_db, CASE WHEN nl=1 AND 2*labelled>=n_spans THEN l END AS modulation_label,
+  CASE WHEN nl=1 AND 2*labelled>=n_spans AND rated=labelled AND worst<=0.05*mr THEN round(mr,8)+0.0 END AS symbol_rate_hz, rep_idx,
+  CASE WHEN nl=1 AND 2*labelled>=n_spans OR n_ok=0 THEN NULL WHEN nl>1 THEN 'not reliably estimated (sampled spans disagree: '||labels||')'
+    ELSE 'not reliably estimated (a label on '||labelled||' of '||n_spans||' sampled spans, fewer than half)' END AS status
+  FROM (SELECT s.capture_id, s.track, count(*) AS n_spans, count(*) FILTER (ok) AS n_ok, median(cf) AS cf, median(bw3) AS bw3, median(bw99) AS bw99, median(snr) AS snr,
+    count(DISTINCT label) AS nl, count(label) AS labelled, string_agg(DISTINCT label, ', ' ORDER BY label) AS labels,
     min(label) AS l, median(rate) FILTER (label IS NOT NULL) AS mr, count(rate) FILTER (label IS NOT NULL) AS rated FROM spanres s GROUP BY ALL) a
-  LEFT JOIN (SELECT track, max(abs(rate-m)) AS worst FROM spanres JOIN (SELECT track, median(rate) FILTER (label IS NOT NULL) AS m FROM spanres GROUP BY 1) USING (track)
-    WHERE label IS NOT NULL GROUP BY 1) b USING (track)
-  JOIN (SELECT track, idx AS rep_idx FROM (SELECT *, count(*) OVER (PARTITION BY track) AS n, count(DISTINCT label) OVER (PARTITION BY track) AS dl,
-    count(label) OVER (PARTITION BY track) AS nlab FROM spanres) WHERE NOT (dl=1 AND 2*nlab>=n) OR label IS NOT NULL
-    QUALIFY row_number() OVER (PARTITION BY track ORDER BY abs(idx-(n-1)/2), idx)=1) c USING (track)""", "hyps", spanres=_SPANRES))
+  LEFT JOIN (SELECT capture_id, track, max(abs(rate-m)) AS worst FROM spanres JOIN (SELECT capture_id, track, median(rate) FILTER (label IS NOT NULL) AS m FROM spanres GROUP BY 1, 2)
+    USING (capture_id, track) WHERE label IS NOT NULL GROUP BY 1, 2) b USING (capture_id, track)
+  LEFT JOIN (SELECT capture_id, track, idx AS rep_idx FROM (SELECT *, count(*) OVER (PARTITION BY capture_id, track) AS n, count(*) FILTER (ok) OVER (PARTITION BY capture_id, track) AS nok,
+    count(DISTINCT label) OVER (PARTITION BY capture_id, track) AS dl, count(label) OVER (PARTITION BY capture_id, track) AS nlab FROM spanres)
+    WHERE ok AND (NOT (dl=1 AND 2*nlab>=n) OR label IS NOT NULL)
+    QUALIFY row_number() OVER (PARTITION BY capture_id, track ORDER BY abs(pos-(nok-1)/2), idx)=1) c USING (capture_id, track)""", "hyps", spanres=_SPANRES))
 def _(spark, d):
     from pyspark.sql import Window as W
     h = V.hypotheses(spark, d)
     w = W.partitionBy("candidate").orderBy("score", "expert", "label", "residual", "usage", F.col("rate").asc_nulls_last())
-    s = h.select(F.col("candidate").alias("track"), (F.row_number().over(w) - 1).cast("long").alias("idx"),
-                 F.when(~F.col("label").isin("none", "FM"), F.col("label")).alias("label"), "rate",
-                 F.col("score").alias("cf"), F.col("usage").alias("bw3"), F.col("residual").alias("snr"))
+    s = h.select((F.col("candidate") % 100).alias("capture_id"), F.floor(F.col("candidate") / 100).alias("track"), (F.row_number().over(w) - 1).cast("long").alias("idx"),
+                 F.when(~F.col("label").isin("none", "FM"), F.col("label")).alias("label"), "rate", (F.col("expert") != "null").alias("ok"),
+                 F.col("score").alias("cf"), F.col("usage").alias("bw3"), F.when(F.col("usage") > 0.04, F.col("usage") * 2).alias("bw99"), F.col("residual").alias("snr"))
     c = TR.combine_spans(s)
-    return c.withColumns({k: r(F.col(k), 8) for k in ("center_frequency_hz", "bandwidth_3db_hz", "snr_db", "symbol_rate_hz")})
+    return c.withColumns({k: r(F.col(k), 8) for k in ("center_frequency_hz", "bandwidth_3db_hz", "bandwidth_99pct_hz", "snr_db", "symbol_rate_hz")})

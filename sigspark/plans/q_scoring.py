@@ -133,17 +133,24 @@ def _(spark, d):
     return M.gen_marks(M.criteria(spark, M.all_stats(_gen(spark, d), "gen")))
 
 
-@query("match_center_in_band", sql("""SELECT t.capture_id, EXISTS (SELECT 1 FROM detected_bands x WHERE x.capture_id=t.capture_id AND lo<centre AND centre<hi)
-  AS detected FROM (SELECT capture_id, centre FROM truth_bands) t""", "truth_bands", "detected_bands"))
+@query("match_center_in_band", sql("""SELECT t.capture_id, truth_id, EXISTS (SELECT 1 FROM detected_bands x WHERE x.capture_id=t.capture_id AND lo<centre AND centre<hi)
+  AS detected FROM (SELECT capture_id, truth_id, centre FROM truth_bands) t""", "truth_bands", "detected_bands"))
 def _(spark, d):
-    return M.match_center_in_band(V.truth_bands(spark, d), V.detected_bands(spark, d)).select("capture_id", "detected")
+    return M.match_center_in_band(V.truth_bands(spark, d), V.detected_bands(spark, d)).select("capture_id", "truth_id", "detected")
+
+
+@query("flag_detections", sql("""SELECT d.capture_id, d.det, (SELECT count(*) FROM truth_bands t WHERE t.capture_id=d.capture_id AND d.lo<t.centre AND t.centre<d.hi) AS n_truth
+  FROM detected_bands d""", "truth_bands", "detected_bands"))
+def _(spark, d):
+    return M.flag_detections(V.truth_bands(spark, d), V.detected_bands(spark, d)).select("capture_id", "det", "n_truth")
 
 
 _BEST = """SELECT t.*, coalesce(n_det,0) AS n_det, coalesce(n_overlap,0) AS n_overlap, best_det, overlap_hz, best_lo, best_hi, best_det IS NOT NULL AS hit
-  FROM truth_bands t LEFT JOIN (SELECT capture_id, count(*) AS n_det, count(*) FILTER (ov>0) AS n_overlap FROM ovl GROUP BY 1) USING (capture_id)
-  LEFT JOIN (SELECT capture_id, det AS best_det, ov AS overlap_hz, dlo AS best_lo, dhi AS best_hi FROM ovl WHERE ov>0
-  QUALIFY row_number() OVER (PARTITION BY capture_id ORDER BY ov DESC, det, dlo DESC, dhi DESC)=1) USING (capture_id)"""
-_OVL = """SELECT d.capture_id, d.det, d.lo AS dlo, d.hi AS dhi, least(d.hi,t.hi)-greatest(d.lo,t.lo) AS ov FROM detected_bands d JOIN truth_bands t USING (capture_id)"""
+  FROM truth_bands t LEFT JOIN (SELECT capture_id, count(*) AS n_det FROM detected_bands GROUP BY 1) USING (capture_id)
+  LEFT JOIN (SELECT capture_id, truth_id, count(*) FILTER (ov>0) AS n_overlap FROM ovl GROUP BY 1, 2) USING (capture_id, truth_id)
+  LEFT JOIN (SELECT capture_id, truth_id, det AS best_det, ov AS overlap_hz, dlo AS best_lo, dhi AS best_hi FROM ovl WHERE ov>0
+  QUALIFY row_number() OVER (PARTITION BY capture_id, truth_id ORDER BY ov DESC, det, dlo DESC, dhi DESC)=1) USING (capture_id, truth_id)"""
+_OVL = """SELECT d.capture_id, t.truth_id, d.det, d.lo AS dlo, d.hi AS dhi, least(d.hi,t.hi)-greatest(d.lo,t.lo) AS ov FROM detected_bands d JOIN truth_bands t USING (capture_id)"""
 BEST = {"ovl": _OVL, "best": _BEST}
 
 
@@ -151,24 +158,24 @@ def _best(spark, d):
     return M.match_best_overlap(V.truth_bands(spark, d), V.detected_bands(spark, d))
 
 
-@query("match_best_overlap", sql("""SELECT capture_id, n_det, n_overlap, hit, best_det, round(overlap_hz,6) AS overlap_hz, round(best_lo,6)+0.0 AS best_lo
+@query("match_best_overlap", sql("""SELECT capture_id, truth_id, n_det, n_overlap, hit, best_det, round(overlap_hz,6) AS overlap_hz, round(best_lo,6)+0.0 AS best_lo
   FROM best""", "truth_bands", "detected_bands", **BEST))
 def _(spark, d):
-    b = _best(spark, d).select("capture_id", "n_det", "n_overlap", "hit", "best_det", "overlap_hz", "best_lo")
+    b = _best(spark, d).select("capture_id", "truth_id", "n_det", "n_overlap", "hit", "best_det", "overlap_hz", "best_lo")
     return rnd(b, "overlap_hz", "best_lo")
 
 
-@query("match_time_freq", sql("""SELECT capture_id, det, excess, round(hi-lo,6) AS width_hz FROM (SELECT d.* FROM detected_bands d JOIN truth_bands t ON
+@query("match_time_freq", sql("""SELECT capture_id, truth_id, det, excess, round(hi-lo,6) AS width_hz FROM (SELECT d.*, t.truth_id FROM detected_bands d JOIN truth_bands t ON
   d.capture_id=t.capture_id AND d.lo<=t.centre AND t.centre<=d.hi AND d.start<t."end" AND d."end">t.start)
-  QUALIFY row_number() OVER (PARTITION BY capture_id ORDER BY excess DESC, det, lo DESC, hi DESC)=1""", "truth_bands", "detected_bands"))
+  QUALIFY row_number() OVER (PARTITION BY capture_id, truth_id ORDER BY excess DESC, det, lo DESC, hi DESC)=1""", "truth_bands", "detected_bands"))
 def _(spark, d):
     return rnd(M.match_time_freq(V.truth_bands(spark, d), V.detected_bands(spark, d)), "width_hz")
 
 
-@query("width_ratio", sql("SELECT capture_id, round(CASE WHEN hit THEN (best_hi-best_lo)/(hi-lo) END,6) AS width_ratio FROM best",
+@query("width_ratio", sql("SELECT capture_id, truth_id, round(CASE WHEN hit THEN (best_hi-best_lo)/(hi-lo) END,6) AS width_ratio FROM best",
                           "truth_bands", "detected_bands", **BEST))
 def _(spark, d):
-    return rnd(M.width_ratio(_best(spark, d)).select("capture_id", "width_ratio"), "width_ratio")
+    return rnd(M.width_ratio(_best(spark, d)).select("capture_id", "truth_id", "width_ratio"), "width_ratio")
 
 
 @query("bounds_stats", sql(f"""SELECT kind, count(*) AS n, {sh('ok_bounds', 'coalesce(w>=0.5 AND w<=2,FALSE)')}, {sh('too_wide', 'coalesce(w>2,FALSE)')},

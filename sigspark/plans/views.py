@@ -68,12 +68,14 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def truth_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """orders: one true signal per capture (the order), its band and its time span."""
+    """orders: the true signals of a capture (the order), their bands and time spans; every other capture has two."""
     o = table(spark, sf_dir, "orders")
-    c = F.col("o_totalprice") % 1000.0
+    both = F.sequence(F.lit(0).cast("long"), (F.col("o_orderkey") % 2).cast("long"))
+    o = o.select("*", F.explode(both).alias("truth_id"))
+    c = (F.col("o_totalprice") + F.col("truth_id") * 400.0) % 1000.0
     w = F.col("o_totalprice") % 97.0 + 40.0
     start = F.datediff("o_orderdate", F.lit("1990-01-01")).cast("long")
-    return o.select(F.col("o_orderkey").alias("capture_id"), (c - w / 2).alias("lo"), (c + w / 2).alias("hi"),
+    return o.select(F.col("o_orderkey").alias("capture_id"), "truth_id", (c - w / 2).alias("lo"), (c + w / 2).alias("hi"),
                     c.alias("centre"), start.alias("start"), (start + 60).alias("end"),
                     F.col("o_orderpriority").alias("kind"))
 
@@ -259,9 +261,9 @@ CTES: dict[str, tuple[list[str], str]] = {
           max(datediff('hour', TIMESTAMP '2024-01-01', date_trunc('hour',ts))) AS last FROM events GROUP BY 1)) g
         LEFT JOIN (SELECT event_type AS capture_id, datediff('hour', TIMESTAMP '2024-01-01', date_trunc('hour',ts)) AS n,
           sum(value) AS power FROM events GROUP BY ALL) e USING (capture_id, n)"""),
-    "truth_bands": ([], """SELECT o_orderkey AS capture_id, c-w/2 AS lo, c+w/2 AS hi, c AS centre, s AS start, s+60 AS "end",
-        o_orderpriority AS kind FROM (SELECT *, o_totalprice%1000.0::DOUBLE AS c, o_totalprice%97.0::DOUBLE+40.0 AS w,
-        datediff('day', DATE '1990-01-01', o_orderdate::DATE) AS s FROM orders)"""),
+    "truth_bands": ([], """SELECT o_orderkey AS capture_id, truth_id, c-w/2 AS lo, c+w/2 AS hi, c AS centre, s AS start, s+60 AS "end",
+        o_orderpriority AS kind FROM (SELECT *, (o_totalprice+truth_id*400.0::DOUBLE)%1000.0::DOUBLE AS c, o_totalprice%97.0::DOUBLE+40.0 AS w,
+        datediff('day', DATE '1990-01-01', o_orderdate::DATE) AS s FROM (SELECT *, unnest(range(o_orderkey%2+1)) AS truth_id FROM orders))"""),
     "detected_bands": ([], """SELECT l_orderkey AS capture_id, l_linenumber AS det, c-w/2 AS lo, c+w/2 AS hi, s AS start,
         s+l_quantity::BIGINT AS "end", l_extendedprice/1e4 AS excess, l_discount AS conf FROM (
         SELECT *, l_extendedprice%1000.0::DOUBLE AS c, l_quantity*4.0 AS w,
