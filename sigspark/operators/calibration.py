@@ -14,13 +14,13 @@ MIN_COUNT, PRECISION = 8, 0.97
 
 
 def score_table(df: DataFrame, keys: list[str], score: str, label: str) -> DataFrame:
-    """One row per distinct score with its mean outcome and weight; scores carry 4 decimals, so <= 10,001 rows a key."""
+    """One row per distinct score with its mean outcome and weight."""
     return df.groupBy(*keys, F.col(score).alias("x")).agg(F.avg(F.col(label).cast("double")).alias("y"),
                                                          F.count(F.lit(1)).cast("double").alias("w"))
 
 
-def pool_violators(y: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """Weighted non-decreasing fit of values already in score order."""
+def pools(y: np.ndarray, w: np.ndarray) -> tuple[list[float], list[float], list[int]]:
+    """Weighted non-decreasing fit of values already in score order: level, weight and size of each pool."""
     level, weight, size = [], [], []
     for v, c in zip(y, w):
         level.append(v), weight.append(c), size.append(1)
@@ -29,20 +29,43 @@ def pool_violators(y: np.ndarray, w: np.ndarray) -> np.ndarray:
             level[-2] = (level[-2] * weight[-2] + level[-1] * weight[-1]) / t
             weight[-2], size[-2] = t, size[-2] + size[-1]
             level.pop(), weight.pop(), size.pop()
+    return level, weight, size
+
+
+def pool_violators(y: np.ndarray, w: np.ndarray) -> np.ndarray:
+    level, _, size = pools(y, w)
     return np.repeat(level, size)
 
 
-def isotonic_fit(df: DataFrame, keys: list[str], score: str, label: str) -> DataFrame:
-    """Knots (keys, x, y). Tied scores are averaged first; what is pooled in one task is the bounded score table."""
+#: distinct scores pooled in one task of the first step
+RANGE_SCORES = 1 << 16
+
+
+def isotonic_fit(df: DataFrame, keys: list[str], score: str, label: str, range_scores: int = RANGE_SCORES) -> DataFrame:
+    """Knots (keys, x, y) for any number of scores. Tied scores are averaged first.
+
+    Violators are pooled inside ranges of `range_scores` distinct scores, then the pools of all ranges of a key are pooled
+    again, which gives the same fit. With 0/1 outcomes the pools of n rows are corners of a convex path on a grid, at most
+    about n^(2/3) of them, and that is what the second step has in one task.
+    """
     t = score_table(df, keys, score, label)
-    spec = ", ".join(f"{k} {dict(t.dtypes)[k]}" for k in keys) + ", x double, y double"
+    t = numbered(t, keys, value_bucket(F.col("x"), FINE), ["x"], "_rn").withColumn("_range", F.floor((F.col("_rn") - 1) / range_scores)).drop("_rn")
+    spec = ", ".join(f"{k} {dict(t.dtypes)[k]}" for k in keys)
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > 10_001:
-            raise ValueError("scores must be rounded to 4 decimals")
+    def inside(pdf: pd.DataFrame) -> pd.DataFrame:
         p = pdf.sort_values("x")
-        return p[[*keys, "x"]].assign(y=pool_violators(p.y.to_numpy(), p.w.to_numpy()))
-    return t.groupBy(*keys).applyInPandas(fit, spec)
+        level, weight, size = pools(p.y.to_numpy(), p.w.to_numpy())
+        n = np.arange(len(level))
+        return p[[*keys, "_range", "x"]].assign(_pool=np.repeat(n, size), _level=np.repeat(level, size), _weight=np.repeat(weight, size))
+
+    def across(pdf: pd.DataFrame) -> pd.DataFrame:
+        p = pdf.sort_values(["_range", "_pool"])
+        return p[[*keys, "_range", "_pool"]].assign(y=pool_violators(p._level.to_numpy(), p._weight.to_numpy()))
+
+    x = t.groupBy(*keys, "_range").applyInPandas(inside, f"{spec}, _range long, x double, _pool long, _level double, _weight double")
+    p = x.select(*keys, "_range", "_pool", "_level", "_weight").distinct()
+    y = p.groupBy(*keys).applyInPandas(across, f"{spec}, _range long, _pool long, y double")
+    return x.join(y, [*keys, "_range", "_pool"]).select(*keys, "x", "y")
 
 
 CELLS = 1024

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -218,8 +219,19 @@ def gamma_quantile_table(segment_counts: list[int], prob: float = 0.2) -> dict[i
     return out
 
 
+_RATIOS: dict[int, float] = {}
+
+
+@F.pandas_udf("double")
+def gamma_ratio(segments: pd.Series) -> pd.Series:
+    """The quantile's share of the mean for any number of averaged segments; each number is solved once per worker."""
+    new = sorted({int(k) for k in segments.dropna().unique()} - _RATIOS.keys())
+    _RATIOS.update(gamma_quantile_table(new))
+    return segments.map(_RATIOS)
+
+
 def noise_floor_robust(psd: DataFrame, keys: list[str], q: Column) -> DataFrame:
-    """20th percentile of the usable bins over its expected ratio `q`, bounded under the median."""
+    """20th percentile of the usable bins over its expected ratio `q`, bounded under the median; NULL where q is."""
     med = psd.groupBy(*keys).agg(F.greatest(F.percentile("power", 0.5), F.lit(EPS)).alias("med"))
     j = psd.join(med, keys)
     usable = F.col("power") >= F.col("med") / 10
@@ -228,8 +240,8 @@ def noise_floor_robust(psd: DataFrame, keys: list[str], q: Column) -> DataFrame:
         F.percentile(F.when(usable, F.col("power")), 0.2).alias("p20_usable"),
         F.percentile("power", 0.2).alias("p20_all"))
     p20 = F.when(F.col("usable_bins") >= 16, F.col("p20_usable")).otherwise(F.col("p20_all"))
-    return a.select(*keys, "usable_bins", F.greatest(p20 / q, F.col("med") / 10 ** 0.6, F.lit(EPS))
-                    .alias("noise_floor"))
+    floor = F.greatest(p20 / F.col("_q"), F.col("med") / 10 ** 0.6, F.lit(EPS))
+    return a.withColumn("_q", q).select(*keys, "usable_bins", F.when(F.col("_q").isNotNull(), floor).alias("noise_floor"))
 
 
 def block_weighted_psd(psd: DataFrame, weight: Column) -> DataFrame:

@@ -132,8 +132,8 @@ def _segments(n_expr):
     return f"greatest(1,({n_expr}-16)//16)"
 
 
-# segments per block length in the view: interior blocks 1056, edge blocks 928
-_Q = S.gamma_quantile_table(sorted({max(1, (n - 16) // 16) for n in (928, 1056)}))
+# every segment count that a block of the view can have
+_Q = S.gamma_quantile_table(list(range(1, 67)))
 _Q_SQL = "CASE " + " ".join(f"WHEN k={k} THEN {v!r}" for k, v in _Q.items()) + " END"
 
 
@@ -145,9 +145,8 @@ _Q_SQL = "CASE " + " ".join(f"WHEN k={k} THEN {v!r}" for k, v in _Q.items()) + "
 def _(spark, d):
     c = V.cells(spark, d)
     psd = S.welch_psd(c, ["capture_id", "block_id", "lft", "rgt"], 2, F.col("lft") / V.HOP)
-    k = F.greatest(F.lit(1), F.floor((F.col("rgt") - F.col("lft") - 16) / 16))
-    q = F.coalesce(*[F.when(k == kk, F.lit(v)) for kk, v in _Q.items()])
-    f = S.noise_floor_robust(psd, ["capture_id", "block_id", "lft", "rgt"], q)
+    k = F.greatest(F.lit(1), F.floor((F.col("rgt") - F.col("lft") - 16) / 16)).cast("long")
+    f = S.noise_floor_robust(psd, ["capture_id", "block_id", "lft", "rgt"], S.gamma_ratio(k))
     return f.select("capture_id", "block_id", "usable_bins", r(F.col("noise_floor") * 1e6).alias("noise_floor"))
 
 

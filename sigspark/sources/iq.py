@@ -6,8 +6,8 @@ own blocks. Any file length gives bounded rows and an even spread, and no whole
 
 from __future__ import annotations
 
+import hashlib
 import struct
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,6 +28,12 @@ SCHEMA = ("path string, capture_id long, block_id long, lft long, rgt long, core
           "sample_rate double, i array<double>, q array<double>")
 
 
+def capture_number(path: str) -> int:
+    """63-bit number of a file, the same whether a local path comes with or without its scheme."""
+    plain = "/" + path.split(":", 1)[1].lstrip("/") if path.startswith("file:") else path
+    return int.from_bytes(hashlib.blake2b(plain.encode(), digest_size=8).digest(), "big") >> 1
+
+
 def scale_codes(values: np.ndarray, kind: np.dtype, wav: bool = False) -> np.ndarray:
     """Integer codes to full scale +-1. Unsigned raw codes have midpoint 127.5, unsigned WAV codes 128."""
     v = values.astype(np.float64)
@@ -158,7 +164,7 @@ class BlockReader(DataSourceReader):
                 if peak > MAX_MAGNITUDE:
                     raise ValueError(f"{lay.path}: sample magnitude is too large; verify the datatype")
                 one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(np.ascontiguousarray(x)))
-                cid = zlib.crc32(lay.path.encode())
+                cid = capture_number(lay.path)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([lay.path]), *[pa.array([int(x)], pa.int64()) for x in (cid, b, a, z, c0, c1)],
                      pa.array([lay.rate]), one(i), one(q)], names=names)
