@@ -132,16 +132,15 @@ def _(spark, d):
     return t.select(*BK, F.col("rank").cast("long").alias("rank"), r(F.col("frequency_hz"), 4).alias("frequency_hz"), r(F.col("power") * 1e6).alias("power"))
 
 
-_PROPS = """SELECT candidate, list(rate ORDER BY score, expert, label, residual, usage, rate) AS rates FROM (SELECT * FROM hyps WHERE rate IS NOT NULL
-  QUALIFY row_number() OVER (PARTITION BY candidate ORDER BY score, expert, label, residual, usage, rate)<=8) GROUP BY 1"""
+_PROPS = """SELECT candidate, list(rate ORDER BY score, expert, label, residual, usage, rate) AS rates FROM (SELECT * FROM hyps WHERE rate IS NOT NULL) GROUP BY 1"""
 
 
 @query("dedupe_tolerance", sql("""SELECT candidate, list_reduce(list_transform(list_filter(rates, lambda x: x>=300 AND x<=4800), lambda x: [x]), lambda acc, x: CASE WHEN len(list_filter(acc, lambda q: abs(x[1]-q)/q<0.3))>0
   THEN acc ELSE list_concat(acc,x) END, []::DOUBLE[]) AS kept FROM props""", "hyps", props=_PROPS))
 def _(spark, d):
-    # proposals per candidate are bounded: the eight best-scoring ones
+    # the hypotheses of one candidate, best first
     w = W.partitionBy("candidate").orderBy("score", "expert", "label", "residual", "usage", "rate")
-    h = V.hypotheses(spark, d).where("rate IS NOT NULL").withColumn("rn", F.row_number().over(w)).where("rn <= 8")
+    h = V.hypotheses(spark, d).where("rate IS NOT NULL").withColumn("rn", F.row_number().over(w))
     g = h.groupBy("candidate").agg(F.array_sort(F.collect_list(F.struct("rn", "rate"))).alias("a"))
     return g.select("candidate", H.dedupe_tolerance(F.transform("a", lambda s: s["rate"]), 300.0, 4800.0, 0.3).alias("kept"))
 
@@ -340,11 +339,21 @@ def _(spark, d):
     return li.select("l_orderkey", "l_linenumber", lab.alias("label"), why.alias("provenance"))
 
 
-@query("iq_or_audio")
+# the Hilbert twin of an even number of samples as a circular sum over odd distances
+_TWIN = """SELECT a.capture_id, a.n, a.i, a.q, sum(b.v*2/total/tan(pi()*(a.n-b.n)/total)) AS h FROM iqv a JOIN iqv b ON a.capture_id=b.capture_id AND (a.n-b.n)%2<>0
+  JOIN caps c ON c.capture_id=a.capture_id GROUP BY ALL"""
+
+
+@query("iq_or_audio", sql("""SELECT capture_id, round(c,6)+0.0 AS correlation, round(qd,6) AS quadrature, round(least(va,vb)/greatest(va,vb),6) AS balance,
+  CASE WHEN least(va,vb)>=1e-15 AND qd>0.9 AND abs(c)<0.2 AND least(va,vb)/greatest(va,vb)>0.5 THEN 'iq_pair_evidence' ELSE 'ambiguous' END AS result FROM (
+  SELECT capture_id, var_pop(i) AS va, var_pop(q) AS vb, corr(i,q) AS c, abs(corr(h,q)) AS qd FROM twin GROUP BY 1)""", "iq", "caps",
+  iqv="SELECT capture_id, n, i, q, i-avg(i) OVER (PARTITION BY capture_id) AS v FROM iq", twin=_TWIN))
 def _(spark, d):
-    # evidence uses the first 131,072 rows of a recording: the feature's own definition
-    h = FE.hilbert_blocks(S.blocks_from_chunks(V.chunks(spark, d), 131_072, 0).where("block_id = 0").select("capture_id", "i", "q"))
-    z = h.select("capture_id", F.explode(F.arrays_zip("i", "q", "h")).alias("s"))
+    # the twin is made in guarded blocks of the whole recording; the sums over core samples combine
+    b = S.blocks_from_chunks(V.chunks(spark, d), 131_072, 4_096)
+    h = FE.hilbert_blocks(b.select("capture_id", "lft", "core_start", "core_end", "i", "q"))
+    z = h.select("capture_id", "lft", "core_start", "core_end", F.posexplode(F.arrays_zip("i", "q", "h")).alias("p", "s"))
+    z = z.where((F.col("lft") + F.col("p") >= F.col("core_start")) & (F.col("lft") + F.col("p") < F.col("core_end")))
     p = z.select("capture_id", F.col("s.i").alias("a"), F.col("s.q").alias("b"), F.col("s.h").alias("h"))
     return rnd(FE.iq_or_audio(p, ["capture_id"]), "correlation", "quadrature", "balance")
 

@@ -21,19 +21,15 @@ def _events(spark, d):
 
 
 def _run(spark, stream):
-    return J.run_to_table(stream, f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}")
+    return J.run_to_end(stream, f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}")
 
 
 def _span(df, w):
     return df.withColumns({"start_us": F.unix_micros(f"{w}.start"), "end_us": F.unix_micros(f"{w}.end")}).drop(w)
 
 
-# closed windows only: end <= newest event minus the allowed lateness
-_WM = "SELECT max(epoch_us(ts))-3600000000 AS wm FROM events"
-
-
 @query("stream_block_psd", sql("""SELECT capture_id, bin, b AS start_us, b+21600000000 AS end_us, round(avg(value),6) AS power, count(*) AS n_frames FROM (SELECT event_type AS capture_id, user_id%8 AS bin, value,
-  epoch_us(ts)//21600000000*21600000000 AS b FROM events) GROUP BY ALL HAVING b+21600000000<=(SELECT wm//1000*1000 FROM wm)""", wm=_WM))
+  epoch_us(ts)//21600000000*21600000000 AS b FROM events) GROUP BY ALL"""))
 def _(spark, d):
     s = _events(spark, d).select("ts", "capture_id", (F.col("user_id") % 8).alias("bin"), F.col("value").alias("power"))
     x = _run(spark, J.stream_block_psd(s, "ts", "6 hours", "1 hour", ["capture_id"]))
@@ -41,7 +37,7 @@ def _(spark, d):
 
 
 @query("stream_frames", sql("""SELECT capture_id, b AS start_us, b+7200000000 AS end_us, count(*) AS n_samples, round(avg(value),6) AS mean_power, max(value) AS peak FROM (SELECT event_type AS capture_id, value,
-  epoch_us(ts)//1800000000*1800000000-unnest([0,1,2,3]::BIGINT[])*1800000000 AS b FROM events) GROUP BY ALL HAVING b+7200000000<=(SELECT wm//1000*1000 FROM wm)""", wm=_WM))
+  epoch_us(ts)//1800000000*1800000000-unnest([0,1,2,3]::BIGINT[])*1800000000 AS b FROM events) GROUP BY ALL"""))
 def _(spark, d):
     x = _run(spark, J.stream_frames(_events(spark, d), "ts", "2 hours", "30 minutes", "1 hour", ["capture_id"], "value"))
     return _span(x, "window").withColumn("mean_power", r(F.col("mean_power")))
@@ -49,7 +45,7 @@ def _(spark, d):
 
 @query("stream_packets", sql("""SELECT capture_id, min(u) AS start_us, max(u)+1800000000 AS end_us, count(*) AS n_active, round(sum(value),6) AS energy FROM (SELECT *, sum(new) OVER (PARTITION BY capture_id ORDER BY u) AS g FROM (
   SELECT event_type AS capture_id, value, epoch_us(ts) AS u, CASE WHEN epoch_us(ts)-lag(epoch_us(ts)) OVER (PARTITION BY event_type ORDER BY ts)<1800000000 THEN 0 ELSE 1 END AS new FROM events WHERE value>40))
-  GROUP BY capture_id, g HAVING max(u)+1800000000<=(SELECT wm//1000*1000 FROM wm)""", wm="SELECT max(epoch_us(ts))-3600000000 AS wm FROM events WHERE value>40"))
+  GROUP BY capture_id, g"""))
 def _(spark, d):
     x = _run(spark, J.stream_packets(_events(spark, d).where("value > 40"), "ts", "30 minutes", "1 hour", ["capture_id"], "value"))
     return _span(x, "session_window").withColumn("energy", r(F.col("energy")))

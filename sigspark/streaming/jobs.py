@@ -142,3 +142,18 @@ def run_to_table(stream: DataFrame, folder: str) -> DataFrame:
          .outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/table")
+
+
+def run_to_end(stream: DataFrame, folder: str) -> DataFrame:
+    """Run an aggregation over what is there now, closed and open windows alike, and read the last result.
+
+    Complete mode keeps every window in state; a stream without end uses append mode and leaves open windows for later.
+    """
+    path = f"{folder}/table"
+
+    def put(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+    q = (stream.writeStream.foreachBatch(put).option("checkpointLocation", f"{folder}/checkpoint")
+         .outputMode("complete").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
