@@ -87,19 +87,20 @@ TRACK_SCHEMA = "capture_id long, block long, det int, lo double, hi double, trac
 def stream_tracks(det: DataFrame) -> DataFrame:
     """Track numbers of arriving detections; state is the few open tracks of a capture.
 
-    A track closes when a block passes without it; a block that is not newer than the last one is dropped.
+    A track closes when a block passes without it. A block may arrive in parts over several batches; a row of an older
+    block than the newest one is late and comes out without a track. A processing-time timeout would keep a run over what is there now from ending, so
+    the few open tracks of a silent capture stay in state.
     """
     def step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         walk = Walk()
         if state.exists:
             s = json.loads(state.get[0])
-            walk = Walk({int(k): v for k, v in s["tracks"].items()}, s["block"], s["next_id"])
+            walk = Walk({int(k): v for k, v in s["tracks"].items()}, s["block"], s["next_id"], s["used"])
         seen = walk.block
-        p = pd.concat(list(pdfs))
-        p = (p if seen is None else p[p.block > seen]).sort_values(["block", *ORDER])
-        track = [walk.take(int(b), float(lo), float(hi)) for b, lo, hi in zip(p.block, p.lo, p.hi)]
-        state.update((json.dumps({"tracks": walk.tracks, "block": walk.block, "next_id": walk.next_id}),))
-        yield p.assign(track=track)[[c.split()[0] for c in TRACK_SCHEMA.split(", ")]]
+        p = pd.concat(list(pdfs)).sort_values(["block", *ORDER])
+        track = [None if seen is not None and b < seen else walk.take(int(b), float(lo), float(hi)) for b, lo, hi in zip(p.block, p.lo, p.hi)]
+        state.update((json.dumps({"tracks": walk.tracks, "block": walk.block, "next_id": walk.next_id, "used": sorted(walk.used)}),))
+        yield p.assign(track=pd.array(track, "Int64"))[[c.split()[0] for c in TRACK_SCHEMA.split(", ")]]
     return det.groupBy("capture_id").applyInPandasWithState(step, TRACK_SCHEMA, "walk string", "append", GroupStateTimeout.NoTimeout)
 
 

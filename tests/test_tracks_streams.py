@@ -50,7 +50,7 @@ def run(stream, folder, **kw):
     return J.run_to_table(stream, str(folder))
 
 
-def test_stream_tracks_equal_batch_and_late_blocks_drop(spark, det, tmp_path):
+def test_stream_tracks_equal_batch_and_late_rows_have_no_track(spark, det, tmp_path):
     src = str(tmp_path / "in")
     for k, (a, b) in enumerate([(0, 10), (10, 25), (25, 99)]):
         spark.createDataFrame(det[(det.block >= a) & (det.block < b)], SCHEMA).coalesce(1).write.mode("append").parquet(src)
@@ -59,7 +59,17 @@ def test_stream_tracks_equal_batch_and_late_blocks_drop(spark, det, tmp_path):
     assert {(r.capture_id, r.block, r.det): r.track for r in got.collect()} == plain(det)
     late = pd.DataFrame([(0, 3, 9, 0.0, 9.0, 0.0)], columns=det.columns)
     spark.createDataFrame(late, SCHEMA).write.mode("append").parquet(src)
-    assert run(J.stream_tracks(spark.readStream.schema(SCHEMA).parquet(src)), tmp_path / "out").count() == len(det)
+    out = run(J.stream_tracks(spark.readStream.schema(SCHEMA).parquet(src)), tmp_path / "out")
+    assert out.count() == len(det) + 1 and out.where("track IS NULL").count() == 1
+
+
+def test_stream_tracks_take_a_block_in_two_parts(spark, tmp_path):
+    src = str(tmp_path / "in")
+    parts = [[(0, 0, 0, 0.0, 9.0, 1.0), (0, 0, 1, 20.0, 29.0, 1.0), (0, 1, 0, 0.0, 9.0, 1.0)], [(0, 1, 1, 20.0, 29.0, 1.0), (0, 1, 2, 50.0, 59.0, 1.0)]]
+    for rows in parts:
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(src)
+        got = run(J.stream_tracks(spark.readStream.schema(SCHEMA).parquet(src)), tmp_path / "out")
+    assert {(r.block, r.det): r.track for r in got.collect()} == {(0, 0): 0, (0, 1): 1, (1, 0): 0, (1, 1): 1, (1, 2): 2}
 
 
 def test_watch_folder_sees_each_file_once_also_after_restart(spark, tmp_path):
