@@ -44,9 +44,6 @@ def half_power_width(p: Column, step: float) -> Column:
     low = F.filter(F.sequence(F.lit(0), n - 1), lambda j: F.get(p, j) < half)
     left = F.array_max(F.filter(low, lambda j: j < k))
     right = F.array_min(F.filter(low, lambda j: j > k))
-
-    def cross(a, b):
-        return a + (b - a) * (half - F.get(p, a.cast("int"))) / (F.get(p, b.cast("int")) - F.get(p, a.cast("int")))
     lo = left + (half - F.get(p, left)) / (F.get(p, left + 1) - F.get(p, left))
     hi = right - (half - F.get(p, right)) / (F.get(p, right - 1) - F.get(p, right))
     return F.when((n >= 3) & (F.array_max(p) > 0), (hi - lo) * step)

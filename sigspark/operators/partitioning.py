@@ -21,7 +21,7 @@ def halo(df: DataFrame, keys: list[str], pos: str, block: int, left: int, right:
     p = F.col(pos)
     first = F.floor((p - right) / block)
     last = F.floor((p + left) / block)
-    return (df.withColumn(out, F.explode(F.sequence(F.greatest(first, F.lit(0)), last)))
+    return (df.withColumn(out, F.explode(F.sequence(first, last)))
               .withColumn("core", F.floor(p / block) == F.col(out)))
 
 

@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions.expr import EPS, db
 from ..session import bound_batches
@@ -28,16 +29,6 @@ def guard_length(block: int, rate: float, hop: int = 256, minimum: int = GUARD_S
     return -(-g // hop) * hop
 
 
-def block_table(catalog: DataFrame, block: int, guard: int) -> DataFrame:
-    """Block bounds per capture from the catalog (capture_id, n_samples)."""
-    n = F.col("n_samples")
-    b = catalog.withColumn("block_id", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / block))))
-    core = F.col("block_id") * block
-    return b.select(
-        "capture_id", "block_id", core.alias("core_start"), F.least(core + block, n).alias("core_end"),
-        F.greatest(core - guard, F.lit(0)).alias("lft"), F.least(core + block + guard, n).alias("rgt"))
-
-
 def blocks_from_chunks(chunks: DataFrame, block: int, guard: int) -> DataFrame:
     """chunks(capture_id, start, i[], q[]) -> one row per block with its guard samples.
 
@@ -118,6 +109,13 @@ def _open2x2(m: np.ndarray) -> np.ndarray:
     return out
 
 
+def short_blocks(blocks: DataFrame, nperseg: int) -> DataFrame:
+    """Blocks that hold no whole frame, with the reason: the scan has no spectrum of them, they are not lost."""
+    n = F.size("i")
+    return blocks.where(n < nperseg).select(*BLOCK_KEYS, "core_start", "core_end", n.cast("long").alias("n_samples"),
+                                            F.format_string(f"fewer than {nperseg} samples (%s)", n).alias("status"))
+
+
 SCAN_SCHEMA = ("capture_id long, block_id long, lft long, rgt long, core_start long, core_end long, frame long, "
                "is_core boolean, floor double, power array<double>, smooth array<double>, above array<boolean>, "
                "hit array<boolean>")
@@ -133,7 +131,8 @@ def scan_blocks(blocks: DataFrame, rate: float, nperseg: int = 1024, hop: int |
     """One pass per block: frame spectra, block noise floor, 3x3 smoothing, threshold and 2x2 opening.
 
     One row per frame with bin arrays. Blocks are independent Arrow rows, so the work spreads over all tasks.
-    `floor` is the frequency median of the block's 50%-overlap average spectrum.
+    `floor` is the frequency median of the block's 50%-overlap average spectrum. Blocks under one frame have no row here;
+    `short_blocks` lists them.
     """
     if fixed_db is None and not 3 <= margin_db <= 30:
         raise ValueError("Adaptive margin must be between 3 and 30 dB.")
@@ -222,7 +221,7 @@ def gamma_quantile_table(segment_counts: list[int], prob: float = 0.2) -> dict[i
 _RATIOS: dict[int, float] = {}
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def gamma_ratio(segments: pd.Series) -> pd.Series:
     """The quantile's share of the mean for any number of averaged segments; each number is solved once per worker."""
     new = sorted({int(k) for k in segments.dropna().unique()} - _RATIOS.keys())

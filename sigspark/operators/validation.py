@@ -46,15 +46,16 @@ def validate_samples(samples: DataFrame, keys: list[str]) -> tuple[DataFrame, Da
     return samples.join(bad.select(*keys), keys, "left_anti"), bad
 
 
-def check_limits(tracks: DataFrame, windows: DataFrame, keys: list[str]) -> DataFrame:
-    """Pass `tracks` through; the job fails when a capture exceeds the limits. Nothing is truncated."""
-    nt = tracks.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nt"))
-    nw = windows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nw"))
-    over = nt.join(nw, keys, "left").select(
-        *keys, ((F.col("_nt") > MAX_CANDIDATES) | (F.coalesce("_nw", F.lit(0)) > MAX_PULSE_WINDOWS)).alias("_over"))
-    msg = F.lit("Capture exceeds 4,096 candidates or 200,000 pulse windows; results are not truncated.")
-    guard = F.when(F.col("_over"), F.raise_error(msg).cast("boolean")).otherwise(F.lit(True))
-    return tracks.join(over, keys).where(guard).drop("_over")
+def check_limits(tracks: DataFrame, windows: DataFrame, keys: list[str], max_tracks: int = MAX_CANDIDATES,
+                 max_windows: int = MAX_PULSE_WINDOWS) -> tuple[DataFrame, DataFrame]:
+    """(tracks of captures within the limits, error rows of the others with their counts). Nothing is truncated, and one
+    large capture does not stop the others."""
+    nt = tracks.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_tracks"))
+    nw = windows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_windows"))
+    n = nt.join(nw, keys, "left").withColumn("n_windows", F.coalesce("n_windows", F.lit(0).cast("long")))
+    text = f"exceeds {max_tracks:,} candidates or {max_windows:,} pulse windows; results are not truncated"
+    over = n.where((F.col("n_tracks") > max_tracks) | (F.col("n_windows") > max_windows)).withColumn("error", F.lit(text))
+    return tracks.join(over.select(*keys), keys, "left_anti"), over
 
 
 def check_coverage(blocks: DataFrame, catalog: DataFrame, keys: list[str]) -> DataFrame:

@@ -64,10 +64,12 @@ def _(spark, d):
     return VA.check_coverage(V.blocks(spark, d), V.catalog(spark, d), ["capture_id"])
 
 
-@query("check_limits", sql("""SELECT capture_id, count(*) AS n_tracks FROM bands GROUP BY ALL""", "bands"))
+@query("check_limits", sql("""SELECT capture_id, count(*) AS n_tracks, count(*)<=40 AS within FROM bands GROUP BY ALL""", "bands"))
 def _(spark, d):
     b = R.find_bands(V.frames(spark, d))
-    return VA.check_limits(b, b, ["capture_id"]).groupBy("capture_id").agg(F.count(F.lit(1)).alias("n_tracks"))
+    ok, over = VA.check_limits(b, b, ["capture_id"], 40)
+    n = ok.groupBy("capture_id").agg(F.count(F.lit(1)).alias("n_tracks")).withColumn("within", F.lit(True))
+    return n.union(over.select("capture_id", "n_tracks", F.lit(False)))
 
 
 @query("null_downstream", sql("""SELECT capture_id, det, NULL::DOUBLE AS snr_db, NULL::VARCHAR AS modulation_label,

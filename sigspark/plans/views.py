@@ -58,12 +58,12 @@ def block_psd(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events: one capture per event type, one sample per hour, power = sum(value), empty hours are 0."""
+    """events: one capture per event type, one sample per hour from its first one on, power = sum(value), empty hours are 0."""
     e = table(spark, sf_dir, "events")
     hour = (F.datediff(F.to_date("ts"), F.lit("2024-01-01")) * 24 + F.hour("ts")).cast("long")
     got = e.groupBy(F.col("event_type").alias("capture_id"), hour.alias("n")).agg(F.sum("value").alias("power"))
-    span = got.groupBy("capture_id").agg(F.max("n").alias("last"))
-    grid = span.select("capture_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("n"))
+    span = got.groupBy("capture_id").agg(F.min("n").alias("first"), F.max("n").alias("last"))
+    grid = span.select("capture_id", F.explode(F.sequence("first", "last")).alias("n"))
     return grid.join(got, ["capture_id", "n"], "left").withColumn("power", F.coalesce("power", F.lit(0.0)))
 
 
@@ -257,8 +257,8 @@ CTES: dict[str, tuple[list[str], str]] = {
           ON h.capture_id=p.capture_id AND h.block_id=p.block_id AND h.bin>=p.fa AND h.bin<p.fb AND h.hit) m
         JOIN opened o ON o.capture_id=m.capture_id AND o.block_id=m.block_id AND o.frame=m.frame AND o.bin>=m.mfa AND o.bin<m.mfb"""),
     "ticks": ([], """SELECT g.capture_id, g.n, coalesce(e.power,0.0) AS power FROM (
-        SELECT capture_id, unnest(range(last+1)) AS n FROM (SELECT event_type AS capture_id,
-          max(datediff('hour', TIMESTAMP '2024-01-01', date_trunc('hour',ts))) AS last FROM events GROUP BY 1)) g
+        SELECT capture_id, unnest(range(first,last+1)) AS n FROM (SELECT event_type AS capture_id,
+          min(datediff('hour', TIMESTAMP '2024-01-01', date_trunc('hour',ts))) AS first, max(datediff('hour', TIMESTAMP '2024-01-01', date_trunc('hour',ts))) AS last FROM events GROUP BY 1)) g
         LEFT JOIN (SELECT event_type AS capture_id, datediff('hour', TIMESTAMP '2024-01-01', date_trunc('hour',ts)) AS n,
           sum(value) AS power FROM events GROUP BY ALL) e USING (capture_id, n)"""),
     "truth_bands": ([], """SELECT o_orderkey AS capture_id, truth_id, c-w/2 AS lo, c+w/2 AS hi, c AS centre, s AS start, s+60 AS "end",

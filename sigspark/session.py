@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,11 +34,12 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, **conf: st
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Sample blocks are rows of megabytes: bound Arrow batches by bytes unless the session already does."""
+    """Sample blocks are rows of megabytes: warn when the session does not bound Arrow batches by bytes (`SETTINGS` does)."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = spark.conf.get(key, None)
-    if now is None or (now.lstrip("-").rstrip("bB").isdigit() and not 0 < int(now.rstrip("bB")) <= 1 << 28):
-        spark.conf.set(key, SETTINGS[key])
+    now = (spark.conf.get(key, None) or "").lower()
+    unbounded = now in ("", "-1") or now.rstrip("b").isdigit() and not 0 < int(now.rstrip("b")) <= 1 << 28
+    if unbounded:
+        warnings.warn(f"{key} is {now or 'not set'}: set it to {SETTINGS[key]} where the session is made", stacklevel=3)
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -81,12 +81,6 @@ def read_manifest(spark: SparkSession, path: str, key: str = "recordings") -> Da
     return spark.read.schema(f"{key} array<{rec}>").option("multiLine", True).json(path).select(F.explode(key).alias("r")).select("r.*")
 
 
-def file_digests(spark: SparkSession, folder: str, glob: str = "*", chunk: int = 0) -> DataFrame:
-    """sha256 per file; binaryFile rows are whole files, so this is for files under 2 GiB."""
-    f = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder)
-    return f.select(F.element_at(F.split("path", "/"), -1).alias("id"), F.sha2("content", 256).alias("digest"))
-
-
 def lock_files(current: DataFrame, lock: DataFrame) -> DataFrame:
     """Compare digests with the lock: changed fails, new is added, the rest stays."""
     j = current.select("id", F.col("digest").alias("_new")).join(lock.select("id", F.col("digest").alias("_old")), "id", "full_outer")

@@ -21,18 +21,25 @@ def json_safe(df: DataFrame) -> DataFrame:
     return df.select(*[finite_or_null(F.col(c)).alias(c) if types[c] in ("double", "float") else F.col(c) for c in keep])
 
 
-def _bounded(df: DataFrame, array: str) -> DataFrame:
-    """Fail, never cut, when a capture holds more detections than one may."""
-    over = F.raise_error(F.lit("Capture exceeds 4,096 candidates; results are not truncated.")).cast("boolean")
-    return df.where(F.when(F.size(array) > MAX_CANDIDATES, over).otherwise(F.lit(True)))
+def over_limit(det: DataFrame, key: str = "file") -> DataFrame:
+    """Captures with more detections than one document may hold: an error row each, in place of their document's list."""
+    n = det.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    return n.where(F.col("n") > MAX_CANDIDATES).withColumn("error", F.lit(f"exceeds {MAX_CANDIDATES:,} candidates; results are not truncated"))
+
+
+def _within(det: DataFrame, key: str) -> DataFrame:
+    return det.join(over_limit(det, key).select(key), key, "left_anti")
 
 
 def detection_documents(det: DataFrame, captures: DataFrame, key: str = "file") -> DataFrame:
-    """One document per capture; a capture has at most 4,096 detections (`check_limits`)."""
+    """One document per capture with at most 4,096 detections. A capture with more keeps its document with NULL for the
+    list, and `over_limit` has its error row; its detections are in `jsonl_rows` like all others."""
     d = json_safe(det)
     fields = [c for c in d.columns if c != key]
-    g = _bounded(d.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("detections")), "detections")
-    return json_safe(captures).join(g, key, "left").withColumn("detections", F.coalesce("detections", F.array()))
+    g = _within(d, key).groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("detections"))
+    big = over_limit(d, key).select(key, F.lit(True).alias("_over"))
+    x = json_safe(captures).join(g, key, "left").join(big, key, "left")
+    return x.withColumn("detections", F.when(F.col("_over").isNull(), F.coalesce("detections", F.array()))).drop("_over")
 
 
 def write_detections(det: DataFrame, captures: DataFrame, path: str, key: str = "file") -> None:
@@ -104,8 +111,9 @@ def annotation(det: DataFrame) -> Column:
 
 
 def sigmf_annotations(det: DataFrame, key: str = "file") -> DataFrame:
-    """One annotation array per file, by start sample; at most 4,096 per capture."""
-    return _bounded(det.groupBy(key).agg(F.array_sort(F.collect_list(annotation(det))).alias("annotations")), "annotations")
+    """One annotation array per file, by start sample, of captures within the limit (`over_limit` has the others)."""
+    d = _within(det, key)
+    return d.groupBy(key).agg(F.array_sort(F.collect_list(annotation(d))).alias("annotations"))
 
 
 def validate_annotations(df: DataFrame, key: str = "file") -> DataFrame:

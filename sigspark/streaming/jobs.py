@@ -17,10 +17,6 @@ from ..operators.tracks import ORDER, Walk
 from ..sources import sinks as SK
 
 
-def sample_time(n: Column, rate: float, origin_us: int = 0) -> Column:
-    return F.timestamp_micros((F.lit(origin_us) + F.round(n * (1e6 / rate))).cast("long"))
-
-
 def stream_block_psd(spectra: DataFrame, ts: str, block: str, late: str, keys: list[str]) -> DataFrame:
     """Mean power per bin and row count in each fixed block of time."""
     return (spectra.withWatermark(ts, late).groupBy(F.window(ts, block), *keys, "bin")

@@ -107,10 +107,17 @@ def test_pulse_train_timing(spark):
     assert abs(t.pulse_width_samples - 2400) <= 150 and abs(t.pri_samples - 12_000) <= 100
 
 
-def test_limits_fail_instead_of_truncating(spark):
-    t = spark.range(5000).select(F.lit(1).alias("capture_id"), "id")
-    with pytest.raises(Exception, match="4,096"):
-        VA.check_limits(t, t, ["capture_id"]).count()
+def test_large_capture_becomes_an_error_row(spark):
+    t = spark.range(5000).select(F.lit(1).alias("capture_id"), "id").union(spark.range(3).select(F.lit(2), "id"))
+    ok, over = VA.check_limits(t, t, ["capture_id"])
+    assert {r.capture_id for r in ok.collect()} == {2}
+    assert [(r.capture_id, r.n_tracks, "4,096" in r.error) for r in over.collect()] == [(1, 5000, True)]
+
+
+def test_short_blocks_are_listed(spark):
+    b = S.blocks_from_chunks(capture(spark, noise(40)), 512, 0)
+    assert S.scan_blocks(b, FS, NFFT, HOP).count() == 0
+    assert [(r.capture_id, r.n_samples, r.status) for r in S.short_blocks(b, NFFT).collect()] == [(1, 40, "fewer than 64 samples (40)")]
 
 
 def test_unusable_captures_are_quarantined(spark):
