@@ -153,3 +153,57 @@ def split_digest(entries: DataFrame, key: str, size: int = 256) -> DataFrame:
         joined([key, "split"], lambda s: F.concat_ws(":", s[key].cast("string"), s["split"]), ",").alias("_d"))
     d = d.groupBy(F.floor(F.col("_k") / size).alias("_g")).agg(joined(["_k", "_d"], lambda s: s["_d"], "").alias("_d"))
     return d.agg(joined(["_g", "_d"], lambda s: s["_d"], "").alias("digest"))
+
+
+#: stands for a margin without a rival; thresholds of this size are reported as infinite
+NO_RIVAL = 1e300
+
+
+def staged_fit(decisions: DataFrame, unit: str = "sample", min_usage: float = 0.01, min_count: int = MIN_COUNT,
+               precision: float = PRECISION) -> DataFrame:
+    """Thresholds of the publication gates, one after the other, each on the decisions that pass the ones before.
+
+    `decisions` (written or cheap to read, it is read once per stage): the columns of `hypotheses.mdl_winner`, `gen`, and
+    the outcomes ok_label (label is true), ok_fm (truth is FM), ok_rate (rate is true). A threshold is the largest one over
+    the generations. Order: family margin, margin of FM over digital, unexplained share (95th percentile of the right
+    ones), margin over other labels, rate margin. One row: the thresholds and `coverage`, the right labels and rates
+    that are published under them. Each stage is one aggregation; what comes back from it is a scalar.
+    """
+    from .hypotheses import DIGITAL, UNKNOWN_CE
+    from .partitioning import quantiles
+    spark = decisions.sparkSession
+    c, no = F.col, F.lit(False)
+    scale = {"sample": F.lit(1.0), "symbol": c("fs") / c("best_rate"), "total": c("n_samples").cast("double")}[unit]
+    ok = lambda x: F.coalesce(x, no)
+    scaled = {f"_{m}": F.when(c(m) == float("inf"), NO_RIVAL).otherwise(c(m) * scale) for m in ("m_fam", "m_fm_digital", "m_label", "m_rate")}
+    x = decisions.withColumns(scaled)
+
+    def pick(rows: DataFrame, value: str, right: str, empty: float) -> float:
+        t = precision_threshold(rows.select("gen", value, right), ["gen"], value, c(right), min_count, precision)
+        every = decisions.select("gen").distinct().join(t, "gen", "left").agg(F.max(F.coalesce("threshold", F.lit(empty))).alias("t"))
+        th = every.first()["t"]
+        return float("inf") if th is None or th >= NO_RIVAL / 4 else float(th)
+
+    inf = float("inf")
+    x = x.where(ok((c("best_family") != "none") & (c("best_family") != UNKNOWN_CE) & (c("best_usage") >= min_usage)))
+    fam = pick(x, "_m_fam", "ok_label", inf)
+    x = x.where(ok(c("_m_fam") >= fam))
+    fm = pick(x.where("best_label = 'FM'"), "_m_fm_digital", "ok_fm", 0.0)
+    x = x.where((c("best_label") != "FM") | ok(c("_m_fm_digital") >= fm))
+    right = x.where(ok(c("ok_label")) & c("unexplained").isNotNull())
+    q = quantiles(right.select("unexplained"), [], "unexplained", {"q": 0.95}).first()
+    unexplained = float(q["q"]) if q is not None and q["q"] is not None else 1.0
+    x = x.where(ok(c("unexplained") <= unexplained))
+    lab = pick(x, "_m_label", "ok_label", 0.0)
+    x = x.where(ok(c("_m_label") >= lab))
+    rated = x.where(c("best_expert").isin(*DIGITAL))
+    rate = pick(rated, "_m_rate", "ok_rate", inf)
+    good = x.agg(F.count_if(ok(c("ok_label")))).first()[0] + rated.agg(F.count_if(ok(c("ok_rate") & (c("_m_rate") >= rate)))).first()[0]
+    row = (unit, fam, rate, unexplained, fm, lab, int(good))
+    return spark.createDataFrame([row], "unit string, m_fam double, m_rate double, unexplained_max double, m_fm_digital double, m_label double, coverage long")
+
+
+def unknown_wrong(gated: DataFrame, truth: Column, unknown: list[str]) -> DataFrame:
+    """Share of captures of families outside the library that got a label all the same; NULL without any."""
+    return gated.where(truth.isin(*unknown)).agg(F.count(F.lit(1)).alias("n"), F.count_if("label_published").alias("n_wrong"),
+                                                 ratio(F.count_if("label_published"), F.count(F.lit(1))).alias("share"))

@@ -363,3 +363,58 @@ def _(spark, d):
   b.i*a.i+b.q*a.q AS re, b.q*a.i-b.i*a.q AS im FROM y a JOIN y b ON b.capture_id=a.capture_id AND b.blk=a.blk AND b.idx=a.idx+1) WHERE fr*8>1 AND (1-fr)*8>1 GROUP BY ALL""", "iq", y=_Y))
 def _(spark, d):
     return L.symbol_frequency(_local(spark, d), CB, "idx", SPS, V.FS).withColumn("frequency_hz", r(F.col("frequency_hz"), 4))
+
+
+# Calibration view: the truth of a candidate by its number (fixed values); two of them are outside the library
+CAL_TRUTH = ["BPSK", "QPSK", "8PSK", "FSK2", "FM", "AM", "FSK6", "PSK16"]
+CAL_UNKNOWN = ["FSK6", "PSK16"]
+FIT_P, FIT_N = 0.112, 8
+_CAL = f"""SELECT w.*, t, t NOT IN ('FSK6','PSK16') AND (best_label=t OR (best_label IN ('QAM','FSK','ASK') AND regexp_replace(t,'\\d+$','')=best_label)) AS ok_label,
+  t='FM' AS ok_fm, candidate%3=0 AS ok_rate FROM (SELECT *, ({"[" + ", ".join(f"'{x}'" for x in CAL_TRUTH) + "]"})[candidate%8+1] AS t FROM win) w"""
+
+
+def _calibration(spark, d):
+    from ..operators.scoring import label_matches
+    t = F.array(*[F.lit(x) for x in CAL_TRUTH])[(F.col("candidate") % 8).cast("int")]
+    w = _dec(spark, d).withColumn("t", t)
+    return w.withColumns({"ok_label": ~F.col("t").isin(*CAL_UNKNOWN) & label_matches(F.col("best_label"), F.col("t")),
+                          "ok_fm": F.col("t") == "FM", "ok_rate": F.col("candidate") % 3 == 0})
+
+
+def _picked(src: str, v: str, right: str, empty: str) -> str:
+    """Largest threshold over the generations: smallest value whose tail is long and right enough, at the midpoint below it."""
+    return f"""SELECT max(coalesce(t,{empty})) AS t FROM (SELECT DISTINCT gen FROM cal) LEFT JOIN (
+  SELECT gen, CASE WHEN th IS NULL OR th>1e299 THEN 'inf'::DOUBLE ELSE coalesce((max(x) FILTER (x<th)+th)/2,th) END AS t FROM (
+    SELECT *, min(x) FILTER (n>={FIT_N} AND k/n>={FIT_P}) OVER (PARTITION BY gen) AS th FROM (
+      SELECT gen, x, sum(c) OVER w AS n, sum(r) OVER w AS k FROM (SELECT gen, round(CASE WHEN isinf({v}) THEN 1e300 ELSE {v} END,6) AS x, count(*) AS c, count(*) FILTER ({right}) AS r
+        FROM {src} WHERE {v} IS NOT NULL GROUP BY ALL) WINDOW w AS (PARTITION BY gen ORDER BY x DESC))) GROUP BY gen, th) USING (gen)"""
+
+
+_DIG = "best_expert IN ('nrz','rrc','lsp','fsk')"
+FIT = {"cal": _CAL,
+       "s1": "SELECT * FROM cal WHERE t NOT IN ('FSK6','PSK16') AND best_family<>'none' AND best_family<>'unknown constant-envelope' AND best_usage>=0.01",
+       "t1": _picked("s1", "m_fam", "ok_label", "'inf'::DOUBLE"), "s2": "SELECT * FROM s1 WHERE m_fam>=(SELECT t FROM t1)",
+       "fm": "SELECT * FROM s2 WHERE best_label='FM'", "t2": _picked("fm", "m_fm_digital", "ok_fm", "0.0"),
+       "s3": "SELECT * FROM s2 WHERE best_label<>'FM' OR m_fm_digital>=(SELECT t FROM t2)",
+       "t3": "SELECT coalesce(quantile_cont(unexplained,0.95) FILTER (ok_label),1.0) AS t FROM s3", "s4": "SELECT * FROM s3 WHERE unexplained<=(SELECT t FROM t3)",
+       "t4": _picked("s4", "m_label", "ok_label", "0.0"), "s5": "SELECT * FROM s4 WHERE m_label>=(SELECT t FROM t4)",
+       "dig": f"SELECT * FROM s5 WHERE {_DIG}", "t5": _picked("dig", "m_rate", "ok_rate", "'inf'::DOUBLE")}
+
+
+@query("staged_fit", sql("""SELECT 'sample' AS unit, round(CASE WHEN isfinite(t1.t) THEN t1.t END,6) AS m_fam, round(CASE WHEN isfinite(t5.t) THEN t5.t END,6) AS m_rate, round(t3.t,6) AS unexplained_max,
+  round(CASE WHEN isfinite(t2.t) THEN t2.t END,6)+0.0 AS m_fm_digital, round(CASE WHEN isfinite(t4.t) THEN t4.t END,6)+0.0 AS m_label,
+  (SELECT count(*) FROM s5 WHERE ok_label)+(SELECT count(*) FROM dig, t5 WHERE ok_rate AND m_rate>=t5.t) AS coverage FROM t1, t2, t3, t4, t5""", "hyps", "candidates", **DEC, **FIT))
+def _(spark, d):
+    from ..operators.calibration import staged_fit
+    from ..session import written
+    cal = written(_calibration(spark, d).where(~F.col("t").isin(*CAL_UNKNOWN)))
+    f = staged_fit(cal, min_count=FIT_N, precision=FIT_P)
+    return f.select("unit", *[_inf(c) for c in ("m_fam", "m_rate", "unexplained_max", "m_fm_digital", "m_label")], "coverage")
+
+
+@query("unknown_wrong", sql("""SELECT count(*) AS n, count(*) FILTER (label_published) AS n_wrong, round(count(*) FILTER (label_published)/count(*),6) AS share
+  FROM gated JOIN cal USING (candidate) WHERE t IN ('FSK6','PSK16')""", "hyps", "candidates", **DEC, cal=_CAL))
+def _(spark, d):
+    from ..operators.calibration import unknown_wrong
+    x = unknown_wrong(K.gate(_calibration(spark, d)), F.col("t"), CAL_UNKNOWN)
+    return x.withColumn("share", r(F.col("share")))
