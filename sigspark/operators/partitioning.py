@@ -61,15 +61,16 @@ def value_bucket(c: Column, per_fold: int = 64, scale: float = 1e6) -> Column:
     return F.floor(F.signum(c) * F.log1p(F.abs(c) * scale) * per_fold).cast("long")
 
 
-def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
-    """Exact linear-interpolated quantiles of any number of rows per key. NULLs are ignored.
+def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict) -> DataFrame:
+    """Exact linear-interpolated quantiles of any number of rows per key. NULLs are ignored. A function in place of a
+    share gives the 0-based rank from the number of values.
 
     Rows are first counted into two levels of log-spaced buckets, map-side combined; only the rows of the few
     buckets that hold a wanted rank are then looked at value by value, so no key is ever gathered in one task.
     """
     x = (df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_x"))
            .withColumn("_b1", value_bucket(F.col("_x"))).withColumn("_b2", value_bucket(F.col("_x"), 64 * 4096)))
-    ranks = {name: F.lit(p) * (F.col("_total") - 1) for name, p in probs.items()}
+    ranks = {name: p(F.col("_total")) if callable(p) else F.lit(p) * (F.col("_total") - 1) for name, p in probs.items()}
 
     def wanted(start: str, end: str) -> Column:
         cond = F.lit(False)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.expr import EPS, cmul, rotate
-from .partitioning import halo, halo_window, merge_intervals, quantiles, runs
+from .partitioning import _offsets, halo, halo_window, merge_intervals, quantiles, runs
 from .spectra import _lists
 
 # fixed values
@@ -99,11 +99,9 @@ def moving_mean(df: DataFrame, keys: list[str], pos: str, value: Column, w: int,
 def on_level(env: DataFrame, keys: list[str], value: str, w: int, noise: Column | float) -> DataFrame:
     """high = median of the w largest values, low = 10th percentile, and the on-level threshold."""
     noise = F.lit(noise) if not isinstance(noise, Column) else noise
-    top = W.partitionBy(*keys).orderBy(F.desc(value))
-    high = (env.select(*keys, value).withColumn("_rn", F.row_number().over(top)).where(F.col("_rn") <= w)
-               .groupBy(*keys).agg(F.percentile(value, 0.5).alias("high")))
-    low = quantiles(env, keys, value, {"low": 0.1})
-    j = high.join(low, keys).withColumn("noise", noise)
+    # the median of the w largest of n values is the value at rank n - 1 - (w - 1) / 2
+    middle = lambda n: n - 1 - (F.least(F.lit(w), n) - 1) / 2
+    j = quantiles(env, keys, value, {"high": middle, "low": 0.1}).withColumn("noise", noise)
     return j.withColumn("threshold", F.greatest(F.col("noise") * 4, F.col("low") + 0.45 * (F.col("high") - F.col("low"))))
 
 
@@ -130,14 +128,19 @@ def pulse_windows(env: DataFrame, level: DataFrame, keys: list[str], value: str,
     return win, s
 
 
-def pulse_timing(windows: DataFrame, keys: list[str]) -> DataFrame:
-    """Median width and median start-to-start interval; at most 200,000 windows per capture are allowed upstream."""
-    w = W.partitionBy(*keys).orderBy("start_sample")
-    x = windows.withColumn("_step", F.col("start_sample") - F.lag("start_sample").over(w))
-    return x.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_windows"),
-        F.rint(F.percentile(F.col("end_sample") - F.col("start_sample"), 0.5)).cast("long").alias("pulse_width_samples"),
-        F.rint(F.percentile("_step", 0.5)).cast("long").alias("pri_samples"))
+def pulse_timing(windows: DataFrame, keys: list[str], block: int = 1 << 20) -> DataFrame:
+    """Median width and median start-to-start interval of any number of windows per key: steps are taken inside position
+    blocks, the last start of the block before comes along, and the medians are exact ranks."""
+    x = windows.withColumn("_bk", F.floor(F.col("start_sample") / block))
+    last = x.groupBy(*keys, "_bk").agg(F.max("start_sample").alias("last"))
+    w = W.partitionBy(*keys, "_bk").orderBy("start_sample")
+    before = F.coalesce(F.lag("start_sample").over(w), F.col("_o_last"))
+    x = x.join(_offsets(last, keys, "_bk", [], ["last"]), [*keys, "_bk"]).withColumns(
+        {"_step": F.col("start_sample") - before, "_width": F.col("end_sample") - F.col("start_sample")})
+    n = x.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_windows"))
+    width, step = quantiles(x, keys, "_width", {"_w": 0.5}), quantiles(x, keys, "_step", {"_s": 0.5})
+    return n.join(width, keys).join(step, keys, "left").select(
+        *keys, "n_windows", F.rint("_w").cast("long").alias("pulse_width_samples"), F.rint("_s").cast("long").alias("pri_samples"))
 
 
 def clamp_to_core(det: DataFrame, core_start: str = "core_start", core_end: str = "core_end") -> DataFrame:

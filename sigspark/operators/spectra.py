@@ -248,10 +248,11 @@ def block_weighted_psd(psd: DataFrame, weight: Column) -> DataFrame:
 
 
 def floor_summary(floors: DataFrame, margin_db: float) -> DataFrame:
-    """Median and range of block floors in dB; one value per block goes in."""
-    a = floors.groupBy("capture_id").agg(F.percentile(db(F.col("noise_floor")), 0.5).alias("noise_floor_db"),
-                                         F.min(db(F.col("noise_floor"))).alias("floor_min_db"),
-                                         F.max(db(F.col("noise_floor"))).alias("floor_max_db"))
+    """Median and range of block floors in dB; one value per block goes in, any number of blocks per capture."""
+    from .partitioning import quantiles
+    x = floors.withColumn("_db", db(F.col("noise_floor")))
+    a = x.groupBy("capture_id").agg(F.min("_db").alias("floor_min_db"), F.max("_db").alias("floor_max_db"))
+    a = quantiles(x, ["capture_id"], "_db", {"noise_floor_db": 0.5}).join(a, "capture_id")
     return a.withColumn("threshold_db", F.col("noise_floor_db") + margin_db)
 
 

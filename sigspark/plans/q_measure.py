@@ -53,7 +53,8 @@ def _(spark, d):
     w = c.select("capture_id", F.explode(F.array(F.struct(F.lit(100).alias("a"), F.lit(900).alias("b")), F.struct(F.lit(1500).alias("a"), F.lit(2600).alias("b")))).alias("w"))
     w = w.select("capture_id", F.col("w.a").alias("a"), F.col("w.b").alias("b"))
     on = PT.point_in_interval(V.iq(spark, d), w, ["capture_id"], "n", "a", "b", 1024).groupBy("capture_id").agg(F.avg(_power()).alias("on_power"))
-    f = V.frames(spark, d).groupBy(*BK).agg(F.first("floor").alias("f")).groupBy("capture_id").agg((F.percentile("f", 0.5) * 0.8).alias("f"))
+    f = V.frames(spark, d).groupBy(*BK).agg(F.first("floor").alias("f"))
+    f = PT.quantiles(f, ["capture_id"], "f", {"m": 0.5}).select("capture_id", (F.col("m") * 0.8).alias("f"))
     x = on.join(f, "capture_id")
     return x.select("capture_id", r(F.col("on_power"), 8).alias("on_power"), r(H.snr_db(F.col("on_power"), F.col("f"), V.FS)).alias("snr_db"))
 
