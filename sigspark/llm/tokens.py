@@ -13,8 +13,10 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import uuid
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,15 +34,33 @@ END_ID = 1
 #: text bytes per file
 FILE_BYTES = 32 << 20
 #: words that a worker remembers with their ids
-REMEMBER = 300_000
+REMEMBER = 450_000
 LEVEL = 3
 
 _STRIP = ".,!#$%&*|;:?"
+#: words whose letters no normalisation changes once they are in lower case
+_PLAIN = re.compile("[a-z\u00e0-\u00f6\u00f8-\u00ff]+")
+
+
+class _Known(dict):
+    """Words with their ids; a word that is not there yet is encoded when it is asked for."""
+
+    def __init__(self, encode, older: dict | None = None):
+        super().__init__({"": b""})
+        self.encode, self.older = encode, older or {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.encode(word)
+        self[word] = ids
+        return ids
 
 
 class Encoder:
     """Ids of whole texts. Neither normalisation nor splitting of these tokenizers reaches across a space, so a text is
-    encoded word by word and frequent words are looked up."""
+    encoded word by word and frequent words are looked up. What is remembered is bounded: two generations of `REMEMBER`
+    words."""
 
     _by_path: dict[str, Encoder] = {}
 
@@ -49,10 +69,13 @@ class Encoder:
         from tokenizers import Tokenizer
         spec = json.load(open(path, encoding="utf-8"))
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
-        self.older: dict[str, bytes] = {}
-        drops = json.dumps(spec.get("pre_tokenizer")).count('"Removed"') and json.dumps(spec.get("normalizer")).count("\\\\s+")
-        self.by_word = bool(drops) and json.dumps(spec.get("normalizer")).count('"Lowercase"') == 1
+        self.known = _Known(self._word)
+        steps = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
+        cut = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        # white space is dropped, case does not matter, and words become bytes before they are merged
+        self.by_word = (steps == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in cut] == ["Split", "ByteLevel"]
+                        and cut[0]["behavior"] == "Removed" and cut[0]["invert"] and not cut[1]["use_regex"] and not cut[1]["add_prefix_space"])
+        self.byte_form: dict[str, str] = {}
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -61,39 +84,31 @@ class Encoder:
         return cls._by_path[path]
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, words: set[str]) -> None:
-        """A word of ASCII letters with punctuation behind it is two words, and its case does not matter."""
-        parts = {}
-        for w in words:
-            head = w.rstrip(_STRIP)
-            if head and len(head) < len(w) and head.isascii() and head[-1].isalnum():
-                parts[w] = (head.lower(), w[len(head):])
-            elif w.isascii():
-                parts[w] = (w.lower(),)
-            else:
-                parts[w] = (w,)
-        new = list({p for x in parts.values() for p in x} - self.known.keys())
-        self.known.update(zip(new, self._ids(new)))
-        for w, x in parts.items():
-            if w not in self.known:
-                self.known[w] = b"".join([self.known[p] for p in x])
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _bytes_of(self, char: str) -> str:
+        form = self.byte_form[char] = "".join(x for x, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(char))
+        return form
+
+    def _word(self, word: str) -> bytes:
+        """A word of letters in lower case is one piece of the merge model; one with punctuation behind it is two words,
+        and case does not matter; anything else takes the whole way."""
+        if _PLAIN.fullmatch(word):
+            form = "".join([self.byte_form.get(c) or self._bytes_of(c) for c in word])
+            return array("I", [t.id for t in self.tokenizer.model.tokenize(form)]).tobytes()
+        head = word.rstrip(_STRIP)
+        low = head.lower()
+        if low and _PLAIN.fullmatch(low) and (low != word):
+            return self.known[low] + self.known[word[len(head):]]
+        return self._ids([word])[0]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
             return self._ids(texts)
         if len(self.known) > REMEMBER:
-            self.older, self.known = self.known, {"": b""}
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        missing = set().union(*split) - self.known.keys()
-        again = missing & self.older.keys()
-        self.known.update((w, self.older[w]) for w in again)
-        missing -= again
-        if missing:
-            self._learn(missing)
+            self.known = _Known(self._word, dict(self.known))
         get = self.known.__getitem__
-        return [b"".join(map(get, w)) for w in split]
+        return [b"".join(map(get, t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))) for t in texts]
 
 
 def _filesystem(uri: str):
