@@ -84,7 +84,8 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 0) -> str:
                      F.octet_length(t).cast("long").alias("size"), F.unhex(F.sha1(t)).alias("sha"))
     # only payloads that occur under several ids have anything to look up
     last = x.groupBy("sha", "size").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1 and last is not null").where(F.col("size") >= min_bytes)
-    x = x.join(last.drop("n"), ["sha", "size"], "left")
+    # written first: where it is small, the pages are not shuffled for it
+    x = x.join(written(last.drop("n"), "repeated"), ["sha", "size"], "left")
     revisit = F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last"))
     x = x.select("page_id", "url", F.when(revisit, "").otherwise(F.col("html")).alias("html"), "size", "sha", F.when(revisit, F.col("last")).alias("refers_to"), revisit.alias("revisit"))
 
