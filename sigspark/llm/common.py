@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
@@ -17,9 +18,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_temporary: list[list[str]] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder in the shared folder that the session names."""
-    return f"{shared_folder(spark)}/llm-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/llm-{name}-{uuid.uuid4().hex}"
+    if _temporary:
+        _temporary[-1].append(path)
+    return path
+
+
+def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """The result of `make` as a written table; the intermediate tables that it wrote are deleted."""
+    _temporary.append([])
+    try:
+        path = f"{shared_folder(spark)}/llm-{name}-{uuid.uuid4().hex}"
+        df = make()
+        df.write.parquet(path)
+    finally:
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for p in _temporary.pop():
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+            p.getFileSystem(conf).delete(p, True)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def written(df: DataFrame, name: str = "table") -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from . import text as T
-from .common import ranked, written
+from .common import ranked, settled, written
 
 CAP = 3
 TOLERANCE = 1e-9
@@ -146,7 +146,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = CAP) -
 def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = CAP) -> DataFrame:
     """Documents repeated as often as the mix takes them; columns as given. Rows are matched by id, so rows of equal id
     get the copies of one of them."""
-    m = written(mix(docs, weights, cap), "copies")
+    m = settled(docs.sparkSession, lambda: mix(docs, weights, cap), "copies")
     m = m.groupBy("doc_id").agg(F.max("copies").alias("_mix_copies")).withColumnRenamed("doc_id", "_mix_id").where("_mix_copies > 0")
     x = docs.join(m, F.col("doc_id").cast("long").eqNullSafe(F.col("_mix_id")))
     return x.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix_copies"))).alias("_mix_copy")).drop("_mix_copy")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import text as T
-from .common import Bloom, text_bytes, written
+from .common import Bloom, settled, text_bytes, written
 
 GROUPS = 64
 #: groups of the later rounds, where near misses have to be told from links
@@ -507,7 +507,7 @@ def one_of_each(docs: DataFrame, k: int = 5, share: int = 75) -> DataFrame:
     """Documents without near duplicates: of every component the row with the smallest doc_id stays (one row if that id
     is repeated). Columns as given. Only rows that a bounded Bloom filter suspects to go are shuffled."""
     spark = docs.sparkSession
-    found = written(near_duplicates(docs, k, share), "components")
+    found = settled(spark, lambda: near_duplicates(docs, k, share), "components")
     gone = found.where("doc_id != component_id").select("doc_id").union(
         found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("doc_id")).where("doc_id is not null").distinct()
     stay = found.where("doc_id = component_id").select("doc_id").distinct()
@@ -522,10 +522,10 @@ def split_by_ids(spark, docs: DataFrame, suspects: DataFrame, stay: DataFrame) -
     def suspected(h: pd.Series) -> pd.Series:
         return pd.Series(Bloom.hits(words.value, h.to_numpy()))
 
-    cols = docs.columns
-    x = docs.withColumn("_s", suspected(F.xxhash64("doc_id")) & F.col("doc_id").isNotNull())
-    sure = x.where(~F.col("_s")).drop("_s")
-    maybe = x.where("_s").drop("_s")
+    cols, mark = docs.columns, "_near_duplicate_suspect"
+    x = docs.withColumn(mark, suspected(F.xxhash64(F.col("doc_id").cast("long"))) & F.col("doc_id").isNotNull())
+    sure = x.where(~F.col(mark)).drop(mark)
+    maybe = x.where(mark).drop(mark)
     clean = maybe.join(suspects, "doc_id", "left_anti")
     one = maybe.join(suspects.join(stay, "doc_id", "left_semi"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return sure.union(clean.select(*cols)).union(one.select(*cols))
