@@ -74,18 +74,24 @@ def sets(docs: DataFrame, k: int, probe: float) -> DataFrame:
 
 
 class _Requests:
-    """Collects (token, ref) entries of many sets and packs them by bucket."""
+    """Collects the tokens of many sets and packs them as (token, ref) entries by bucket. A flush sends a set once, however
+    many copies of it were added."""
 
     def __init__(self, buckets: int):
         self.buckets, self.held, self.size = buckets, [], 0
 
-    def add(self, tokens: np.ndarray, refs: np.ndarray):
-        self.held.append((tokens, refs))
+    def add(self, tokens: np.ndarray, keys: np.ndarray, lens: np.ndarray):
+        """Sets of `lens` tokens each and their identities, two columns as from `set_keys`."""
+        self.held.append((tokens, keys, lens))
         self.size += len(tokens)
 
     def flush(self) -> pa.RecordBatch:
-        tokens, refs = (np.concatenate(x) for x in zip(*self.held))
+        tokens, keys, lens = (np.concatenate(x) for x in zip(*self.held))
         self.held, self.size = [], 0
+        by = np.lexsort((keys[:, 1], keys[:, 0]))
+        once = np.ones(len(keys), bool)
+        once[by[1:]] = (keys[by[1:]] != keys[by[:-1]]).any(1)
+        tokens, refs = tokens[np.repeat(once, lens)], np.repeat(np.maximum(keys[once, 0].astype(np.uint32), 1), lens[once])
         order = np.argsort(tokens, kind="stable")
         tokens, refs = tokens[order], refs[order]
         # what occurs twice here is known to be shared: one entry is enough for the others, and its sets are told by ref
@@ -93,10 +99,8 @@ class _Requests:
         start = np.flatnonzero(new)
         size = np.diff(np.append(start, len(tokens)))
         twice = np.repeat(size > 1, size)
-        known = refs[twice]
-        home = (known.astype(np.uint64) * _U(self.buckets) >> _U(32)).astype(np.int64)
-        by = np.argsort(home, kind="stable")
-        known, home = known[by], home[by]
+        known, times = np.unique(refs[twice], return_counts=True)
+        home = _home(known, self.buckets)
         keep = new | ~twice
         second = size > 1  # sent as two entries of which no set is told
         tokens = np.concatenate((tokens[keep], tokens[start][second]))
@@ -109,17 +113,32 @@ class _Requests:
         o = np.append(np.searchsorted(b, ids), len(b))
         p = np.append(np.searchsorted(home, ids), len(home))
         return pa.RecordBatch.from_arrays(
-            [pa.array(ids), T.pieces((tokens & _U(0xFFFFFFFF)).astype(np.uint32), o), T.pieces(refs, o), T.pieces(known, p)],
-            ["bucket", "tokens", "refs", "known"])
+            [pa.array(ids), T.pieces((tokens & _U(0xFFFFFFFF)).astype(np.uint32), o), T.pieces(refs, o), T.pieces(known, p), T.pieces(times.astype(np.uint32), p)],
+            ["bucket", "tokens", "refs", "known", "times"])
+
+
+REQUEST = "bucket long, tokens binary, refs binary, known binary, times binary"
+
+
+def _home(refs: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket that adds up a ref; it rises with the ref."""
+    return (refs.astype(np.uint64) * _U(buckets) >> _U(32)).astype(np.int64)
 
 
 def _join(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32)
 
 
+def _summed(refs: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every ref once, ascending, with the sum of its times."""
+    out, at = np.unique(refs, return_inverse=True)
+    return out, np.bincount(at, times, len(out)).astype(np.int64)
+
+
 def shared_counts(requests: DataFrame, buckets: int) -> DataFrame:
     """(ref, shared): how many of the tokens sent for a ref occur more than once. Refs are 32 bits of a set's identity:
-    equal refs of different sets add up, which can only keep a set, never drop it. Ref 0 stands for no set."""
+    equal refs of different sets add up, which can only keep a set, never drop it. Ref 0 stands for no set. Refs travel
+    with their counts, one entry per flush and per bucket, so copies of one set do not pile up at its ref."""
 
     def count(t: pa.Table) -> pa.Table:
         tokens, refs = _join(t.column("tokens")), _join(t.column("refs"))
@@ -127,18 +146,18 @@ def shared_counts(requests: DataFrame, buckets: int) -> DataFrame:
         tokens, refs = tokens[order], refs[order]
         same = np.zeros(len(tokens) + 1, bool)
         same[1:-1] = tokens[1:] == tokens[:-1]
-        hit = np.concatenate((refs[same[1:] | same[:-1]], _join(t.column("known"))))
-        home = (hit.astype(np.uint64) * _U(buckets) >> _U(32)).astype(np.int64)
-        order = np.argsort(home, kind="stable")
-        hit, home = hit[order], home[order]
+        hit = refs[(same[1:] | same[:-1]) & (refs > 0)]
+        hit, times = _summed(np.concatenate((hit, _join(t.column("known")))), np.concatenate((np.ones(len(hit), np.uint32), _join(t.column("times")))))
+        home = _home(hit, buckets)
         ids = np.unique(home)
-        return pa.table([pa.array(ids), T.pieces(hit, np.append(np.searchsorted(home, ids), len(home)))], ["home", "refs"])
+        at = np.append(np.searchsorted(home, ids), len(home))
+        return pa.table([pa.array(ids), T.pieces(hit, at), T.pieces(np.minimum(times, 0xFFFFFFFF).astype(np.uint32), at)], ["home", "refs", "times"])
 
     def total(t: pa.Table) -> pa.Table:
-        refs, n = np.unique(_join(t.column("refs")), return_counts=True)
-        return pa.table([pa.array(refs.astype(np.int64)), pa.array(n.astype(np.int64))], ["ref", "shared"])
+        refs, n = _summed(_join(t.column("refs")), _join(t.column("times")))
+        return pa.table([pa.array(refs.astype(np.int64)), pa.array(n)], ["ref", "shared"])
 
-    told = requests.groupBy("bucket").applyInArrow(count, "home long, refs binary")
+    told = requests.groupBy("bucket").applyInArrow(count, "home long, refs binary, times binary")
     return told.groupBy("home").applyInArrow(total, "ref long, shared long")
 
 
@@ -423,30 +442,30 @@ def _probe_requests(docs: DataFrame, k: int, probe: float, buckets: int) -> Data
         for batch in batches:
             for part in T.slices(batch):
                 tokens, offs = T.shingle_sets(part.column("text"), k)
-                refs = np.maximum(T.set_keys(tokens, offs)[:, 0].astype(np.uint32), 1)
                 low = tokens < limit
-                out.add(tokens[low], np.repeat(refs, np.diff(offs))[low])
+                lens = np.diff(np.concatenate(([0], np.cumsum(low)))[offs])
+                out.add(tokens[low], T.set_keys(tokens, offs), lens)
                 if out.size >= FLUSH:
                     yield out.flush()
         if out.size:
             yield out.flush()
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "bucket long, tokens binary, refs binary, known binary")
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, REQUEST)
 
 
 def _set_requests(rows: DataFrame, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = _Requests(buckets)
         for t in batches:
-            for h, x in zip(t.column("h").to_numpy(), t.column("tokens").to_pylist()):
+            for key, x in zip(t.column("key").to_pylist(), t.column("tokens").to_pylist()):
                 x = np.frombuffer(x, np.uint64)
-                out.add(x, np.full(len(x), max(int(h) & 0xFFFFFFFF, 1), np.uint32))
+                out.add(x, np.frombuffer(key, np.uint64).reshape(1, 2), np.array([len(x)]))
                 if out.size >= FLUSH:
                     yield out.flush()
         if out.size:
             yield out.flush()
 
-    return rows.select("h", "tokens").mapInArrow(run, "bucket long, tokens binary, refs binary, known binary")
+    return rows.select("key", "tokens").mapInArrow(run, REQUEST)
 
 
 def _kept(rows: DataFrame, counts: DataFrame, sent: str, share: int) -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sigspark.llm import ngram_join as J, text as T
@@ -82,3 +83,24 @@ def test_bound_never_below_overlap():
     for i in range(40):
         for j in range(40):
             assert b[i, j] >= len(np.intersect1d(tokens[offs[i]:offs[i + 1]], tokens[offs[j]:offs[j + 1]]))
+
+
+def test_copies_send_one_request(spark):
+    """Copies of a text cost a flush nothing, and what a set shares is counted without them."""
+    rng = random.Random(8)
+    base = words(rng, 200)
+    a, b, c = " ".join(base), " ".join(base[:150] + words(rng, 50)), " ".join(words(rng, 120))
+    texts = [a] * 400 + [b] * 30 + [c] * 50
+    rng.shuffle(texts)
+
+    def requests(rows):
+        return J._probe_requests(spark.createDataFrame([(t,) for t in rows], "text string").coalesce(1), 5, J.PROBE, 1)
+
+    sent = [sum(len(x) for row in requests(rows).collect() for x in row[1:]) for rows in (texts, [a, b, c])]
+    assert sent[0] == sent[1]
+    tokens, offs = T.shingle_sets(pa.array([a, b, c]))
+    refs = np.maximum(T.set_keys(tokens, offs)[:, 0].astype(np.uint32), 1).tolist()
+    low = [{int(t) for t in tokens[offs[i]:offs[i + 1]] if t < int(J.PROBE * (1 << T.TOKEN_BITS))} for i in range(3)]
+    for buckets in (1, 7):
+        got = {r.ref: r.shared for r in J.shared_counts(J._probe_requests(spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1), 5, J.PROBE, buckets), buckets).collect()}
+        assert got == {refs[0]: len(low[0] & low[1]), refs[1]: len(low[0] & low[1])}
