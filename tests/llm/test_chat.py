@@ -93,3 +93,33 @@ def test_odd_rows(spark):
     got = C.format_chats(df).collect()
     assert len(got) == len(rows) and all(legal(roles_of(rendered(got, c))) for c in (None, 1, 2))
     assert C.format_chats(df.limit(0)).count() == 0
+
+
+def test_low_turn_numbers_of_one_conversation_are_cut(spark, monkeypatch):
+    """Turn numbers 0 to 7 only: rows without conv_id, rows of one id and equal rows fill no block beyond its size."""
+    monkeypatch.setattr(C, "BLOCK", 16)
+    monkeypatch.setattr(C, "PART_ROWS", 64)
+    rng = random.Random(9)
+    names = ["user", "assistant", "system", "gpt", None]
+    rows = [(conv, rng.randrange(8), rng.choice(names), f"text {i}") for i in range(900) for conv in (None, 0)]
+    rows += [(5, rng.choice([None, 3]), "user", "the same") for _ in range(500)] + [(6, t, names[t % 2], "x") for t in range(8)]
+    rng.shuffle(rows)
+    df = chats(spark, rows).repartition(6)
+    assert max(sum(r["times"] for r in b.rows) for b in C.blocks(df).collect()) <= C.FULL * C.BLOCK
+    got = C.format_chats(df).collect()
+    assert sorted((str(r.conv_id), str(r.turn), str(r.role)) for r in got) == sorted((str(c), str(t), str(r)) for c, t, r, _ in rows)
+    h = {(r.role, r.text): r.h for r in df.selectExpr("role", "text", "xxhash64(role, text) as h").distinct().collect()}
+    for conv in (None, 0, 5, 6):
+        mine = sorted(((-1 if t is None else t, h[r, x], r, x) for c, t, r, x in rows if c == conv), key=lambda r: r[:2])
+        out = sorted((r for r in got if r.conv_id == conv), key=lambda r: (r.block, r.place))
+        assert [(-1 if r.turn is None else r.turn, r.role) for r in out] == [(t, r) for t, _, r, _ in mine]
+        assert all(x in r.piece for r, (*_, x) in zip(out, mine))
+        assert legal(roles_of(rendered(got, conv)))
+        assert cost_of(got, conv) == least([C.role_code(r) for _, _, r, _ in mine])
+
+
+def least(codes):
+    best = {C.START: 0}
+    for c in codes:
+        best = {b: min(v + int(C.TURNS[c][0][a, b]) for a, v in best.items()) for b in range(4)}
+    return min(v + int(C.END[s]) for s, v in best.items())
