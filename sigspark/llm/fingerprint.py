@@ -10,7 +10,8 @@ the level so that about `SAMPLES` characters remain. A sample at a higher level
 fingerprints of texts of any lengths are compared on the slots of the higher level. Written as
 `code points:level:hex characters of the slots in order`.
 
-Near duplicates: bands of sampled slots are joined, each band's members with its smallest id, and verified by likeness.
+Near duplicates: bands of sampled slots are joined, each band's members with its smallest id, then members of different
+components, and verified by likeness.
 """
 
 from __future__ import annotations
@@ -27,12 +28,15 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from . import text as T
 from .common import text_bytes, written
+from .ngram_join import components
 
 BLOCK = 512
 STEPS = 3
 SAMPLES = 96
 #: slots per band, and bands that a fingerprint gives at each level
 BAND_SLOTS = 4
+#: members of a band that one task compares with each other
+TILE = 4096
 LANES = 8192
 
 _U = np.uint64
@@ -156,28 +160,34 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     return x.mapInArrow(run, "doc_id long, n_chars long, fingerprint string")
 
 
+def band_keys(fp: str) -> list[str]:
+    """The bands of a fingerprint at its own level and the next, so texts of similar length meet."""
+    n, own, v = _read(fp)
+    s, out = slots(n, own), []
+    for level in (own, own + 1):
+        on = T.mix(s.astype(np.uint64) * T.BASE + _U(0x5851F42D4C957F2D)) < _U(1 << (64 - level)) if level else np.ones(len(s), bool)
+        x, w = s[on], v[on]
+        group = T.mix(x.astype(np.uint64) + _U(99)) % _U(max(1, SAMPLES // BAND_SLOTS))
+        for g in np.unique(group[w > 0]):
+            m = group == g
+            out.append(f"{level}:{g}:" + hashlib.blake2b(x[m].tobytes() + w[m].tobytes(), digest_size=12).hexdigest())
+    return out
+
+
 def near_pairs(docs: DataFrame, least: float = 0.75) -> DataFrame:
-    """(a, b, likeness) with a < b: members of a band paired with its smallest id, verified by likeness. Bands are taken
-    at the fingerprint's own level and the next, so texts of similar length meet. Equal fingerprints are one member."""
+    """(a, b, likeness) with a < b: verified links between documents that share a band. Two documents are joined by a chain
+    of links exactly if a chain of alike documents, each sharing a band with the next, joins them. Members of a band meet
+    its smallest id first; then all members of different components inside a band meet. Equal fingerprints are one
+    member, known by its smallest id."""
     fp = written(fingerprint(docs).where("n_chars > 0").groupBy("fingerprint").agg(F.min("doc_id").alias("id")), "fingerprints")
 
     def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, keys = [], []
-            for i, f in zip(b.column("id").to_pylist(), b.column("fingerprint").to_pylist()):
-                n, own, v = _read(f)
-                s = slots(n, own)
-                for level in (own, own + 1):
-                    on = T.mix(s.astype(np.uint64) * T.BASE + _U(0x5851F42D4C957F2D)) < _U(1 << (64 - level)) if level else np.ones(len(s), bool)
-                    x, w = s[on], v[on]
-                    group = T.mix(x.astype(np.uint64) + _U(99)) % _U(max(1, SAMPLES // BAND_SLOTS))
-                    for g in np.unique(group[w > 0]):
-                        m = group == g
-                        keys.append(f"{level}:{g}:" + hashlib.blake2b(x[m].tobytes() + w[m].tobytes(), digest_size=12).hexdigest())
-                        ids.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.string())], ["id", "band"])
-
-    x = fp.select("id", "fingerprint").mapInArrow(bands, "id long, band string")
+            keys = [band_keys(f) for f in b.column("fingerprint").to_pylist()]
+            ids = [i for i, k in zip(b.column("id").to_pylist(), keys) for _ in k]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([x for k in keys for x in k], pa.string())], ["id", "band"])
+
+    x = written(fp.select("id", "fingerprint").mapInArrow(bands, "id long, band string"), "bands")
     first = x.groupBy("band").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").drop("z")
     pairs = x.join(first, "band").where("id > a").select("a", F.col("id").alias("b")).distinct()
     y = pairs.join(fp.select(F.col("id").alias("a"), F.col("fingerprint").alias("fa")), "a").join(fp.select(F.col("id").alias("b"), F.col("fingerprint").alias("fb")), "b")
@@ -186,7 +196,46 @@ def near_pairs(docs: DataFrame, least: float = 0.75) -> DataFrame:
     def alike(fa: pd.Series, fb: pd.Series) -> pd.Series:
         return pd.Series([likeness(p, q) for p, q in zip(fa, fb)])
 
-    return y.select("a", "b", alike("fa", "fb").alias("likeness")).where(F.col("likeness") >= least)
+    links = written(y.select("a", "b", alike("fa", "fb").alias("likeness")).where(F.col("likeness") >= least), "links")
+    return links.union(_other_links(fp, x, components(links.select("a", "b")), least))
+
+
+def _other_links(fp: DataFrame, bands: DataFrame, labels: DataFrame, least: float) -> DataFrame:
+    """Links between members of a band in different components. Bands of more than `TILE` members are dealt out as pairs of
+    tiles; pairs are verified where they meet, so only links leave a task."""
+    named = fp.join(labels.withColumnRenamed("key", "id"), "id", "left").select("id", "fingerprint", F.coalesce("comp", "id").alias("comp"))
+    m = bands.join(named.select("id", "comp"), "id")
+    mixed = m.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+    mixed = mixed.select("band", F.ceil(F.col("n") / TILE).alias("split"))
+    t = bands.join(mixed, "band").join(named, "id").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("split")))
+    t = t.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("split") - 1)))
+    t = t.select("band", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "id", "comp", "fingerprint")
+
+    def meet(g: pa.Table) -> pa.Table:
+        g = g.sort_by("id")
+        i, j = g.column("i")[0].as_py(), g.column("j")[0].as_py()
+        ids, comps, tiles, fps = (g.column(c).to_pylist() for c in ("id", "comp", "tile", "fingerprint"))
+        root = {c: c for c in comps}
+
+        def top(c: int) -> int:
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        out = []
+        for q in range(len(ids)):
+            for p in range(q):
+                # members of one tile meet in the group (tile, tile)
+                if (i != j and tiles[p] == tiles[q]) or top(comps[p]) == top(comps[q]):
+                    continue
+                s = likeness(fps[p], fps[q])
+                if s >= least:
+                    out.append((ids[p], ids[q], s))
+                    root[top(comps[q])] = top(comps[p])
+        a, b, s = zip(*out) if out else ((), (), ())
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.float64())], ["a", "b", "likeness"])
+
+    return t.groupBy("band", "i", "j").applyInArrow(meet, "a long, b long, likeness double").distinct()
 
 
 def _edited(text: str, following: str) -> str:

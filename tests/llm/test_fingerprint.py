@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from sigspark.llm import fingerprint as P
@@ -85,3 +86,39 @@ def test_near_pairs(spark):
     rows = list(enumerate(base + [t + " end" for t in base[:5]] + [base[7], None, ""]))
     got = {(r.a, r.b) for r in P.near_pairs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {(i, 10 + i) for i in range(5)}
+
+
+def united(pairs, n):
+    root = list(range(n))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in pairs:
+        x, y = sorted((top(a), top(b)))
+        root[y] = x
+    return [top(i) for i in range(n)]
+
+
+@pytest.mark.parametrize("tile", [4096, 7])
+def test_links_inside_bands_equal_all_pairs(spark, monkeypatch, tile):
+    """Members of a band that are not like its smallest id but like each other."""
+    monkeypatch.setattr(P, "TILE", tile)
+    rng = random.Random(1)
+    base, texts = words(rng, 120), []
+    for _ in range(60):
+        t = base
+        for _ in range(2):
+            w = int(len(base) * rng.uniform(.03, .12))
+            at = rng.randrange(len(base) - w)
+            t = t[:at] + words(rng, w)[:w] + t[at + w:]
+        texts.append(t)
+    fp = P.fingerprints(texts)
+    keys = [set(P.band_keys(f)) for f in fp]
+    alike = {(a, b): P.likeness(fp[a], fp[b]) for b in range(60) for a in range(b) if keys[a] & keys[b] and P.likeness(fp[a], fp[b]) >= 0.75}
+    got = {(r.a, r.b): r.likeness for r in P.near_pairs(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got.items() <= alike.items() and united(got, 60) == united(alike, 60)
+    smallest = {(min(i for i in range(60) if x in keys[i]), j) for j in range(60) for x in keys[j]} & alike.keys()
+    assert united(smallest, 60) != united(alike, 60)
