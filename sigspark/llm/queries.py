@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontam, fingerprint, mixing, ngram_join, pii, quality, sharding, tokens, warc
+from . import centroids, chat, decontam, fingerprint, mixing, ngram_join, pii, quality, sharding, sql_twins, tokens, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,3 +105,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_role_repair")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
+@query("op13_lookup_centroids", sql_twins.centroids())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = centroids.cluster(table(spark, sf_dir, "embeddings"))
+    return x.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", centroids.digest(F.col("centroid")).alias("centroid_sha256"))
