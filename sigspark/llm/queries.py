@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as S
 
-from . import centroids, chat, decontam, fingerprint, mixing, ngram_join, pii, quality, sharding, sql_twins, tokens, warc
+from . import centroids, chat, decontam, fingerprint, mixing, ngram_join, periodic, pii, quality, sharding, sql_twins, tokens, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,6 +108,32 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(table(spark, sf_dir, "conversations"))
 
 
+@F.arrow_udf(S.StringType())
+def with_period(g: pa.Array, text: pa.Array) -> pa.Array:
+    """Words from g % n on become periodic; null stays null."""
+    out = []
+    for g, text in zip(g.to_pylist(), text.to_pylist()):
+        w = periodic.words(text)
+        if w:
+            a = g % len(w)
+            p = 1 + (len(w) - a) // (3 + g % 8)
+            w = w[:a] + [w[a + i % p] for i in range(len(w) - a)]
+        out.append(None if text is None else b" ".join(w).decode())
+    return pa.array(out, pa.string())
+
+
+@query("op12_diagonal_runs", sql_twins.PERIODIC)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = F.crc32(F.col("doc_id").cast("string"))
+    planted = with_period(F.floor(h / 10), F.when(h % 10 == 0, F.col("text")))
+    x = periodic.find(table(spark, sf_dir, "documents").select("doc_id", F.coalesce(planted, "text").alias("text")))
+    line = lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))
+    x = x.withColumn("best", F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("s"), (-r["period"]).alias("p")))))
+    return x.select("doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.s")).alias("start"), F.col("best.length").alias("length"),
+                    (-F.col("best.p")).alias("period"), F.expr("1000 * best.length div -best.p").alias("exponent_milli"),
+                    F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 @query("op13_lookup_centroids", sql_twins.centroids())
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = centroids.cluster(table(spark, sf_dir, "embeddings"))

@@ -20,3 +20,29 @@ def centroids(dimensions: int = 64, clusters: int = 40, rounds: int = 5) -> str:
 SELECT vec_id, CAST(b.k AS INTEGER) AS cluster, b.d AS distance, CAST(sum(b.d) OVER (PARTITION BY b.k) AS BIGINT) AS cluster_inertia,
        CAST(sum(b.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
 FROM a{rounds} JOIN c{rounds} ON b.k = c{rounds}.k"""
+
+
+#: crc32 of a decimal number: bytes and their bits by two nested folds
+_CRC32 = """xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, len({0}) + 1), lambda k: CAST(ascii({0}[k]) AS BIGINT))),
+ lambda c, b: list_reduce(list_prepend(xor(c, b), [CAST(0 AS BIGINT), 0, 0, 0, 0, 0, 0, 0]), lambda a, z: xor(a >> 1, (a & 1) * 3988292384))))"""
+
+#: all pairs of equal words of a text; islands of one lag are diagonals
+PERIODIC = f"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, CAST(doc_id AS VARCHAR) AS s, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+h AS (SELECT *, len(w) AS n, {_CRC32.format("s")} AS h FROM t),
+a AS (SELECT *, CASE WHEN n > 0 THEN (h // 10) % n END AS a, h // 10 AS g FROM h),
+d AS MATERIALIZED (SELECT r, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0
+  THEN list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END]) ELSE w END AS w FROM a),
+x AS MATERIALIZED (SELECT r, n, i, w[i + 1] AS w FROM d, unnest(range(n)) AS t(i)),
+m AS (SELECT x.r, x.i, x.i - y.i AS lag FROM x JOIN x AS y ON x.r = y.r AND x.w = y.w AND y.i < x.i AND x.i - y.i <= x.n // 2),
+islands AS (SELECT r, lag, i, i - row_number() OVER (PARTITION BY r, lag ORDER BY i) AS island FROM m),
+diagonals AS (SELECT r, lag, min(i) - lag AS start, count(*) + lag AS length FROM islands GROUP BY r, lag, island HAVING count(*) >= lag AND count(*) + lag >= 12),
+runs AS MATERIALIZED (SELECT r, start, length, min(lag) AS period FROM diagonals GROUP BY ALL),
+per AS (SELECT r, count(*) AS n_runs, min(struct_pack(a := -length, b := start, c := period)) AS best,
+  string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM runs GROUP BY r),
+gone AS (SELECT DISTINCT r, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (SELECT r, string_agg(w, ' ' ORDER BY i) AS text FROM x ANTI JOIN gone USING (r, i) GROUP BY r)
+SELECT doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(best.b AS BIGINT) AS start, CAST(-best.a AS BIGINT) AS length, CAST(best.c AS BIGINT) AS period,
+       CAST(1000 * -best.a // best.c AS BIGINT) AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(text, '')) AS collapsed_sha256
+FROM d LEFT JOIN per USING (r) LEFT JOIN kept USING (r)
+"""
