@@ -7,7 +7,7 @@ from collections.abc import Callable
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as S
 
-from . import centroids, chat, decontam, fingerprint, mixing, ngram_join, periodic, pii, quality, sharding, sql_twins, tokens, warc
+from . import centroids, chat, decontam, fingerprint, mixing, ngram_join, periodic, perplexity, pii, quality, sharding, sql_twins, tokens, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,6 +108,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(table(spark, sf_dir, "conversations"))
 
 
+@query("op11_perplexity_bands", sql_twins.perplexity())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexity.judge(table(spark, sf_dir, "documents")).select("doc_id", *perplexity.MEASURES, "base_failed", "kept")
+
+
 @F.arrow_udf(S.StringType())
 def with_period(g: pa.Array, text: pa.Array) -> pa.Array:
     """Words from g % n on become periodic; null stays null."""
