@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from contextvars import ContextVar
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
@@ -18,27 +19,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_temporary: list[list[str]] = []
+#: folders written inside `settled`; a thread or task that runs beside has its own list
+_temporary: ContextVar[list[str] | None] = ContextVar("temporary", default=None)
+#: keys with more than this share of the rows are split: there are at most so many of them
+HOT_KEYS = 512
+SALTS = 64
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder in the shared folder that the session names."""
     path = f"{shared_folder(spark)}/llm-{name}-{uuid.uuid4().hex}"
-    if _temporary:
-        _temporary[-1].append(path)
+    paths = _temporary.get()
+    if paths is not None:
+        paths.append(path)
     return path
 
 
 def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
     """The result of `make` as a written table; the intermediate tables that it wrote are deleted."""
-    _temporary.append([])
+    paths: list[str] = []
+    before = _temporary.set(paths)
     try:
         path = f"{shared_folder(spark)}/llm-{name}-{uuid.uuid4().hex}"
         df = make()
         df.write.parquet(path)
     finally:
+        _temporary.reset(before)
         conf = spark.sparkContext._jsc.hadoopConfiguration()
-        for p in _temporary.pop():
+        for p in paths:
             p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
             p.getFileSystem(conf).delete(p, True)
     return spark.read.schema(df.schema).parquet(path)
@@ -88,3 +96,19 @@ def ranked(df: DataFrame, keys: list[str], part: Column, order: list, name: str
     x = x.join(n, [*keys, parts])
     inside = F.row_number().over(W.partitionBy(*keys, parts).orderBy(*order)) - 1
     return x.withColumn(name, (F.col("_before") + inside).cast("long")).drop("_before")
+
+
+def row_hash(df: DataFrame) -> Column:
+    """64 bits of a whole row; equal for repeated rows."""
+    return F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString()])
+
+
+def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], count: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined with `table`, which has one row per key and in `count` the number of rows that meet it. Keys with more
+    than 1/512 of all rows are dealt to 64 tasks each; there are at most 512 of them, so their list is broadcast."""
+    hot = table.where(F.col(count) > max(1000, total // HOT_KEYS)).select(*keys, F.lit(True).alias("_hot"))
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
+    r = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.when(F.col("_hot"), salt).otherwise(0)).drop("_hot")
+    every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    t = table.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(every)).drop("_hot")
+    return r.join(t, [*keys, "_salt"], how).drop("_salt")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from . import text as T
-from .common import ranked, settled, written
+from .common import ranked, row_hash, settled, spread_join, written
 
 CAP = 3
 TOLERANCE = 1e-9
@@ -28,7 +28,7 @@ ROUNDS = 80
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size (words of other characters than space and 09-0D), _h (hash for ties)."""
+    """doc_id, source, size (words of other characters than space and 09-0D), _h (hash for ties), _row (hash of the row)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -36,12 +36,13 @@ def sizes(docs: DataFrame) -> DataFrame:
                 data, offs = T.flat(part.column("text"))
                 _, _, doc = T.word_spans(data, offs, T.NOT_SPACE)
                 n = np.bincount(doc, minlength=part.num_rows) if len(doc) else np.zeros(part.num_rows, np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("source"), pa.array(n.astype(np.int64)), part.column("_h")], ["doc_id", "source", "size", "_h"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("source"), pa.array(n.astype(np.int64)), part.column("_h"), part.column("_row")],
+                                                 ["doc_id", "source", "size", "_h", "_row"])
 
     t = F.col("text").cast("string")
     x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), t.alias("text"),
-                    F.xxhash64(F.lit("mix"), "doc_id").alias("_h"))
-    return x.mapInArrow(run, "doc_id long, source string, size long, _h long")
+                    F.xxhash64(F.lit("mix"), "doc_id").alias("_h"), row_hash(docs).alias("_row"))
+    return x.mapInArrow(run, "doc_id long, source string, size long, _h long, _row long")
 
 
 def targets(source_sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = CAP) -> DataFrame:
@@ -136,17 +137,22 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = CAP) -
     keyed = d.withColumns({"_null": F.col("source").isNull(), "_source": F.coalesce("source", F.lit(""))})
     r = ranked(keyed, ["_null", "_source", "size"], part, ["_h", "doc_id"])
     x = x.withColumns({"_null": F.col("source").isNull(), "_source": F.coalesce("source", F.lit(""))}).drop("source")
-    y = r.join(x, ["_null", "_source", "size"])
+    y = spread_join(r, x.withColumn("_cell", F.col("n")), ["_null", "_source", "size"], "_cell", int(cells.agg(F.sum("n")).first()[0] or 0))
     extra = F.col("copies") % F.col("n")
     # spread the remainder over the ranks, whatever their number
     more = F.floor((F.col("_rank") + 1) * extra / F.col("n")) - F.floor(F.col("_rank") * extra / F.col("n"))
-    return y.select("doc_id", "source", "size", "source_size", "target", (F.floor(F.col("copies") / F.col("n")) + more).cast("long").alias("copies"), "_h")
+    return y.select("doc_id", "source", "size", "source_size", "target", (F.floor(F.col("copies") / F.col("n")) + more).cast("long").alias("copies"), "_h", "_row")
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = CAP) -> DataFrame:
-    """Documents repeated as often as the mix takes them; columns as given. Rows are matched by id, so rows of equal id
-    get the copies of one of them."""
+    """Documents repeated as often as the mix takes them; columns as given. A row is matched by all its columns, so rows
+    that share an id, or have none, get their own copies; rows that are equal in every column are one row that comes as
+    often as the mix takes all of them."""
     m = settled(docs.sparkSession, lambda: mix(docs, weights, cap), "copies")
-    m = m.groupBy("doc_id").agg(F.max("copies").alias("_mix_copies")).withColumnRenamed("doc_id", "_mix_id").where("_mix_copies > 0")
-    x = docs.join(m, F.col("doc_id").cast("long").eqNullSafe(F.col("_mix_id")))
+    total = m.count()
+    m = m.groupBy("_row").agg(F.sum("copies").alias("_mix_copies"), F.count(F.lit(1)).alias("_mix_rows")).where("_mix_copies > 0")
+    m = m.withColumnRenamed("_row", "_mix_row")
+    x = spread_join(docs.withColumn("_mix_row", row_hash(docs)), m, ["_mix_row"], "_mix_rows", total)
+    again = x.where("_mix_rows > 1").dropDuplicates(["_mix_row"])
+    x = x.where("_mix_rows = 1").union(again)
     return x.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix_copies"))).alias("_mix_copy")).drop("_mix_copy")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import text as T
-from .common import Bloom, settled, text_bytes, written
+from .common import Bloom, row_hash, settled, spread_join, text_bytes, written
 
 GROUPS = 64
 #: groups of the later rounds, where near misses have to be told from links
@@ -39,7 +39,6 @@ PROBE = 0.4
 BUCKET_BYTES = 16 << 20
 #: tokens behind one exchange bucket of the survivors
 BUCKET_TOKENS = 1 << 21
-MAX_BUCKETS = 1 << 20
 #: posting lists up to this length are joined at once; longer ones go through the rounds
 SMALL = 8
 #: sets in one R-tree task; fuller buckets are split into pairs of tiles
@@ -50,13 +49,13 @@ _U = np.uint64
 
 
 def _bucket(tokens: np.ndarray, buckets: int) -> np.ndarray:
-    return ((tokens >> _U(T.TOKEN_BITS - 20)) * _U(buckets) >> _U(20)).astype(np.int64)
+    return ((tokens >> _U(T.TOKEN_BITS - 32)) * _U(buckets) >> _U(32)).astype(np.int64)
 
 
 # ---------------------------------------------------------------- sets
 
 def sets(docs: DataFrame, k: int, probe: float) -> DataFrame:
-    """One narrow row per document: doc_id, key (identity of its set), h (64 bits of it), n, n_probe."""
+    """One narrow row per document: doc_id, row (hash of all its columns), key (identity of its set), h (64 bits of it), n, n_probe."""
     limit = _U(int(probe * (1 << T.TOKEN_BITS)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,11 +65,12 @@ def sets(docs: DataFrame, k: int, probe: float) -> DataFrame:
                 keys = T.set_keys(tokens, offs)
                 low = np.concatenate(([0], np.cumsum(tokens < limit)))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), T.fixed_binary(keys, 16), pa.array(keys[:, 0].view(np.int64)), pa.array(np.diff(offs).astype(np.int64)),
-                     pa.array((low[offs[1:]] - low[offs[:-1]]).astype(np.int64))], ["doc_id", "key", "h", "n", "n_probe"])
+                    [part.column("doc_id"), part.column("row"), T.fixed_binary(keys, 16), pa.array(keys[:, 0].view(np.int64)),
+                     pa.array(np.diff(offs).astype(np.int64)), pa.array((low[offs[1:]] - low[offs[:-1]]).astype(np.int64))],
+                    ["doc_id", "row", "key", "h", "n", "n_probe"])
 
-    x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return x.mapInArrow(run, "doc_id long, key binary, h long, n long, n_probe long")
+    x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row_hash(docs).alias("row"))
+    return x.mapInArrow(run, "doc_id long, row long, key binary, h long, n long, n_probe long")
 
 
 class _Requests:
@@ -430,7 +430,7 @@ def _token_rows(docs: DataFrame, k: int, words) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [T.fixed_binary(keys, 16), pa.array(keys[:, 0].copy().view(np.int64)), pa.array(n), T.pieces(tokens, offs)], ["key", "h", "n", "tokens"])
 
-    x = docs.select(F.col("text").cast("string").alias("text"), F.xxhash64(F.col("doc_id").cast("long")).alias("_id"))
+    x = docs.select(F.col("text").cast("string").alias("text"), row_hash(docs).alias("_id"))
     return x.mapInArrow(run, "key binary, h long, n long, tokens binary")
 
 
@@ -484,17 +484,26 @@ def near_duplicates(docs: DataFrame, k: int = 5, share: int = 75) -> DataFrame:
     repeated ids included; a null doc_id never is the smallest unless its component has no other. An empty table gives
     an empty result.
     """
+    x = _labelled(docs, k, share)
+    return x.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("best.doc_id", "doc_id").alias("component_id"))
+
+
+def _labelled(docs: DataFrame, k: int, share: int) -> DataFrame:
+    """doc_id, row, n and best of every row: absent, doc_id and row of the first row of its component, ids before nulls;
+    null for the empty set."""
     spark = docs.sparkSession
     all_sets = written(sets(docs, k, PROBE), "sets")
-    classes = all_sets.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc"), F.first("h").alias("h"), F.first("n").alias("n"), F.first("n_probe").alias("n_probe"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "row")).alias("least")
+    classes = written(all_sets.where("n > 0").groupBy("key").agg(least, F.count(F.lit(1)).alias("rows"), F.first("h").alias("h"), F.first("n").alias("n"),
+                                                                F.first("n_probe").alias("n_probe")), "classes")
     # 1: sets that share enough of the probed part of the token space
-    buckets = min(MAX_BUCKETS, max(1, -(-text_bytes(docs) // BUCKET_BYTES)))
+    buckets = max(1, -(-text_bytes(docs) // BUCKET_BYTES))
     first = written(_kept(classes, shared_counts(_probe_requests(docs, k, PROBE, buckets), buckets), "n_probe", share), "left")
-    words = Bloom(first.select(F.xxhash64("doc").alias("h")), "h").shared(spark)
+    words = Bloom(first.select(F.col("least.row").alias("h")), "h").shared(spark)
     rows = _token_rows(docs, k, words).join(first.select("key"), "key", "left_semi")
     rows = written(rows.groupBy("key").agg(F.first("h").alias("h"), F.first("n").alias("n"), F.first("tokens").alias("tokens")), "tokens")
     total = int(rows.agg(F.sum("n")).first()[0] or 0)
-    buckets = min(MAX_BUCKETS, max(1, -(-total // BUCKET_TOKENS)))
+    buckets = max(1, -(-total // BUCKET_TOKENS))
     family = written(_kept(rows, shared_counts(_set_requests(rows, buckets), buckets), "n", share), "family")
     # 2 and 3: R-trees over posting lists, verification, components
     tiles = _tiles(family, share, buckets)
@@ -511,11 +520,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, share: int = 75) -> DataFrame:
             continue
         edges = found if edges is None else edges.union(found)
         labels = components(edges)
-    best = labels.join(classes.select("key", "doc"), "key").groupBy("comp").agg(F.min("doc").alias("best"))
+    best = labels.join(classes.select("key", "least"), "key").groupBy("comp").agg(F.min("least").alias("best"))
     of_set = labels.join(best, "comp").select("key", "best")
-    own = classes.select("key", F.col("doc")).join(of_set, "key", "left").select("key", F.coalesce("best", "doc").alias("component_id"))
-    return (all_sets.join(own, "key", "left")
-            .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")))
+    own = classes.select("key", "least", "rows").join(of_set, "key", "left").select("key", "rows", F.coalesce("best", "least").alias("best"))
+    return spread_join(all_sets, own, ["key"], "rows", all_sets.count(), "left").select("doc_id", "row", "n", "best")
 
 
 def comp_or_self(comp):
@@ -523,28 +531,25 @@ def comp_or_self(comp):
 
 
 def one_of_each(docs: DataFrame, k: int = 5, share: int = 75) -> DataFrame:
-    """Documents without near duplicates: of every component the row with the smallest doc_id stays (one row if that id
-    is repeated). Columns as given. Only rows that a bounded Bloom filter suspects to go are shuffled."""
+    """Documents without near duplicates: of every component one row stays, the one with the smallest doc_id, rows without
+    an id last, rows of one id by a hash of all their columns. Rows with an empty set all stay. Columns as given. Rows are
+    told apart by id and hash, so unlinked texts under one id, or without one, stay; rows that are equal in every column
+    are copies. Only rows that a bounded Bloom filter suspects to go are shuffled."""
     spark = docs.sparkSession
-    found = settled(spark, lambda: near_duplicates(docs, k, share), "components")
-    gone = found.where("doc_id != component_id").select("doc_id").union(
-        found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("doc_id")).where("doc_id is not null").distinct()
-    stay = found.where("doc_id = component_id").select("doc_id").distinct()
-    return split_by_ids(spark, docs, gone, stay)
-
-
-def split_by_ids(spark, docs: DataFrame, suspects: DataFrame, stay: DataFrame) -> DataFrame:
-    """Rows whose id is no suspect, and of suspects that stay one row each."""
-    words = Bloom(suspects.select(F.xxhash64("doc_id").alias("h")), "h").shared(spark)
+    found = settled(spark, lambda: _labelled(docs, k, share), "components").where("best is not null")
+    first = F.col("best.row") == F.col("row")
+    rows = found.groupBy("row").agg(F.max(first).alias("stays"), F.count(F.lit(1)).alias("_n"))
+    suspects = rows.where(~F.col("stays") | (F.col("_n") > 1))
+    words, total = Bloom(suspects.withColumnRenamed("row", "h"), "h").shared(spark), found.count()
 
     @F.pandas_udf("boolean")
     def suspected(h: pd.Series) -> pd.Series:
         return pd.Series(Bloom.hits(words.value, h.to_numpy()))
 
-    cols, mark = docs.columns, "_near_duplicate_suspect"
-    x = docs.withColumn(mark, suspected(F.xxhash64(F.col("doc_id").cast("long"))) & F.col("doc_id").isNotNull())
-    sure = x.where(~F.col(mark)).drop(mark)
-    maybe = x.where(mark).drop(mark)
-    clean = maybe.join(suspects, "doc_id", "left_anti")
-    one = maybe.join(suspects.join(stay, "doc_id", "left_semi"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return sure.union(clean.select(*cols)).union(one.select(*cols))
+    mark, row = "_near_duplicate_suspect", "_near_duplicate_row"
+    x = docs.withColumn(row, row_hash(docs)).withColumn(mark, suspected(row))
+    sure = x.where(~F.col(mark)).select(*docs.columns)
+    # equal rows are one before anything is shuffled by their hash; rows of the empty set are no suspects
+    one = spread_join(x.where(mark).drop(mark), suspects.withColumnRenamed("row", row), [row], "_n", total, "left").where(F.coalesce("stays", F.lit(True)))
+    again = one.where("stays").dropDuplicates([row]).select(*docs.columns)
+    return sure.union(one.where("stays is null").select(*docs.columns)).union(again)

@@ -49,7 +49,7 @@ FROM d LEFT JOIN per USING (r) LEFT JOIN kept USING (r)
 
 
 def perplexity(order: int = 5) -> str:
-    """Base measures, the interpolated model over hexadecimal bytes order by order, and the bands."""
+    """Base measures, the interpolated model over bytes (from hexadecimal digits) order by order, and the bands."""
     space, word = "[\\x20\\x09-\\x0D]+", "[^\\x20\\x09-\\x0D]+"
     parts = [f"""d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{word}') AS w FROM documents)""",
              """lines AS (SELECT r, count(*) - count(DISTINCT l) AS n FROM (SELECT r, unnest(string_split(t, chr(10))) AS l FROM d)
@@ -59,24 +59,26 @@ def perplexity(order: int = 5) -> str:
              """b AS MATERIALIZED (SELECT d.*, len(w) AS n_words, coalesce(CAST(list_sum(list_transform(w, lambda x: length(x))) AS BIGINT), 0) AS word_chars,
  length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(lines.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words
  FROM d LEFT JOIN lines USING (r) LEFT JOIN rep USING (r))""",
-             "units AS (SELECT r, hex(encode(' ' || array_to_string(w, ' '))) AS u FROM d WHERE len(w) > 0)",
-             f"grams AS MATERIALIZED (SELECT r, u[2 * i + 1 : 2 * i + {2 * order}] AS g FROM units, unnest(range(0, len(u) // 2 - {order - 1})) AS t(i))",
+             "units AS (SELECT r, regexp_extract_all(hex(encode(' ' || array_to_string(w, ' '))), '..') AS u FROM d WHERE len(w) > 0)",
+             "bytes AS (SELECT r, unnest(list_transform(u, lambda x: CAST('0x' || x AS BIGINT))) AS b, generate_subscripts(u, 1) AS i FROM units)",
+             f"""grams AS MATERIALIZED (SELECT r, g FROM (SELECT r, i, {' + '.join(f'lag(b, {j}) OVER one * {256 ** j}' for j in range(order))} AS g
+ FROM bytes WINDOW one AS (PARTITION BY r ORDER BY i)) WHERE i >= {order})""",
              f"g{order} AS MATERIALIZED (SELECT g, count(*) AS c FROM grams GROUP BY g)"]
     for k in range(order - 1, 0, -1):
-        parts.append(f"g{k} AS MATERIALIZED (SELECT g[3:] AS g, count(*) AS c FROM g{k + 1} GROUP BY ALL)")
+        parts.append(f"g{k} AS MATERIALIZED (SELECT g % {256 ** k} AS g, count(*) AS c FROM g{k + 1} GROUP BY ALL)")
     for k in range(1, order + 1):
         parts.append(f"""n{k} AS (SELECT count(*) FILTER (c = 1) AS n1, count(*) FILTER (c = 2) AS n2, count(*) FILTER (c = 3) AS n3, count(*) FILTER (c = 4) AS n4 FROM g{k})""")
         parts.append(f"""y{k} AS (SELECT 1 - 2 * y * n2 / n1 AS d1, 2 - 3 * y * n3 / n2 AS d2, 3 - 4 * y * n4 / n3 AS d3, least(n1, n2, n3, n4) AS least_n
  FROM (SELECT *, n1 / (n1 + 2 * n2) AS y FROM n{k}))""")
         parts.append(f"""d{k} AS MATERIALIZED (SELECT CASE WHEN ok THEN d1 ELSE 0.5 END AS d1, CASE WHEN ok THEN d2 ELSE 1.0 END AS d2, CASE WHEN ok THEN d3 ELSE 1.5 END AS d3
  FROM (SELECT *, least_n > 0 AND d1 BETWEEN 0 AND 1 AND d2 BETWEEN 0 AND 2 AND d3 BETWEEN 0 AND 3 AS ok FROM y{k}))""")
-        parts.append(f"""x{k} AS (SELECT g, c, CAST(CASE c WHEN 1 THEN d1 WHEN 2 THEN d2 ELSE d3 END AS DOUBLE) AS gone, g[:-3] AS h FROM g{k}, d{k})""")
+        parts.append(f"""x{k} AS (SELECT g, c, CAST(CASE c WHEN 1 THEN d1 WHEN 2 THEN d2 ELSE d3 END AS DOUBLE) AS gone, g // 256 AS h FROM g{k}, d{k})""")
         own = f"(SELECT g, (c - gone) / sum(c) OVER (PARTITION BY h) AS own, sum(gone) OVER (PARTITION BY h) / sum(c) OVER (PARTITION BY h) AS free FROM x{k})"
         if k == 1:
             parts.append(f"p1 AS MATERIALIZED (SELECT g, own + free / 256 AS p FROM {own})")
         else:
-            parts.append(f"p{k} AS MATERIALIZED (SELECT z.g, own + free * p{k - 1}.p AS p FROM {own} z JOIN p{k - 1} ON z.g[3:] = p{k - 1}.g)")
-    parts += [f"""lp AS (SELECT r, -sum(ln(p)) / greatest(count(*) FILTER (regexp_matches(g[-2:], '3[0-9]|4[1-9A-F]|5[0-9A]|6[1-9A-F]|7[0-9A]|[89A-F].')), 1) AS lp
+            parts.append(f"p{k} AS MATERIALIZED (SELECT z.g, own + free * p{k - 1}.p AS p FROM {own} z JOIN p{k - 1} ON z.g % {256 ** (k - 1)} = p{k - 1}.g)")
+    parts += [f"""lp AS (SELECT r, -sum(ln(p)) / greatest(count(*) FILTER (g % 256 BETWEEN 48 AND 57 OR g % 256 BETWEEN 65 AND 90 OR g % 256 BETWEEN 97 AND 122 OR g % 256 > 127), 1) AS lp
  FROM grams JOIN p{order} USING (g) GROUP BY r)""",
               "s AS MATERIALIZED (SELECT b.*, lp, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b LEFT JOIN lp USING (r))",
               "v AS MATERIALIZED (SELECT lang, round(lp, 3) AS lp FROM (SELECT DISTINCT lang, n_words, round(lp, 6) AS lp FROM s WHERE NOT base_failed AND lp IS NOT NULL))",

@@ -74,3 +74,22 @@ def test_rates_solve_the_dual(spark):
     got = sum(s * n * min(3, math.exp(r["a"].lam * s / r["a"]["mean"])) for s, n in ((10, 5), (100, 2)))
     assert got == pytest.approx(300, rel=1e-6)
     assert 63 * math.exp(r["b"].lam) == pytest.approx(20, rel=1e-6)
+
+
+def test_mixed_writes_what_mix_takes_without_ids(spark):
+    """Null and repeated ids over several sources and sizes, and rows that are equal in every column."""
+    import random
+    rng = random.Random(4)
+    rows = [(rng.choice([None, None, 1, 2, i]), " ".join("w" * rng.randrange(1, 6) for _ in range(rng.choice([3, 3, 8, 20, 50]))), rng.choice(["a", "b", "c", None]))
+            for i in range(300)] + [(7, "same text here", "a")] * 40 + [(None, None, "b")] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    m = M.mix(df).collect()
+    taken = {}
+    for r in m:
+        taken[r.source] = taken.get(r.source, 0) + r.copies * r["size"]
+    got = {}
+    out = M.mixed(df).collect()
+    for r in out:
+        got[r.source] = got.get(r.source, 0) + len((r.text or "").split())
+    assert got == {k: v for k, v in taken.items()}
+    assert len(out) == sum(r.copies for r in m)

@@ -104,3 +104,26 @@ def test_copies_send_one_request(spark):
     for buckets in (1, 7):
         got = {r.ref: r.shared for r in J.shared_counts(J._probe_requests(spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1), 5, J.PROBE, buckets), buckets).collect()}
         assert got == {refs[0]: len(low[0] & low[1]), refs[1]: len(low[0] & low[1])}
+
+
+def test_one_row_of_each_component_whatever_the_ids(spark):
+    """Null ids, one id over different texts, one text under several ids, and rows that are equal in every column."""
+    a, b, c = (" ".join(f"{p}{i}" for i in range(40)) for p in "abc")
+    rows = [(5, a, 1), (5, b, 1), (None, a + " tail", 1), (None, c, 1), (None, c, 1), (7, c, 1), (8, b + " tail", 2), (9, "", 1), (9, "", 1), (None, None, 1),
+            (10, "only one", 1), (10, "only one", 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, best int").repartition(4)
+    got = sorted(map(str, J.one_of_each(df).collect()))
+    want = [(5, a, 1), (5, b, 1), (7, c, 1), (9, "", 1), (9, "", 1), (None, None, 1)]
+    ones = [g for g in got if "only one" in g]
+    assert len(ones) == 1
+    assert sorted(g for g in got if "only one" not in g) == sorted(f"Row(doc_id={i}, text={t!r}, best={n})" for i, t, n in want)
+
+
+def test_one_text_for_most_rows(spark):
+    from pyspark.sql import functions as F
+    a, b = (" ".join(f"{p}{i}" for i in range(40)) for p in "ab")
+    df = spark.range(4000).select(F.when(F.col("id") % 4 > 0, F.lit(None)).otherwise(F.col("id")).alias("doc_id"),
+                                  F.when(F.col("id") % 3 > 0, F.lit(a)).otherwise(F.lit(b)).alias("text"))
+    got = J.one_of_each(df).collect()
+    assert sorted((r.doc_id, r.text[:2]) for r in got) == [(0, "b0"), (4, "a0")]
+    assert J.near_duplicates(df).groupBy("component_id", "n_shingles").count().collect().__len__() == 2
