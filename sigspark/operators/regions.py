@@ -310,12 +310,12 @@ def opened(frames: DataFrame, keys: list[str]) -> DataFrame:
 
 def detect(frames: DataFrame, rate: float, nperseg: int, hop: int, margin_db: float = 8.0,
            fixed_db: float | None = None, real: bool = False, merge: bool = True) -> DataFrame:
-    """Detections per (capture, block): bounds, time extent and evidence of every qualified band.
+    """Detections per (capture, block) from tables of frames: bounds, time extent and evidence of every qualified band.
 
+    The relational form, for frames that are tables already; `blockbands.detect` goes from samples to bands in one pass.
     All grouping keys contain (capture, block): band slices are shuffled once and the chain then runs in place.
     """
     nb = nperseg // 2 + 1 if real else nperseg
-    step = rate / nperseg
     placed = hit_frames(frames)
     bands = merged_bands(placed, nb) if merge else as_parts(find_bands(placed))
     cell = band_cells(band_frames(bands, placed))
@@ -342,23 +342,33 @@ def detect(frames: DataFrame, rate: float, nperseg: int, hop: int, margin_db: fl
         F.min(F.when(F.col("_c") >= 1 - tail, F.col("bin"))).alias("_b1"),
         F.sum("_n").alias("_n"), F.sum(F.col("_s") / m).alias("_sn"), F.sum(F.col("_q") / (m * m)).alias("_qn"),
         *[F.first(c).alias(c) for c in ("_p90", "_occ", "_f0", "_f1", "floor", "lft", "rgt")])
+    return published(a, rate, nperseg, hop, margin_db, fixed_db, real)
+
+
+def published(facts: DataFrame, rate: float, nperseg: int, hop: int, margin_db: float, fixed_db: float | None, real: bool,
+              more: dict[str, Column] | None = None) -> DataFrame:
+    """Bounds, time extent and scores from the sums of a band, one row each."""
+    nb = nperseg // 2 + 1 if real else nperseg
+    step = rate / nperseg
     ok = (F.col("n_bins") >= MIN_REFINE_BINS) & (F.col("excess") > 0)
     b0 = F.least(F.coalesce("_b0", F.col("_last")), F.col("_last"))
     b1 = F.greatest(F.coalesce("_b1", F.col("_last")) + 1, b0 + 1)
-    a = a.withColumn("b0", F.when(ok, b0)).withColumn("b1", F.when(ok, b1))
+    a = facts.withColumn("b0", F.when(ok, b0)).withColumn("b1", F.when(ok, b1))
     freq = (lambda b: b * F.lit(step)) if real else (lambda b: (b - nb // 2) * F.lit(step))
+    some = F.col("fa").isNotNull()
     out = publish_bounds(a, freq, step, rate, real)
+    out = out.withColumns({c: F.when(some, F.col(c)) for c in ("freq_lower_hz", "freq_upper_hz", "freq_extent_lower_hz", "freq_extent_upper_hz", "bounds_method")})
     line = F.lit(fixed_db) if fixed_db is not None else db(F.col("floor")) + margin_db
     ex = db(F.col("_p90")) - line
     mean = F.col("_sn") / F.col("_n")
     dev = F.abs(F.sqrt(F.greatest(F.col("_qn") / F.col("_n") - mean * mean, F.lit(0.0))) / mean - 1)
     out = out.select(
         *BAND, "freq_lower_hz", "freq_upper_hz", "freq_extent_lower_hz", "freq_extent_upper_hz", "bounds_method",
-        F.greatest(F.col("lft"), F.col("_f0") * hop).cast("long").alias("start_sample"),
-        F.least(F.col("rgt"), F.col("_f1") * hop + nperseg).cast("long").alias("end_sample"),
-        ex.alias("threshold_excess_db"), F.col("_occ").alias("occupancy"),
-        confidence(ex, F.col("_occ")).alias("confidence"), dev.alias("power_cv_deviation"),
-        clip(0.48 + 0.5 * (1 - F.exp(-dev / 0.2)), 0.0, 0.99).alias("confidence_evidence_based"))
+        F.when(some, F.greatest(F.col("lft"), F.col("_f0") * hop)).cast("long").alias("start_sample"),
+        F.when(some, F.least(F.col("rgt"), F.col("_f1") * hop + nperseg)).cast("long").alias("end_sample"),
+        F.when(some, ex).alias("threshold_excess_db"), F.col("_occ").alias("occupancy"),
+        F.when(some, confidence(ex, F.col("_occ"))).alias("confidence"), F.when(some, dev).alias("power_cv_deviation"),
+        F.when(some, clip(0.48 + 0.5 * (1 - F.exp(-dev / 0.2)), 0.0, 0.99)).alias("confidence_evidence_based"),
+        *[c.alias(n) for n, c in (more or {}).items()])
     return (out.withColumn("needs_review", F.col("confidence") < REVIEW_BELOW)
-               .withColumn("detection_method", F.lit("adaptive_threshold" if fixed_db is None
-                                                     else "fixed_threshold_debug")))
+               .withColumn("detection_method", F.when(some, F.lit("adaptive_threshold" if fixed_db is None else "fixed_threshold_debug"))))

@@ -7,6 +7,7 @@ block + 2 * guard samples, so FFT work and everything keyed by (capture, block)
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -116,6 +117,49 @@ def short_blocks(blocks: DataFrame, nperseg: int) -> DataFrame:
                                             F.format_string(f"fewer than {nperseg} samples (%s)", n).alias("status"))
 
 
+BLOCK_COLUMNS = ["capture_id", "block_id", "lft", "core_start", "core_end", "i", "q"]
+
+
+@dataclass
+class BlockSpectra:
+    """Spectra of one block inside a task; `power` is None for a block under one frame."""
+    capture_id: int
+    block_id: int
+    lft: int
+    core_start: int
+    core_end: int
+    n_samples: int
+    first_frame: int
+    power: np.ndarray | None = None
+    floor: float | None = None
+    smooth: np.ndarray | None = None
+
+    def above(self, margin_db: float, fixed_db: float | None = None) -> np.ndarray:
+        line = 10 * np.log10(self.floor) + margin_db if fixed_db is None else fixed_db
+        return 10 * np.log10(np.maximum(self.smooth, EPS)) > line
+
+
+def check_margin(margin_db: float, fixed_db: float | None) -> None:
+    if fixed_db is None and not 3 <= margin_db <= 30:
+        raise ValueError("Adaptive margin must be between 3 and 30 dB.")
+
+
+def block_spectra(batches: Iterator[pa.RecordBatch], rate: float, nperseg: int, hop: int, real: bool) -> Iterator[BlockSpectra]:
+    """Every block of a task with its frame spectra, floor and smoothed spectra, one at a time."""
+    every = nperseg // 2 // hop
+    for batch in batches:
+        meta = {c: batch.column(c).to_pylist() for c in BLOCK_COLUMNS[:5]}
+        ii, qq = batch.column("i"), batch.column("q")
+        for row in range(batch.num_rows):
+            i, q = (np.asarray(c[row].values, float) for c in (ii, qq))
+            b = BlockSpectra(**{c: v[row] for c, v in meta.items()}, n_samples=len(i), first_frame=meta["lft"][row] // hop)
+            if len(i) >= nperseg:
+                b.power = frame_power(i + 1j * q, rate, nperseg, hop, real)
+                b.floor = max(float(np.median(b.power[::every].mean(axis=0))), EPS)
+                b.smooth = _smooth3x3(b.power)
+            yield b
+
+
 SCAN_SCHEMA = ("capture_id long, block_id long, lft long, rgt long, core_start long, core_end long, frame long, "
                "is_core boolean, floor double, power array<double>, smooth array<double>, above array<boolean>, "
                "hit array<boolean>")
@@ -134,42 +178,29 @@ def scan_blocks(blocks: DataFrame, rate: float, nperseg: int = 1024, hop: int |
     `floor` is the frequency median of the block's 50%-overlap average spectrum. Blocks under one frame have no row here;
     `short_blocks` lists them.
     """
-    if fixed_db is None and not 3 <= margin_db <= 30:
-        raise ValueError("Adaptive margin must be between 3 and 30 dB.")
+    check_margin(margin_db, fixed_db)
     bound_batches(blocks.sparkSession)
     hop = hop or nperseg // 4
-    every = nperseg // 2 // hop
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            meta = {c: batch.column(c).to_pylist() for c in
-                    ("capture_id", "block_id", "lft", "core_start", "core_end")}
-            ii, qq = batch.column("i"), batch.column("q")
-            for row in range(batch.num_rows):
-                x = np.asarray(ii[row].values, float) + 1j * np.asarray(qq[row].values, float)
-                if len(x) < nperseg:
-                    continue
-                power = frame_power(x, rate, nperseg, hop, real)
-                floor = max(float(np.median(power[::every].mean(axis=0))), EPS)
-                smooth = _smooth3x3(power)
-                line = 10 * np.log10(floor) + margin_db if fixed_db is None else fixed_db
-                above = 10 * np.log10(np.maximum(smooth, EPS)) > line
-                n = len(power)
-                lft, c0, c1 = meta["lft"][row], meta["core_start"][row], meta["core_end"][row]
-                frame = lft // hop + np.arange(n)
-                centre = frame * hop + nperseg / 2
-
-                def full(v):
-                    return pa.array(np.full(n, v, np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [full(meta["capture_id"][row]), full(meta["block_id"][row]), full(lft), full(lft + len(x)),
-                     full(c0), full(c1), pa.array(frame), pa.array((centre >= c0) & (centre < c1)),
-                     pa.array(np.full(n, floor)), _lists(power), _lists(smooth), _lists(above),
-                     _lists(_open2x2(above))],
-                    names=[c.split()[0] for c in SCAN_SCHEMA.split(", ")])
-
-    return blocks.select("capture_id", "block_id", "lft", "core_start", "core_end", "i", "q") \
-        .mapInArrow(scan, SCAN_SCHEMA)
+        for b in block_spectra(batches, rate, nperseg, hop, real):
+            if b.power is None:
+                continue
+            above = b.above(margin_db, fixed_db)
+            n = len(b.power)
+            frame = b.first_frame + np.arange(n)
+            centre = frame * hop + nperseg / 2
+
+            def full(v):
+                return pa.array(np.full(n, v, np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [full(b.capture_id), full(b.block_id), full(b.lft), full(b.lft + b.n_samples),
+                 full(b.core_start), full(b.core_end), pa.array(frame), pa.array((centre >= b.core_start) & (centre < b.core_end)),
+                 pa.array(np.full(n, b.floor)), _lists(b.power), _lists(b.smooth), _lists(above),
+                 _lists(_open2x2(above))],
+                names=[c.split()[0] for c in SCAN_SCHEMA.split(", ")])
+
+    return blocks.select(*BLOCK_COLUMNS).mapInArrow(scan, SCAN_SCHEMA)
 
 
 def cells(frames: DataFrame, *arrays: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.expr import db, finite_or_null, r, baseband_to_rf, sample_to_time
-from ..operators import regions as R, spectra as S, validation as VA
+from ..operators import blockbands as B, regions as R, spectra as S, validation as VA
 from . import views as V
 from .registry import query
 from .views import sql
@@ -363,7 +363,7 @@ def _sweep_sql():
 
 @query("margin_sweep", _sweep_sql())
 def _(spark, d):
-    return _long(R.margin_sweep(V.frames(spark, d), [3.0, 4.0, 5.0]), "fa", "fb")
+    return _long(B.margin_sweep(V.blocks(spark, d), V.FS, V.NFFT, V.HOP, [3.0, 4.0, 5.0]), "fa", "fb")
 
 
 @query("band_pairs", sql("SELECT * FROM bjoins", "bjoins"))
@@ -378,9 +378,8 @@ def _(spark, d):
 @query("merge_fragments", sql("""SELECT capture_id, block_id, mfa AS fa, mfb AS fb, count(*) AS n_parts,
   sum(fb-fa)::BIGINT AS part_bins FROM merged_parts GROUP BY ALL""", "merged_parts"))
 def _(spark, d):
-    m = R.merged_bands(R.hit_frames(V.frames(spark, d)), V.NFFT)
-    bins = F.aggregate("parts", F.lit(0).cast("long"), lambda a, p: a + (p["fb"] - p["fa"]))
-    return _long(m.select(*R.BAND, F.size("parts").alias("n_parts"), bins.alias("part_bins")), "fa", "fb", "n_parts")
+    m = B.band_rows(V.blocks(spark, d), V.FS, V.NFFT, V.HOP, V.MARGIN_DB).where("fa is not null")
+    return _long(m.select(*R.BAND, "n_parts", "part_bins"), "fa", "fb", "n_parts", "part_bins")
 
 
 _M = {"edges": _ROWS.replace("band_cells", "merged_cells"), "pub": _PUBLISH, "bounds": _BOUNDS,
@@ -390,14 +389,16 @@ _M = {"edges": _ROWS.replace("band_cells", "merged_cells"), "pub": _PUBLISH, "bo
 
 @query("detections", sql("""SELECT capture_id, block_id, fa, fb, round(fl,6)+0.0 AS freq_lower_hz, round(fh,6)+0.0 AS freq_upper_hz,
   bounds_method, start_sample, end_sample, round(ex,6)+0.0 AS threshold_excess_db,
-  round(least(greatest(0.48+0.38*(1-exp(-greatest(0,ex)/10))+0.12*occ,0),0.99),6) AS confidence, round(dev,6) AS power_cv_deviation
+  round(least(greatest(0.48+0.38*(1-exp(-greatest(0,ex)/10))+0.12*occ,0),0.99),6) AS confidence, round(dev,6) AS power_cv_deviation, 'ok' AS status
   FROM bounds JOIN ev USING (capture_id, block_id, fa, fb) JOIN cv USING (capture_id, block_id, fa, fb) JOIN (
   SELECT capture_id, block_id, fa, fb, greatest(min(lft),min(frame)*8) AS start_sample, least(max(rgt),max(frame)*8+32) AS end_sample
-  FROM merged_cells GROUP BY ALL) USING (capture_id, block_id, fa, fb)""", "merged_cells", **_M))
+  FROM merged_cells GROUP BY ALL) USING (capture_id, block_id, fa, fb)
+  UNION ALL SELECT capture_id, block_id, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'fewer than 32 samples (' || (rgt-lft) || ')'
+  FROM blocks WHERE rgt-lft<32""", "merged_cells", "blocks", **_M))
 def _(spark, d):
-    x = R.detect(V.frames(spark, d), V.FS, V.NFFT, V.HOP, V.MARGIN_DB)
+    x = B.detect(V.blocks(spark, d), V.FS, V.NFFT, V.HOP, V.MARGIN_DB)
     return _long(x, "fa", "fb").select(
         "capture_id", "block_id", "fa", "fb", r(F.col("freq_lower_hz")).alias("freq_lower_hz"),
         r(F.col("freq_upper_hz")).alias("freq_upper_hz"), "bounds_method", "start_sample", "end_sample",
         r(F.col("threshold_excess_db")).alias("threshold_excess_db"), r(F.col("confidence")).alias("confidence"),
-        r(F.col("power_cv_deviation")).alias("power_cv_deviation"))
+        r(F.col("power_cv_deviation")).alias("power_cv_deviation"), "status")
