@@ -102,12 +102,11 @@ def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict) -> DataFr
     return fine.groupBy(*keys).agg(*aggs)
 
 
-def merge_intervals(df: DataFrame, keys: list[str], lo: str, hi: str, gap: int | Column = 0,
-                    block: int | None = BLOCK) -> DataFrame:
-    """Union of half-open intervals; two of them merge when lo <= reach + gap.
+def interval_groups(df: DataFrame, keys: list[str], lo: str, hi: str, gap: int | Column = 0, block: float | None = BLOCK) -> DataFrame:
+    """Distinct half-open intervals with `_n` (rows) and `_g`: two of one key are in one group when lo <= reach + gap.
 
-    Output: keys, lo, hi, `n` merged. With `block`, the running reach is carried across position blocks by
-    one row per block. `block=None` is for keys whose group size is bounded (spectral bins, one block's runs).
+    With `block`, the running reach is carried across position blocks by one row per block. `block=None` is for keys whose
+    group size is bounded (spectral bins, one block's runs).
     """
     base = (df.groupBy(*keys, F.col(lo).alias("_lo"), F.col(hi).alias("_hi"))
               .agg(F.count(F.lit(1)).alias("_n")))
@@ -117,16 +116,21 @@ def merge_intervals(df: DataFrame, keys: list[str], lo: str, hi: str, gap: int |
         upto = W.partitionBy(*keys).orderBy("_lo", "_hi").rowsBetween(W.unboundedPreceding, 0)
         x = base.withColumn("_reach", F.max("_hi").over(before))
         x = x.withColumn("_new", (F.col("_reach").isNull() | (F.col("_lo") > F.col("_reach") + g)).cast("long"))
-        x = x.withColumn("_g", F.sum("_new").over(upto))
-    else:
-        base = base.withColumn("_blk", F.floor(F.col("_lo") / block))
-        tot = base.groupBy(*keys, "_blk").agg(F.max("_hi").alias("_reach0"))
-        off = _offsets(tot, keys, "_blk", [], ["_reach0"])
-        before = W.partitionBy(*keys, "_blk").orderBy("_lo", "_hi").rowsBetween(W.unboundedPreceding, -1)
-        x = base.join(off, [*keys, "_blk"])
-        x = x.withColumn("_reach", F.greatest(F.max("_hi").over(before), F.col("_o__reach0")))
-        x = x.withColumn("_new", (F.col("_reach").isNull() | (F.col("_lo") > F.col("_reach") + g)).cast("long"))
-        x = prefix_sums(x, keys, "_blk", ["_lo", "_hi"], _g=F.col("_new"))
+        return x.withColumn("_g", F.sum("_new").over(upto))
+    base = base.withColumn("_blk", F.floor(F.col("_lo") / block))
+    tot = base.groupBy(*keys, "_blk").agg(F.max("_hi").alias("_reach0"))
+    off = _offsets(tot, keys, "_blk", [], ["_reach0"])
+    before = W.partitionBy(*keys, "_blk").orderBy("_lo", "_hi").rowsBetween(W.unboundedPreceding, -1)
+    x = base.join(off, [*keys, "_blk"])
+    x = x.withColumn("_reach", F.greatest(F.max("_hi").over(before), F.col("_o__reach0")))
+    x = x.withColumn("_new", (F.col("_reach").isNull() | (F.col("_lo") > F.col("_reach") + g)).cast("long"))
+    return prefix_sums(x, keys, "_blk", ["_lo", "_hi"], _g=F.col("_new"))
+
+
+def merge_intervals(df: DataFrame, keys: list[str], lo: str, hi: str, gap: int | Column = 0,
+                    block: int | None = BLOCK) -> DataFrame:
+    """Union of half-open intervals; output: keys, lo, hi, `n` merged. See `interval_groups`."""
+    x = interval_groups(df, keys, lo, hi, gap, block)
     return (x.groupBy(*keys, "_g").agg(F.min("_lo").alias(lo), F.max("_hi").alias(hi),
                                        F.sum("_n").alias("n")).drop("_g"))
 

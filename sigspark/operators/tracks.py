@@ -7,6 +7,9 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..session import written
+from .partitioning import interval_groups, prefix_sums
+
 MIXED_METHOD = "mixed across blocks (union of per-block bounds)"
 SAMPLED_SPANS = 8
 
@@ -58,26 +61,55 @@ class Walk:
         return t
 
 
-def associate_tracks(det: DataFrame) -> DataFrame:
+#: blocks whose detections are numbered in one task, width of the frequency buckets of the groups
+NUMBER_BLOCKS, GROUP_HZ = 1024, 65_536.0
+
+
+def track_pieces(det: DataFrame, group_hz: float = GROUP_HZ) -> DataFrame:
+    """det with `_segment` and `_group`: what cannot share a track is in different pieces.
+
+    A segment ends where a block of the capture has no detection: no track outlives that. In a segment, detections whose
+    bands meet, directly or through others, are one group: a track's band never leaves the union of its group.
+    """
+    keys = ["capture_id"]
+    blocks = det.select("capture_id", "block").distinct()
+    before = blocks.select("capture_id", (F.col("block") + 1).alias("block"), F.lit(0).cast("long").alias("_follows"))
+    starts = blocks.join(before, ["capture_id", "block"], "left").withColumn("_bucket", F.floor(F.col("block") / NUMBER_BLOCKS))
+    segments = prefix_sums(starts, keys, "_bucket", ["block"], _segment=F.coalesce("_follows", F.lit(1).cast("long")))
+    x = det.join(segments.select("capture_id", "block", "_segment"), ["capture_id", "block"])
+    groups = interval_groups(x, [*keys, "_segment"], "lo", "hi", block=group_hz)
+    groups = groups.select("capture_id", "_segment", F.col("_lo").alias("lo"), F.col("_hi").alias("hi"), F.col("_g").alias("_group"))
+    return x.join(groups, ["capture_id", "_segment", "lo", "hi"])
+
+
+def associate_tracks(det: DataFrame, group_hz: float = GROUP_HZ) -> DataFrame:
     """Number tracks across blocks, in block order.
 
-    Captures are spread by hash and each task walks its detections in (capture, block) order with the few open
-    tracks as state, so memory is bounded by one Arrow batch. Samples never come here, only detections, of
-    which a capture may hold 4,096 (`check_limits`).
+    A capture is walked in pieces (`track_pieces`), each in one task with its few open tracks as state. A track gets its
+    number from the place of its first detection among all first detections of the capture, by prefix sums over blocks; so
+    a capture of any size is spread over all tasks, and only detections that keep meeting each other in frequency and time
+    share one. Samples never come here. A detection without a capture, block or band is left out.
     """
-    placed = det.repartition("capture_id").sortWithinPartitions("capture_id", "block", *ORDER)
+    piece = ["capture_id", "_segment", "_group"]
+    placed = track_pieces(det, group_hz).repartition(*piece).sortWithinPartitions(*piece, "block", *ORDER)
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        capture, walk = None, Walk()
+        at, walk = None, Walk()
         for pdf in batches:
-            number = []
-            for c, block, lo, hi in zip(pdf.capture_id, pdf.block, pdf.lo, pdf.hi):
-                if c != capture:
-                    capture, walk = c, Walk()
+            number, first = [], []
+            for key, block, lo, hi in zip(zip(*(pdf[c] for c in piece)), pdf.block, pdf.lo, pdf.hi):
+                if key != at:
+                    at, walk = key, Walk()
+                known = walk.next_id
                 number.append(walk.take(block, lo, hi))
-            yield pdf.assign(track=number)
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in det.schema.fields) + ", track long"
-    return placed.mapInPandas(fold, schema)
+                first.append(walk.next_id > known)
+            yield pdf.assign(_local=number, _first=first)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in placed.schema.fields)
+    walked = written(placed.mapInPandas(fold, f"{schema}, _local long, _first boolean"))
+    first = walked.where("_first").withColumn("_bucket", F.floor(F.col("block") / NUMBER_BLOCKS))
+    first = prefix_sums(first, ["capture_id"], "_bucket", ["block", *ORDER, *piece[1:]], track=F.lit(1).cast("long"))
+    first = first.select(*piece, "_local", (F.col("track") - 1).alias("track"))
+    return walked.join(first, [*piece, "_local"]).select(*det.columns, "track")
 
 
 def fold_tracks(det: DataFrame) -> DataFrame:

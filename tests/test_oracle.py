@@ -43,7 +43,7 @@ def test_registration_needs_no_session():
     import subprocess
     import sys
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    code = "import __spark_entry__; from sigspark.plans import load; r = load(); print(sorted(set(r.QUERIES) - set(r.ORACLES)) == ['associate_tracks', 'gap_difference_proposals', 'score_ask'])"
+    code = "import __spark_entry__; from sigspark.plans import load; r = load(); print(sorted(set(r.QUERIES) - set(r.ORACLES)) == ['gap_difference_proposals', 'score_ask'])"
     out = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=120)
     assert out.stdout.strip() == "True", out.stderr
 

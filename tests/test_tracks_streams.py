@@ -46,6 +46,32 @@ def test_tracks_match_plain_loop(spark, det):
     assert {(r.capture_id, r.block, r.det): r.track for r in got} == plain(det)
 
 
+def test_tracks_of_a_hot_capture_do_not_depend_on_partitions(spark):
+    """One capture has most rows, with bands that meet in groups, blocks without detections, and equal bands."""
+    r = np.random.default_rng(3)
+    rows = []
+    for b in range(2500):
+        if b % 97 == 0:
+            continue
+        for k, g in enumerate(sorted(r.choice(30, 4, replace=False))):
+            lo = float(g * 100 + r.integers(0, 60))
+            rows.append((0, b, k, lo, lo + float(r.integers(0, 45)), 1.0))
+        rows.append((0, b, 9, *rows[-1][3:5], 1.0))
+    rows += [(c, b, 0, 0.0, 50.0, 1.0) for c in range(1, 60) for b in range(40)]
+    det = pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
+    df = spark.createDataFrame(det, SCHEMA)
+    pieces = T.track_pieces(df, 128.0).where("capture_id = 0").groupBy("_segment", "_group").count().collect()
+    assert len({p._segment for p in pieces}) == 26 and len(pieces) > 300 and max(p["count"] for p in pieces) < len(det) / 20
+    got = []
+    for n in ("1", "64"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        try:
+            got.append({(x.capture_id, x.block, x.det): x.track for x in T.associate_tracks(df.repartition(int(n)), 128.0).collect()})
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert got[0] == got[1] == plain(det)
+
+
 def run(stream, folder, **kw):
     return J.run_to_table(stream, str(folder))
 
