@@ -5,13 +5,11 @@ Event time comes from sample positions (start + n / rate) or block starts; the w
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StreamingQueryListener
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 
 from ..operators.tracks import ORDER, Walk
 from ..sources import sinks as SK
@@ -42,18 +40,38 @@ def watch_folder(spark: SparkSession, folder: str, per_trigger: int = 1000) -> D
     return s.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"), "modificationTime")
 
 
+#: keyed state with timers needs this store; set where such a stream is defined
+_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 STABLE_SCHEMA = "path string, size long, poll long"
 
 
-def stable_files(polls: DataFrame) -> DataFrame:
-    """Listing rows (poll, path, size) -> each file once, when two polls in a row saw the same size.
+def _timed(df: DataFrame, second: str, late: int) -> DataFrame:
+    """Event time: one second per poll or block, so a watermark counts polls or blocks. A watermark starts at 0 and drops
+    what is not after it, so number 0 is second 1."""
+    df.sparkSession.conf.set(*_STORE)
+    return df.withColumn("ts", F.timestamp_seconds(F.col(second) + 1)).withWatermark("ts", f"{late} seconds")
 
-    A file missing from a poll is forgotten: its state counts only when it is one poll old.
-    """
-    def step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        size, poll, done = state.get if state.exists else (-1, -2, False)
+
+def _only_timer(handle: StatefulProcessorHandle, second: int) -> None:
+    """The key's state is looked at again when the watermark reaches the poll or block `second`."""
+    at = (second + 1) * 1000
+    for t in list(handle.listTimers()):
+        if t != at:
+            handle.deleteTimer(t)
+    handle.registerTimer(at)
+
+
+class _Stable(StatefulProcessor):
+    """Last size and poll of a path, and whether it has been reported; gone when a poll passes without the path."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "size long, poll long, done boolean")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        size, poll, done = self.last.get() if self.last.exists() else (-1, -2, False)
         out = []
-        for row in pd.concat(list(pdfs)).sort_values("poll").itertuples():
+        for row in pd.concat(list(rows)).sort_values("poll").itertuples():
             if row.poll <= poll:
                 continue
             same = row.poll == poll + 1 and row.size == size
@@ -62,10 +80,25 @@ def stable_files(polls: DataFrame) -> DataFrame:
                 out.append((key[0], int(row.size), int(row.poll)))
                 done = True
             size, poll = int(row.size), int(row.poll)
-        state.update((size, poll, done))
+        self.last.update((size, poll, done))
+        _only_timer(self.handle, poll + 1)
         yield pd.DataFrame(out, columns=["path", "size", "poll"])
-    return polls.groupBy("path").applyInPandasWithState(step, STABLE_SCHEMA, "size long, poll long, done boolean", "append",
-                                                        GroupStateTimeout.NoTimeout)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.last.clear()
+        yield pd.DataFrame([], columns=["path", "size", "poll"])
+
+    def close(self) -> None:
+        pass
+
+
+def stable_files(polls: DataFrame) -> DataFrame:
+    """Listing rows (poll, path, size) -> each file once, when two polls in a row saw the same size.
+
+    A file missing from a poll is forgotten: its state leaves when the watermark, the newest poll, has passed it.
+    """
+    x = _timed(polls, "poll", 0)
+    return x.groupBy("path").transformWithStateInPandas(_Stable(), STABLE_SCHEMA, "Append", "EventTime")
 
 
 def await_sidecar(data: DataFrame, meta: DataFrame, late: str, wait: str, outer: bool = False) -> DataFrame:
@@ -80,24 +113,51 @@ def await_sidecar(data: DataFrame, meta: DataFrame, late: str, wait: str, outer:
 TRACK_SCHEMA = "capture_id long, block long, det int, lo double, hi double, track long"
 
 
-def stream_tracks(det: DataFrame) -> DataFrame:
-    """Track numbers of arriving detections; state is the few open tracks of a capture.
+class _Tracks(StatefulProcessor):
+    """Open tracks of a capture by number, its newest block and next number."""
 
-    A track closes when a block passes without it. A block may arrive in parts over several batches; a row of an older
-    block than the newest one is late and comes out without a track. A processing-time timeout would keep a run over what is there now from ending, so
-    the few open tracks of a silent capture stay in state.
-    """
-    def step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        walk = Walk()
-        if state.exists:
-            s = json.loads(state.get[0])
-            walk = Walk({int(k): v for k, v in s["tracks"].items()}, s["block"], s["next_id"], s["used"])
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.at = handle.getValueState("at", "block long, next_id long")
+        self.open = handle.getMapState("open", "track long", "lo double, hi double, seen long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        walk, before = Walk(), {}
+        if self.at.exists():
+            block, next_id = self.at.get()
+            before = {k[0]: list(v) for k, v in self.open.iterator()}
+            walk = Walk(dict(sorted(before.items())), block, next_id, [t for t, v in before.items() if v[2] == block])
         seen = walk.block
-        p = pd.concat(list(pdfs)).sort_values(["block", *ORDER])
+        p = pd.concat(list(rows)).sort_values(["block", *ORDER])
         track = [None if seen is not None and b < seen else walk.take(int(b), float(lo), float(hi)) for b, lo, hi in zip(p.block, p.lo, p.hi)]
-        state.update((json.dumps({"tracks": walk.tracks, "block": walk.block, "next_id": walk.next_id, "used": sorted(walk.used)}),))
+        for t in before.keys() - walk.tracks.keys():
+            self.open.removeKey((t,))
+        for t, v in walk.tracks.items():
+            if before.get(t) != v:
+                self.open.updateValue((t,), tuple(v))
+        self.at.update((walk.block, walk.next_id))
+        _only_timer(self.handle, walk.block + 1)
         yield p.assign(track=pd.array(track, "Int64"))[[c.split()[0] for c in TRACK_SCHEMA.split(", ")]]
-    return det.groupBy("capture_id").applyInPandasWithState(step, TRACK_SCHEMA, "walk string", "append", GroupStateTimeout.NoTimeout)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.open.clear()
+        self.at.clear()
+        yield pd.DataFrame([], columns=[c.split()[0] for c in TRACK_SCHEMA.split(", ")])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_tracks(det: DataFrame, keep: int = 4096) -> DataFrame:
+    """Track numbers of arriving detections; state is the few open tracks of a capture.
+
+    A track closes when a block passes without it. A block may arrive in parts over several batches; a row of an older
+    block than the newest one of its capture is late and comes out without a track, and one more than `keep` blocks behind
+    the newest block of all captures is dropped by the watermark. The state of a capture that is silent for `keep` blocks
+    leaves; should it go on after that, its numbers start again.
+    """
+    x = _timed(det, "block", keep)
+    return x.groupBy("capture_id").transformWithStateInPandas(_Tracks(), TRACK_SCHEMA, "Append", "EventTime")
 
 
 def stream_sinks(det: DataFrame, out: str, checkpoint: str, bad: Callable[[], Column]):

@@ -120,6 +120,41 @@ def test_stable_files(spark, tmp_path):
     assert sorted((r.path, r.poll) for r in out.collect()) == [("a", 1), ("a", 5), ("b", 2), ("c", 4)]
 
 
+def state_rows(stream, folder):
+    """Run over what is there now; rows left in state."""
+    q = (stream.writeStream.format("parquet").option("path", f"{folder}/table").option("checkpointLocation", f"{folder}/checkpoint")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return q.lastProgress.stateOperators[0].numRowsTotal
+
+
+def test_state_of_vanished_files_leaves(spark, tmp_path):
+    src, sch = str(tmp_path / "in"), "path string, size long, poll long"
+    put = lambda n, names: spark.createDataFrame([(x, 1, n) for x in names], sch).coalesce(1).write.mode("append").parquet(src)
+    go = lambda: state_rows(J.stable_files(spark.readStream.schema(sch).parquet(src)), tmp_path / "out")
+    put(0, [f"f{i}" for i in range(200)])
+    many = go()
+    for n in (1, 2, 3):
+        put(n, ["f0", "f1"])
+        few = go()
+    assert few < many / 20
+
+
+def test_state_of_silent_captures_leaves(spark, tmp_path):
+    src = str(tmp_path / "in")
+    put = lambda rows: spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(src)
+    go = lambda: state_rows(J.stream_tracks(spark.readStream.schema(SCHEMA).parquet(src), keep=10), tmp_path / "out")
+    put([(c, 0, k, 20.0 * k, 20.0 * k + 9, 1.0) for c in range(50) for k in range(3)])
+    many = go()
+    for b in range(1, 31):
+        if b % 10 == 0:
+            put([(0, x, 0, 0.0, 9.0, 1.0) for x in range(b - 9, b + 1)])
+            few = go()
+    assert many >= 200 and few < many / 20
+    got = spark.read.parquet(str(tmp_path / "out/table")).where("capture_id = 0").collect()
+    assert {r.track for r in got if r.block} == {0}
+
+
 def test_await_sidecar(spark, tmp_path):
     sch = "stem string, name string, ts timestamp"
     mk = lambda rows: spark.createDataFrame([(s, n, pd.Timestamp(t).to_pydatetime()) for s, n, t in rows], sch)
