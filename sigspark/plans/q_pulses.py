@@ -235,7 +235,11 @@ _TDET = """SELECT capture_id, start//100 AS block, det, lo, hi, start AS start_s
 
 
 def _tdet(spark, d):
-    b = V.detected_bands(spark, d)
+    return tdet(V.table(spark, d, "lineitem"))
+
+
+def tdet(lineitem):
+    b = V.bands_of(lineitem)
     return b.select("capture_id", F.floor(F.col("start") / 100).alias("block"), "det", "lo", "hi", F.col("start").alias("start_sample"),
                     F.col("end").alias("end_sample"), "conf", "excess",
                     F.when(F.col("det") % 2 == 0, "occupied").otherwise("extent").alias("method"),
@@ -262,8 +266,11 @@ _STEP = """SELECT o.capture_id, 0 AS k, CAST([] AS STRUCT(lo DOUBLE, hi DOUBLE,
 _ORDERED = "SELECT *, row_number() OVER (PARTITION BY capture_id ORDER BY block, lo, hi, det, excess) AS k FROM tdet"
 
 
-@query("associate_tracks", sql("SELECT o.capture_id, o.block, o.det, w.took AS track FROM ordered o JOIN walk w USING (capture_id, k)",
-                               "detected_bands", tdet=_TDET, ordered=_ORDERED, walk=_STEP).replace("WITH ", "WITH RECURSIVE ", 1).replace("walk AS MATERIALIZED", "walk AS"))
+ASSOCIATE_SQL = sql("SELECT o.capture_id, o.block, o.det, w.took AS track FROM ordered o JOIN walk w USING (capture_id, k)",
+                               "detected_bands", tdet=_TDET, ordered=_ORDERED, walk=_STEP).replace("WITH ", "WITH RECURSIVE ", 1).replace("walk AS MATERIALIZED", "walk AS")
+
+
+@query("associate_tracks", ASSOCIATE_SQL)
 def _(spark, d):
     return TR.associate_tracks(_tdet(spark, d), 256.0).select("capture_id", "block", "det", "track")
 

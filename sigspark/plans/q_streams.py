@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.expr import r
 from ..session import shared_folder
 from ..streaming import jobs as J
+from .q_pulses import ASSOCIATE_SQL, tdet
 from .registry import query
 from .views import sql
 
@@ -49,3 +50,27 @@ def _(spark, d):
 def _(spark, d):
     x = _run(spark, J.stream_packets(_events(spark, d).where("value > 40"), "ts", "30 minutes", "1 hour", ["capture_id"], "value"))
     return _span(x, "session_window").withColumn("energy", r(F.col("energy")))
+
+
+def _lineitem(spark, d):
+    return spark.readStream.schema(spark.read.parquet(f"{d}/lineitem.parquet").schema).parquet(f"{d}/lineite[m].parquet")
+
+
+def _append(spark, stream):
+    return J.run_to_table(stream, f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}")
+
+
+@query("stream_tracks", ASSOCIATE_SQL)
+def _(spark, d):
+    x = tdet(_lineitem(spark, d)).select("capture_id", "block", "det", "lo", "hi", "excess")
+    return _append(spark, J.stream_tracks(x)).select("capture_id", "block", "det", "track")
+
+
+# events as a listing: ten polls in a row see one file, whose size is the last bit of the value's whole part
+@query("stable_files", """SELECT (event_id//10)::VARCHAR AS path, size, event_id%10 AS poll FROM (SELECT event_id, floor(value)::BIGINT%2 AS size,
+  lag(floor(value)::BIGINT%2) OVER w AS was, lag(event_id) OVER w AS before FROM events WINDOW w AS (PARTITION BY event_id//10 ORDER BY event_id))
+  WHERE was=size AND before=event_id-1 QUALIFY row_number() OVER (PARTITION BY event_id//10 ORDER BY event_id)=1""")
+def _(spark, d):
+    e = _events(spark, d)
+    x = e.select(F.floor(F.col("event_id") / 10).cast("string").alias("path"), (F.floor("value") % 2).alias("size"), (F.col("event_id") % 10).alias("poll"))
+    return _append(spark, J.stable_files(x))

@@ -82,7 +82,10 @@ def truth_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def detected_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem: the detections of a capture. `det` numbers a detection by all its values."""
-    li = table(spark, sf_dir, "lineitem")
+    return bands_of(table(spark, sf_dir, "lineitem"))
+
+
+def bands_of(li: DataFrame) -> DataFrame:
     c = F.col("l_extendedprice") % 1000.0
     w = F.col("l_quantity") * 4.0
     start = F.datediff("l_shipdate", F.lit("1990-01-01")).cast("long")
