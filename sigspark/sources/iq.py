@@ -1,4 +1,4 @@
-"""Raw IQ and WAV files as guard-padded sample blocks.
+"""Raw IQ and WAV files as guard-padded sample blocks, from a folder as it is or as a stream of new files.
 
 A Python data source: the driver only lists files and reads WAV headers, each task reads the byte ranges of its
 own blocks. Any file length gives bounded rows and an even spread, and no whole file is ever one row.
@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
+import time
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from ..operators.spectra import BLOCK_SAMPLES, guard_length
 
@@ -120,12 +121,16 @@ class BlockReader(DataSourceReader):
             raise ValueError("a positive sample rate is required")
         return Layout(info.path, dtype, ch, 0, size // stride, given, False, "iq" if ch == 2 else "real")
 
-    def partitions(self):
+    def files(self) -> tuple[fs.FileSystem, list]:
+        """The file, or the capture files of the folder."""
         filesystem, inner = open_path(self.opt["path"])
         info = filesystem.get_file_info(inner)
-        files = [info] if info.type == fs.FileType.File else [
+        return filesystem, [info] if info.type == fs.FileType.File else [
             f for f in filesystem.get_file_info(fs.FileSelector(inner, recursive=False)) if f.type == fs.FileType.File
             and f.path.lower().endswith(tuple(self.opt.get("suffixes", ".wav,.iq,.cu8,.cs8,.cs16,.sigmf-data").split(",")))]
+
+    def ranges(self, filesystem, files: list) -> list[BlockRange]:
+        """Block ranges of the files, `blocks_per_task` blocks each."""
         block = int(self.opt.get("block", BLOCK_SAMPLES))
         hop = int(self.opt.get("hop", 256))
         if block % hop or block < 16 * hop:
@@ -139,6 +144,9 @@ class BlockReader(DataSourceReader):
             out += [BlockRange(lay, k, min(n, k + per), block, guard) for k in range(0, n, per)]
         return out
 
+    def partitions(self):
+        return self.ranges(*self.files())
+
     def read(self, part: BlockRange) -> Iterator[pa.RecordBatch]:
         lay = part.layout
         kind = np.dtype(lay.dtype)
@@ -170,8 +178,45 @@ class BlockReader(DataSourceReader):
                      pa.array([lay.rate]), one(i), one(q)], names=names)
 
 
+class BlockStreamReader(DataSourceStreamReader):
+    """New files of a folder as sample blocks.
+
+    An offset is the place in the order of (modification time, path); a batch is the files between two offsets, cut into
+    the same block ranges as a batch read. A file counts once its modification time lies `settle` seconds (10) back, so
+    that one still being written is not taken and files that show up later come later in the order. What was read is in
+    the stream's checkpoint; a restarted batch reads the same files again.
+    """
+
+    def __init__(self, options):
+        self.blocks = BlockReader(options)
+        self.settle = float(options.get("settle", 10))
+
+    @staticmethod
+    def _place(f) -> tuple[int, str]:
+        return f.mtime_ns, f.path
+
+    def initialOffset(self) -> dict:
+        return {"mtime_ns": 0, "path": ""}
+
+    def latestOffset(self) -> dict:
+        limit = time.time_ns() - int(self.settle * 1e9)
+        mtime_ns, path = max((self._place(f) for f in self.blocks.files()[1] if f.mtime_ns <= limit), default=(0, ""))
+        return {"mtime_ns": mtime_ns, "path": path}
+
+    def partitions(self, start: dict, end: dict):
+        filesystem, files = self.blocks.files()
+        a, z = ((o["mtime_ns"], o["path"]) for o in (start, end))
+        return self.blocks.ranges(filesystem, [f for f in files if a < self._place(f) <= z])
+
+    def read(self, partition: BlockRange) -> Iterator[pa.RecordBatch]:
+        return self.blocks.read(partition)
+
+    def commit(self, end: dict) -> None:
+        pass
+
+
 class BlockSource(DataSource):
-    """format("sample_blocks"): path, datatype, rate, block, guard, hop, mode, blocks_per_task."""
+    """format("sample_blocks"): path, datatype, rate, block, guard, hop, mode, blocks_per_task; as a stream also settle."""
 
     @classmethod
     def name(cls):
@@ -183,6 +228,9 @@ class BlockSource(DataSource):
     def reader(self, schema):
         return BlockReader(self.options)
 
+    def streamReader(self, schema):
+        return BlockStreamReader(self.options)
+
 
 def _read(spark: SparkSession, **options) -> DataFrame:
     spark.dataSource.register(BlockSource)
@@ -199,6 +247,12 @@ def read_wav(spark: SparkSession, path: str, mode: str = "audio_left", rate: flo
     return _read(spark, path=path, mode=mode, rate=rate, block=block, guard=guard, **options)
 
 
+def stream_blocks(spark: SparkSession, path: str, **options) -> DataFrame:
+    """Sample blocks of the files that arrive in a folder; options as for `read_iq` and `read_wav`, and `settle`."""
+    spark.dataSource.register(BlockSource)
+    return spark.readStream.format("sample_blocks").options(path=path, **{k: str(v) for k, v in options.items() if v is not None}).load()
+
+
 def list_captures(spark: SparkSession, folder: str) -> DataFrame:
     """Files with capture suffixes, sorted by name; the column-pruned listing never reads contents."""
     f = (spark.read.format("binaryFile").option("pathGlobFilter", "*.{sigmf-data,wav,iq,cu8,cs8,cs16}").load(folder).drop("content"))

@@ -65,6 +65,58 @@ def test_read_wav(spark, tmp_path):
     assert np.allclose(back(Q.read_wav(spark, str(p), block=4096, guard=256), 5000), (u.astype(float) - 128) / 255)
 
 
+def test_new_files_to_detections_in_one_stream(spark, tmp_path):
+    """Files that arrive between runs, and one that a failed batch has to read again after a restart."""
+    import os
+
+    from sigspark.operators import blockbands as B
+    folder, out = tmp_path / "in", str(tmp_path / "out")
+    folder.mkdir()
+    rate, n = 48_000.0, 9000
+
+    def put(name, f, at):
+        r = np.random.default_rng(len(name))
+        x = 0.05 * r.normal(size=n) * np.exp(2j * np.pi * r.random(n)) + np.exp(2j * np.pi * f * np.arange(n) / rate)
+        np.stack([x.real, x.imag], 1).astype("<f4").tofile(folder / name)
+        os.utime(folder / name, (at, at))
+
+    def run(fail=False, settle=0):
+        s = Q.stream_blocks(spark, str(folder), datatype="cf32_le", rate=rate, block=4096, guard=256, blocks_per_task=1, settle=settle)
+        d = B.detect(s, rate, 64, 16)
+
+        def write(batch, epoch):
+            if fail:
+                raise RuntimeError("lost")
+            batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+        q = d.writeStream.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).foreachBatch(write).start()
+        q.awaitTermination()
+
+    def seen():
+        x = spark.read.parquet(out)
+        return {Q.capture_number(str(folder / f)): f for f in os.listdir(folder)}, x.select("capture_id", "block_id", "fa", "epoch").collect()
+
+    put("b.iq", 9000, 1000)
+    put("a.iq", -7000, 2000)
+    (folder / "skip.txt").write_text("x")
+    run()
+    names, rows = seen()
+    assert {names[r.capture_id] for r in rows} == {"a.iq", "b.iq"} and {r.block_id for r in rows} == {0, 1, 2}
+    batch = B.detect(Q.read_iq(spark, str(folder), "cf32_le", rate, 4096, 256), rate, 64, 16).select("capture_id", "block_id", "fa").collect()
+    assert sorted(r[:3] for r in rows) == sorted(map(tuple, batch))
+    run()
+    assert len(seen()[1]) == len(rows)
+    put("0.iq", 3000, 3000)
+    with pytest.raises(Exception, match="lost"):
+        run(fail=True)
+    assert len(seen()[1]) == len(rows)
+    run()
+    names, more = seen()
+    assert {names[r.capture_id] for r in more if r.epoch == max(x.epoch for x in more)} == {"0.iq"} and len(more) > len(rows)
+    put("late.iq", 3000, __import__("time").time())
+    run(settle=3600)  # may still be written
+    assert len(seen()[1]) == len(more)
+
+
 def test_catalog_listing_and_pairs(spark, tmp_path):
     for n in ("b.sigmf-data", "a.cu8", "c.sigmf-data", "x.txt"):
         (tmp_path / n).write_bytes(b"1234")
