@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.expr import finite_or_null, let
 from ..operators.validation import MAX_CANDIDATES
+from .documents import write_documents
 
 # fixed values
 SUMMARY_FIELDS = ["needs_review", "file", "detection_id", "label", "tier", "symbol_rate_hz", "center_frequency_hz", "bandwidth_3db_hz",
@@ -32,8 +33,8 @@ def _within(det: DataFrame, key: str) -> DataFrame:
 
 
 def detection_documents(det: DataFrame, captures: DataFrame, key: str = "file") -> DataFrame:
-    """One document per capture with at most 4,096 detections. A capture with more keeps its document with NULL for the
-    list, and `over_limit` has its error row; its detections are in `jsonl_rows` like all others."""
+    """One row per capture with the list of its at most 4,096 detections. A capture with more has NULL for the list, since
+    a row holds it whole, and an error row in `over_limit`; `write_detections` and `jsonl_rows` have all of them."""
     d = json_safe(det)
     fields = [c for c in d.columns if c != key]
     g = _within(d, key).groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("detections"))
@@ -43,7 +44,8 @@ def detection_documents(det: DataFrame, captures: DataFrame, key: str = "file")
 
 
 def write_detections(det: DataFrame, captures: DataFrame, path: str, key: str = "file") -> None:
-    detection_documents(det, captures, key).withColumn("_p", F.col(key)).write.partitionBy("_p").mode("overwrite").json(path)
+    """One document per capture with any number of detections, ordered by their fields."""
+    write_documents(json_safe(det), json_safe(captures), path, "detections", key)
 
 
 def jsonl_rows(det: DataFrame) -> DataFrame:
@@ -111,19 +113,28 @@ def annotation(det: DataFrame) -> Column:
 
 
 def sigmf_annotations(det: DataFrame, key: str = "file") -> DataFrame:
-    """One annotation array per file, by start sample, of captures within the limit (`over_limit` has the others)."""
-    d = _within(det, key)
-    return d.groupBy(key).agg(F.array_sort(F.collect_list(annotation(d))).alias("annotations"))
+    """One annotation array per file, by start sample. A file over the limit has NULL for the array and the reason in
+    `error`; `write_annotations` has all of them."""
+    d, big = _within(det, key), over_limit(det, key)
+    lists = d.groupBy(key).agg(F.array_sort(F.collect_list(annotation(d))).alias("annotations"))
+    return lists.unionByName(big.select(key, "error"), allowMissingColumns=True)
+
+
+def write_annotations(det: DataFrame, path: str, key: str = "file") -> None:
+    """One document per file with its annotations by start sample, any number of them."""
+    a = det.select(key, annotation(det).alias("a")).select(key, "a.*")
+    write_documents(a, None, path, "annotations", key)
 
 
 def validate_annotations(df: DataFrame, key: str = "file") -> DataFrame:
     """Required keys, non-negative counts and ordered edges; per file OK or the number of bad annotations."""
-    a = df.select(key, F.explode_outer("annotations").alias("a"))
+    error = F.col("error") if "error" in df.columns else F.lit(None).cast("string")
+    a = df.select(key, error.alias("error"), F.explode_outer("annotations").alias("a"))
     lo, hi = F.col("a.core:freq_lower_edge"), F.col("a.core:freq_upper_edge")
     ok = (F.col("a.core:sample_start") >= 0) & (F.col("a.core:sample_count") >= 0) & (lo.isNull() == hi.isNull()) & F.coalesce(lo <= hi, F.lit(True))
     bad = F.count_if(F.col("a").isNotNull() & ~F.coalesce(ok, F.lit(False)))
-    g = a.groupBy(key).agg(F.count("a").alias("n_annotations"), bad.alias("n_bad"))
-    return g.withColumn("status", F.when(F.col("n_bad") == 0, "OK").otherwise("invalid"))
+    g = a.groupBy(key).agg(F.count("a").alias("n_annotations"), bad.alias("n_bad"), F.max("error").alias("_error"))
+    return g.withColumn("status", F.when(F.col("_error").isNotNull(), F.col("_error")).when(F.col("n_bad") == 0, "OK").otherwise("invalid")).drop("_error")
 
 
 def detections_csv(det: DataFrame, rate: Column) -> DataFrame:

@@ -149,6 +149,41 @@ def test_outputs_round_trip(spark, tmp_path):
     assert [(x["file"], x["id"]) for x in lines] == [("a", 1), ("a", 2), ("b", 1)] and "snr_db" not in lines[1]
 
 
+def annotated(n, file="big"):
+    return F.lit(file).alias("file"), F.col("id"), (F.col("id") * 3).alias("start_sample"), (F.col("id") * 3 + 5).alias("end_sample"), \
+        F.lit(1.0).alias("freq_lower_hz"), F.lit(2.0).alias("freq_upper_hz"), F.lit(0.5).alias("confidence"), F.lit("m").alias("detection_method"), \
+        F.lit(False).alias("is_pulsed"), F.lit(True).alias("needs_review"), F.lit(None).cast("double").alias("tuning_hz")
+
+
+def test_documents_of_any_size(spark, tmp_path):
+    det = spark.range(10_000).select(*annotated(10_000)).union(spark.range(2).select(*annotated(2, "a/b c"))).repartition(7)
+    caps = spark.createDataFrame([("big", 1e6), ("a/b c", 2e6), ("none", 3e6)], "file string, rate double")
+    K.write_detections(det, caps, str(tmp_path / "d"))
+    docs = {x["file"]: x for x in (json.loads((tmp_path / "d" / f).read_text()) for f in __import__("os").listdir(tmp_path / "d"))}
+    assert [d["id"] for d in docs["big"]["detections"]] == list(range(10_000)) and docs["big"]["rate"] == 1e6
+    assert len(docs["a/b c"]["detections"]) == 2 and docs["none"] == {"file": "none", "rate": 3e6, "detections": []}
+    K.write_annotations(det, str(tmp_path / "n"))
+    n = json.loads((tmp_path / "n" / "big.json").read_text())
+    assert [a["core:sample_start"] for a in n["annotations"]] == [3 * i for i in range(10_000)] and n["file"] == "big"
+    # the table form says why a list is not there
+    t = {r.file: r for r in K.sigmf_annotations(det).collect()}
+    assert t["big"].annotations is None and "4,096" in t["big"].error and len(t["a/b c"].annotations) == 2 and t["a/b c"].error is None
+    assert {r.file: r.status for r in K.validate_annotations(K.sigmf_annotations(det)).collect()}["a/b c"] == "OK"
+
+
+def test_a_failed_job_leaves_no_document(spark, tmp_path):
+    caps = spark.createDataFrame([(f"f{i}",) for i in range(20)], "file string")
+    det = spark.range(200).select(F.concat(F.lit("f"), (F.col("id") % 20).cast("string")).alias("file"), "id")
+    K.write_detections(det, caps, str(tmp_path / "d"))
+    before = {f.name: f.read_text() for f in (tmp_path / "d").iterdir()}
+    bad = det.withColumn("id", F.when(F.col("id") == 137, F.raise_error(F.lit("lost"))).otherwise(F.col("id") + 1000))
+    with pytest.raises(Exception, match="lost"):
+        K.write_detections(bad, caps, str(tmp_path / "d"))
+    assert {f.name: f.read_text() for f in (tmp_path / "d").iterdir()} == before and len(before) == 20
+    K.write_detections(det.where("file = 'f1'"), caps.where("file = 'f1'"), str(tmp_path / "d"))
+    assert [f.name for f in (tmp_path / "d").iterdir()] == ["f1.json"]
+
+
 def test_six_digit_text(spark):
     vals = [0.0, 1.0, -2.5, 123456.7, 999999.7, 1234567.0, 1e-4, 0.00001234, 100.0, 1e22, -3.0e-7, 0.1]
     got = spark.createDataFrame([(v,) for v in vals], "v double").select(K.general(F.col("v"))).collect()
