@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.expr import db, finite_or_null, r, baseband_to_rf, sample_to_time
-from ..operators import blockbands as B, regions as R, spectra as S, validation as VA
+from ..operators import blockbands as B, regions as R, spectra as S, validation as VA, wholetrack as WT
 from . import views as V
 from .registry import query
 from .views import sql
@@ -402,3 +402,29 @@ def _(spark, d):
         r(F.col("freq_upper_hz")).alias("freq_upper_hz"), "bounds_method", "start_sample", "end_sample",
         r(F.col("threshold_excess_db")).alias("threshold_excess_db"), r(F.col("confidence")).alias("confidence"),
         r(F.col("power_cv_deviation")).alias("power_cv_deviation"), "status")
+
+
+# Tracks of the whole-track measurement: equal merged bands of a capture, from their first to their last active frame
+_TRK = """SELECT capture_id, fa*100+fb AS track, (fa-16)*1000.0::DOUBLE AS lo, (fb-16)*1000.0::DOUBLE AS hi, min(s) AS start_sample, max(e) AS end_sample FROM (
+  SELECT capture_id, block_id, fa, fb, greatest(min(lft),min(frame)*8) AS s, least(max(rgt),max(frame)*8+32) AS e FROM merged_cells GROUP BY ALL) GROUP BY capture_id, fa, fb"""
+_TF = """SELECT t.capture_id, t.track, any_value(lo) AS lo, any_value(hi) AS hi, bin, (bin-16)*1000.0::DOUBLE AS f, avg(power) AS power, count(*) AS n FROM trk t JOIN spec s ON
+  s.capture_id=t.capture_id AND s.frame*8+16>=start_sample AND s.frame*8+16<end_sample GROUP BY t.capture_id, t.track, bin"""
+_TS = """SELECT t.capture_id, t.track, count(*) AS n_samples, count(DISTINCT x.n//800) AS n_blocks, avg(x.i*x.i+x.q*x.q) AS m2, avg((x.i*x.i+x.q*x.q)**2) AS m4, max(x.i*x.i+x.q*x.q) AS peak,
+  sum(x.i*y.i+x.q*y.q) AS re, sum(x.q*y.i-x.i*y.q) AS im FROM trk t JOIN iq x ON x.capture_id=t.capture_id AND x.n>=start_sample AND x.n<end_sample
+  LEFT JOIN iq y ON y.capture_id=x.capture_id AND y.n=x.n-1 AND y.n>=start_sample GROUP BY ALL"""
+
+
+@query("whole_tracks", sql("""SELECT capture_id, track, n_blocks, coalesce(n_frames,0) AS n_frames, n_samples, round(m2*1e3,6) AS mean_power, round(peak*1e3,6) AS peak,
+  round(least(greatest(10*log10(s/greatest(m2-s,1e-12)),-10),30),6)+0.0 AS snr_db, round(atan2(im,re)*32000.0/(2*pi()),4)+0.0 AS mean_hz, round(c,4)+0.0 AS centroid_hz,
+  round(share,6) AS inband_share, round(pd*1e6,6) AS peak_density, CASE WHEN n_frames IS NULL THEN 'no whole frame' ELSE 'measured' END AS status
+  FROM (SELECT *, sqrt(greatest(2*m2*m2-m4,1e-12)) AS s FROM ts) LEFT JOIN (SELECT capture_id, track, any_value(n) AS n_frames,
+    sum(power*f) FILTER (f>=lo AND f<hi)/sum(power) FILTER (f>=lo AND f<hi) AS c, sum(power) FILTER (f>=lo AND f<hi)/sum(power) AS share,
+    max(power) FILTER (f>=lo AND f<hi) AS pd FROM tf GROUP BY ALL) USING (capture_id, track)""", "merged_cells", "spec", "iq", trk=_TRK, tf=_TF, ts=_TS))
+def _(spark, d):
+    x = B.band_rows(V.blocks(spark, d), V.FS, V.NFFT, V.HOP, V.MARGIN_DB).where("fa is not null")
+    hz = lambda c: (F.col(c) - 16) * 1000.0
+    t = x.groupBy("capture_id", (F.col("fa") * 100 + F.col("fb")).cast("long").alias("track"), hz("fa").alias("lo"), hz("fb").alias("hi")).agg(
+        F.min(F.greatest("lft", F.col("f0") * V.HOP)).alias("start_sample"), F.max(F.least("rgt", F.col("f1") * V.HOP + V.NFFT)).alias("end_sample"))
+    m = WT.measure_tracks(WT.track_partials(V.blocks(spark, d), t, V.FS, V.NFFT, V.HOP, V.BLOCK), t, V.FS, V.NFFT)
+    return m.withColumns({"mean_power": r(F.col("mean_power") * 1e3), "peak": r(F.col("peak") * 1e3), "snr_db": r(F.col("snr_db")), "mean_hz": r(F.col("mean_hz"), 4),
+                          "centroid_hz": r(F.col("centroid_hz"), 4), "inband_share": r(F.col("inband_share")), "peak_density": r(F.col("peak_density") * 1e6)})
