@@ -14,6 +14,17 @@ from ..session import shared_folder
 #: bits of a broadcast Bloom filter: 8 MB whatever the input
 BLOOM_BITS = 1 << 26
 
+#: bytes of text that go to a Python worker at once; the JVM holds a batch outside its heap and grows it by doubling
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of this session by `BATCH_BYTES` where it allows larger ones: whole texts are long rows."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = (spark.conf.get(key) or "").lower().rstrip("b")
+    if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
