@@ -5,32 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sigspark.llm import decontam, mixing, ngram_join, quality, tokens
-from sigspark.llm.common import scratch, table
+from sigspark.llm.common import scratch, small_batches, table
 from sigspark.llm.queries import tokenizer_path
 
 
 def accept_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rule ensemble rejects go."""
+    small_batches(spark)
     return quality.accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate component stays, the one with the smallest doc_id."""
+    small_batches(spark)
     return ngram_join.one_of_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which a twentieth or more of the words is inside benchmark windows go."""
+    small_batches(spark)
     return decontam.without_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are repeated or left out so that sources meet their token targets."""
+    small_batches(spark)
     return mixing.mixed(docs)
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token-id files of the mix, read back: doc_id, start, n_tokens, ids_crc32 of every copy."""
+    small_batches(spark)
     return tokens.round_trip(docs, tokenizer_path()).drop("ids")
 
 
