@@ -24,6 +24,8 @@ from ..operators.spectra import BLOCK_SAMPLES, guard_length
 DATATYPES = {"cf32_le": ("<f4", 2), "cf32_be": (">f4", 2), "ci16_le": ("<i2", 2), "ci16_be": (">i2", 2),
              "rf32_le": ("<f4", 1), "ri16_le": ("<i2", 1), "cu8": ("u1", 2), "ci8": ("i1", 2)}
 MAX_MAGNITUDE = 1e12
+#: three-byte signed samples, which numpy has no type for
+PCM24 = "<i3"
 
 SCHEMA = ("path string, capture_id long, block_id long, lft long, rgt long, core_start long, core_end long, "
           "sample_rate double, i array<double>, q array<double>")
@@ -60,6 +62,20 @@ class Layout:
     rate: float
     wav: bool = False
     choice: str = "iq"
+    name: str = ""
+
+    def samples(self, raw: bytes) -> np.ndarray:
+        """[samples, channels] at full scale +-1."""
+        if self.dtype == PCM24:
+            b = np.frombuffer(raw, "u1").reshape(-1, 3).astype(np.int32)
+            v = ((b[:, 0] | b[:, 1] << 8 | b[:, 2] << 16) << 8 >> 8) / float(1 << 23)
+        else:
+            v = scale_codes(np.frombuffer(raw, self.dtype), np.dtype(self.dtype), self.wav)
+        return v.reshape(-1, self.channels)
+
+    @property
+    def stride(self) -> int:
+        return (3 if self.dtype == PCM24 else np.dtype(self.dtype).itemsize) * self.channels
 
 
 @dataclass
@@ -83,7 +99,7 @@ def wav_header(read, size: int) -> tuple[str, int, int, int, float]:
             code, channels, rate, _, _, bits = struct.unpack("<HHIIHH", read(pos + 8, 16))
             if code == 0xFFFE:
                 code = struct.unpack("<H", read(pos + 32, 2))[0]
-            fmt = ({(1, 8): "u1", (1, 16): "<i2", (1, 32): "<i4", (3, 32): "<f4", (3, 64): "<f8"}.get((code, bits)), channels, float(rate))
+            fmt = ({(1, 8): "u1", (1, 16): "<i2", (1, 24): PCM24, (1, 32): "<i4", (3, 32): "<f4", (3, 64): "<f8"}.get((code, bits)), channels, float(rate))
         elif name == b"data":
             if fmt is None or fmt[0] is None:
                 raise ValueError("unsupported WAV encoding")
@@ -101,7 +117,7 @@ class BlockReader(DataSourceReader):
     def __init__(self, options):
         self.opt = dict(options)
 
-    def _layout(self, filesystem, info) -> Layout:
+    def layout(self, filesystem, info) -> Layout:
         o, size = self.opt, info.size
         given = float(o["rate"]) if "rate" in o else None
         if info.path.lower().endswith(".wav"):
@@ -112,7 +128,13 @@ class BlockReader(DataSourceReader):
             mode = o.get("mode", "audio_left")
             if mode == "iq" and ch != 2:
                 raise ValueError(f"{info.path}: IQ mode needs two channels")
-            return Layout(info.path, dtype, ch, off, nbytes // (np.dtype(dtype).itemsize * ch), rate, True, mode)
+            if mode == "auto" and ch == 1:
+                mode = "audio_left"
+            lay = Layout(info.path, dtype, ch, off, 0, rate, True, mode)
+            lay.total = nbytes // lay.stride
+            return lay
+        if o.get("datatype") not in DATATYPES:
+            raise ValueError(f"{info.path}: unknown datatype {o.get('datatype')}")
         dtype, ch = DATATYPES[o["datatype"]]
         stride = np.dtype(dtype).itemsize * ch
         if size % stride:
@@ -138,7 +160,7 @@ class BlockReader(DataSourceReader):
         per = int(self.opt.get("blocks_per_task", 16))
         out = []
         for f in sorted(files, key=lambda f: f.path):
-            lay = self._layout(filesystem, f)
+            lay = self.layout(filesystem, f)
             guard = int(self.opt["guard"]) if "guard" in self.opt else guard_length(block, lay.rate, hop)
             n = -(-lay.total // block)
             out += [BlockRange(lay, k, min(n, k + per), block, guard) for k in range(0, n, per)]
@@ -148,34 +170,34 @@ class BlockReader(DataSourceReader):
         return self.ranges(*self.files())
 
     def read(self, part: BlockRange) -> Iterator[pa.RecordBatch]:
-        lay = part.layout
-        kind = np.dtype(lay.dtype)
-        stride = kind.itemsize * lay.channels
         filesystem, _ = open_path(self.opt["path"])
-        names = [c.split()[0] for c in SCHEMA.split(", ")]
-        with filesystem.open_input_file(lay.path) as f:
+        with filesystem.open_input_file(part.layout.path) as f:
             for b in range(part.first, part.last):
-                c0, c1 = b * part.block, min(lay.total, (b + 1) * part.block)
-                a, z = max(0, c0 - part.guard), min(lay.total, c1 + part.guard)
-                raw = f.read_at((z - a) * stride, lay.offset + a * stride)
-                if len(raw) != (z - a) * stride:
-                    raise ValueError(f"{lay.path}: capture ended unexpectedly")
-                v = scale_codes(np.frombuffer(raw, kind).reshape(-1, lay.channels), kind, lay.wav)
-                if lay.choice == "iq":
-                    i, q = v[:, 0], v[:, 1]
-                else:
-                    i = v[:, 1 if lay.choice == "audio_right" and lay.channels == 2 else 0]
-                    q = np.zeros(len(i))
-                peak = np.max(np.hypot(i, q)) if len(i) else 0.0
-                if not np.isfinite(peak):
-                    raise ValueError(f"{lay.path}: NaN or infinite samples in [{a}, {z})")
-                if peak > MAX_MAGNITUDE:
-                    raise ValueError(f"{lay.path}: sample magnitude is too large; verify the datatype")
-                one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(np.ascontiguousarray(x)))
-                cid = capture_number(lay.path)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lay.path]), *[pa.array([int(x)], pa.int64()) for x in (cid, b, a, z, c0, c1)],
-                     pa.array([lay.rate]), one(i), one(q)], names=names)
+                yield self.block_batch(f, part.layout, b, part.block, part.guard)
+
+    @staticmethod
+    def block_batch(f, lay: Layout, b: int, block: int, guard: int) -> pa.RecordBatch:
+        """Block `b` of an open file with its guards, one row."""
+        c0, c1 = b * block, min(lay.total, (b + 1) * block)
+        a, z = max(0, c0 - guard), min(lay.total, c1 + guard)
+        raw = f.read_at((z - a) * lay.stride, lay.offset + a * lay.stride)
+        if len(raw) != (z - a) * lay.stride:
+            raise ValueError(f"{lay.path}: capture ended unexpectedly")
+        v = lay.samples(raw)
+        if lay.choice == "iq":
+            i, q = v[:, 0], v[:, 1]
+        else:
+            i = v[:, 1 if lay.choice == "audio_right" and lay.channels == 2 else 0]
+            q = np.zeros(len(i))
+        peak = np.max(np.hypot(i, q)) if len(i) else 0.0
+        if not np.isfinite(peak):
+            raise ValueError(f"{lay.path}: NaN or infinite samples in [{a}, {z})")
+        if peak > MAX_MAGNITUDE:
+            raise ValueError(f"{lay.path}: sample magnitude is too large; verify the datatype")
+        one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(np.ascontiguousarray(x)))
+        return pa.RecordBatch.from_arrays(
+            [pa.array([lay.name or lay.path]), *[pa.array([int(x)], pa.int64()) for x in (capture_number(lay.path), b, a, z, c0, c1)],
+             pa.array([lay.rate]), one(i), one(q)], names=[c.split()[0] for c in SCHEMA.split(", ")])
 
 
 class BlockStreamReader(DataSourceStreamReader):

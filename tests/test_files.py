@@ -117,6 +117,61 @@ def test_new_files_to_detections_in_one_stream(spark, tmp_path):
     assert len(seen()[1]) == len(more)
 
 
+def test_mixed_folder_gives_blocks_and_error_rows(spark, tmp_path):
+    """Raw with hints, sidecars, one and two channels, 24-bit samples; and files without metadata, torn, or with bad samples."""
+    from sigspark.sources import captures as P
+    r, n = np.random.default_rng(5), 5000
+    z = np.exp(2j * np.pi * 0.07 * np.arange(n)) + 0.05 * (r.normal(size=n) + 1j * r.normal(size=n))
+    pair = np.stack([z.real, z.imag], 1)
+    code = lambda x, k: np.round(x * k / 2).astype(int)
+    raw24 = lambda x: np.ascontiguousarray(code(x, (1 << 23) - 1).astype("<i4").reshape(-1, 1)).view("u1").reshape(-1, 4)[:, :3]
+    put = lambda name, data: (tmp_path / name).write_bytes(data)
+    put("a_433.9M_250k.cu8", np.round(pair.ravel() * 60 + 127).astype("u1").tobytes())
+    put("b.sigmf-data", pair.astype("<f4").tobytes())
+    (tmp_path / "b.sigmf-meta").write_text(json.dumps({"global": {"core:datatype": "cf32_le", "core:sample_rate": 48000}, "captures": [{"core:frequency": 5}]}))
+    put("mono.wav", wav(raw24(z.real), 8000, 1, 24))
+    put("pair.wav", wav(code(pair, 32000).astype("<i2"), 96000, 2, 16))
+    put("pair24.wav", wav(raw24(pair.ravel()), 96000, 2, 24))
+    voice = np.stack([z.real, 0.7 * z.real], 1)
+    put("stereo.wav", wav(code(voice, 32000).astype("<i2"), 44100, 2, 16))
+    put("noname.cs16", np.zeros(4000, "<i2").tobytes())
+    put("c.sigmf-data", b"12345678")
+    put("torn.wav", b"RIFFxx")
+    put("odd_433.9M_250k.cs16", b"12345")
+    bad = pair.astype("<f4")
+    bad[4500] = np.nan
+    put("nan.sigmf-data", bad.tobytes())
+    (tmp_path / "nan.sigmf-meta").write_text((tmp_path / "b.sigmf-meta").read_text())
+    df = P.read_captures(spark, str(tmp_path), block=4096, guard=256, per=1)
+    rows = df.collect()
+    name = lambda x: x.path.split("/")[-1]
+    good, wrong = {}, {}
+    for x in rows:
+        (good if x.error is None else wrong).setdefault(name(x), []).append(x)
+    assert all(sorted(x.block_id for x in v) == [0, 1] for k, v in good.items() if k != "nan.sigmf-data")
+    assert set(good) >= {"a_433.9M_250k.cu8", "b.sigmf-data", "mono.wav", "pair.wav", "pair24.wav"}
+    assert {k: len(v) for k, v in wrong.items()} == {"stereo.wav": 1, "noname.cs16": 1, "c.sigmf-data": 1, "torn.wav": 1, "odd_433.9M_250k.cs16": 1, "nan.sigmf-data": len(wrong["nan.sigmf-data"])}
+    assert "ambiguous" in wrong["stereo.wav"][0].error and "missing c.sigmf-meta" in wrong["c.sigmf-data"][0].error
+    assert "not a WAV" in wrong["torn.wav"][0].error and "whole samples" in wrong["odd_433.9M_250k.cs16"][0].error
+    assert any("NaN" in x.error for x in wrong["nan.sigmf-data"])
+
+    def samples(k):
+        out = np.zeros(n, complex)
+        for x in good[k]:
+            v = np.array(x.i) + 1j * np.array(x.q)
+            out[x.core_start:x.core_end] = v[x.core_start - x.lft:x.core_end - x.lft]
+        return out
+    assert np.allclose(samples("b.sigmf-data"), z, atol=1e-6) and np.allclose(samples("pair24.wav"), z / 2, atol=1e-6)
+    assert np.allclose(samples("mono.wav"), z.real / 2, atol=1e-6) and np.allclose(samples("pair.wav"), z * 32000 / 65536, atol=1e-4)
+    assert {x.sample_rate for x in good["a_433.9M_250k.cu8"]} == {250e3} and {x.sample_rate for x in good["b.sigmf-data"]} == {48e3}
+    # what is asked for is all that is read: the condition stands before the reading operator
+    lay = P.capture_layouts(spark, str(tmp_path))
+    one = P.layout_blocks(lay.where(F.col("name") == "b.sigmf-data"), 4096, 256)
+    assert {name(x) for x in one.collect()} == {"b.sigmf-data"}
+    left = P.read_captures(spark, str(tmp_path), "audio_left", block=4096, guard=256).where("error is null").collect()
+    assert "stereo.wav" in {name(x) for x in left} and all(not any(x.q) for x in left if name(x) == "stereo.wav")
+
+
 def test_catalog_listing_and_pairs(spark, tmp_path):
     for n in ("b.sigmf-data", "a.cu8", "c.sigmf-data", "x.txt"):
         (tmp_path / n).write_bytes(b"1234")
