@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..operators.features import hilbert_blocks, iq_or_audio
 from ..operators.spectra import BLOCK_SAMPLES, guard_length
 from . import catalog as C
-from .iq import SCHEMA, BlockReader, list_captures, open_path
+from .iq import SCHEMA, BlockReader, list_captures, local_path, open_path
 
 MODES = ("auto", "iq", "audio_left", "audio_right")
 AMBIGUOUS_WAV = "WAV channels are ambiguous. Choose iq, audio_left or audio_right; no interpretation was assumed."
@@ -74,7 +74,7 @@ def layout_blocks(layouts: DataFrame, block: int = BLOCK_SAMPLES, guard: int | N
                 options |= {k: v for k, v in (("datatype", r["datatype"]), ("rate", r["rate"])) if v is not None}
                 reader = BlockReader(options)
                 try:
-                    filesystem, inner = open_path(_local(r["path"]))
+                    filesystem, inner = open_path(local_path(r["path"]))
                     lay = reader.layout(filesystem, filesystem.get_file_info(inner))
                     if lay.choice == "auto":
                         raise ValueError(AMBIGUOUS_WAV)
@@ -96,10 +96,6 @@ def layout_blocks(layouts: DataFrame, block: int = BLOCK_SAMPLES, guard: int | N
     return x.repartition("path", "slot").mapInArrow(run, ROWS)
 
 
-def _local(path: str) -> str:
-    return "/" + path.split(":", 1)[1].lstrip("/") if path.startswith("file:") else path
-
-
 def _with_error(batch: pa.RecordBatch, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*batch.columns, pa.nulls(batch.num_rows, pa.string())], schema=schema)
 

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from .iq import local_path, open_path
+
 META_SCHEMA = """struct<global:struct<`core:datatype`:string,`core:sample_rate`:double,`core:num_channels`:int,`core:offset`:long,`core:sha512`:string,`core:version`:string>,
   captures:array<struct<`core:sample_start`:long,`core:frequency`:double,`core:header_bytes`:long,`core:datetime`:string,`core::datetime`:string>>,
   annotations:array<struct<`core:sample_start`:long,`core:sample_count`:long,`core:freq_lower_edge`:double,`core:freq_upper_edge`:double,`core:label`:string,`core:comment`:string>>>"""
@@ -96,3 +102,51 @@ def sanitize_annotations(df: DataFrame, text: str, n_samples: Column) -> DataFra
                    lambda a: a["core:sample_start"] + F.coalesce(a["core:sample_count"], F.lit(0)) <= n_samples)
     caps = F.transform("_m.captures", lambda c: c.withField("`core:datetime`", F.coalesce(c["core::datetime"], c["core:datetime"])).dropFields("`core::datetime`"))
     return m.withColumns({"global": F.col("_m.global").dropFields("`core:sha512`"), "captures": caps, "annotations": ann}).drop("_m")
+
+
+#: bytes of a leaf of the hash tree, leaves read by one task row, children of a node
+LEAF_BYTES, LEAVES_PER_RANGE, FAN = 4 << 20, 16, 1024
+
+
+def file_digests(files: DataFrame, leaves: int = LEAVES_PER_RANGE) -> DataFrame:
+    """path, size, digest of files of any size (path, size), a byte range per task row.
+
+    The digest is the root of a hash tree: SHA-256 of every 4 MiB, then of up to 1,024 digests below each other, until one
+    is left; an empty file has the digest of nothing. It does not depend on how the ranges are dealt (`leaves`). A file
+    that cannot be read, or has another size by now, has NULL and the reason in `error`.
+    """
+    last = F.greatest(F.ceil(F.col("size") / LEAF_BYTES) - 1, F.lit(0)).cast("long")
+    x = files.select("path", F.col("size").cast("long").alias("size"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor(last / leaves))).alias("part"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = pa.schema([("path", pa.string()), ("size", pa.int64()), ("at", pa.int64()), ("digest", pa.string()), ("error", pa.string())])
+        for batch in batches:
+            for r in batch.to_pylist():
+                rows = []
+                try:
+                    filesystem, inner = open_path(local_path(r["path"]))
+                    with filesystem.open_input_file(inner) as f:
+                        if f.size() != r["size"]:
+                            raise OSError(f"{f.size()} bytes in place of {r['size']}")
+                        for leaf in range(r["part"] * leaves, (r["part"] + 1) * leaves):
+                            if leaf == 0 or leaf * LEAF_BYTES < r["size"]:
+                                rows.append(r | {"at": leaf, "digest": hashlib.sha256(f.read_at(LEAF_BYTES, leaf * LEAF_BYTES)).hexdigest()})
+                except OSError as e:
+                    rows = [r | {"at": r["part"], "error": str(e)}]
+                yield pa.RecordBatch.from_pylist([{n: x.get(n) for n in kinds.names} for x in rows], kinds)
+
+    nodes = x.repartition("path", "part").mapInArrow(run, "path string, size long, at long, digest string, error string")
+    nodes = nodes.withColumn("n", F.greatest(F.ceil(F.col("size") / LEAF_BYTES), F.lit(1)).cast("long"))
+    most = max(1, -(-int(files.agg(F.max("size")).first()[0] or 0) // LEAF_BYTES))
+    while most > 1:
+        nodes, most = _parents(nodes), -(-most // FAN)
+    return nodes.groupBy("path", "size").agg(F.max("error").alias("error"), F.max("digest").alias("digest")).select(
+        "path", "size", F.when(F.col("error").isNull(), F.col("digest")).alias("digest"), "error")
+
+
+def _parents(nodes: DataFrame) -> DataFrame:
+    """The next level of every file's tree; a file of which one node is left keeps it. `n` is the nodes of the file."""
+    below = F.transform(F.array_sort(F.collect_list(F.struct("at", "digest"))), lambda d: d["digest"])
+    g = nodes.groupBy("path", "size", "n", F.floor(F.col("at") / FAN).alias("at")).agg(below.alias("_d"), F.max("error").alias("error"))
+    digest = F.when(F.col("n") == 1, F.get("_d", F.lit(0))).otherwise(F.sha2(F.array_join("_d", ""), 256))
+    return g.select("path", "size", F.ceil(F.col("n") / FAN).cast("long").alias("n"), "at", digest.alias("digest"), "error")

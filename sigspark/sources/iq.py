@@ -113,6 +113,11 @@ def open_path(path: str):
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
+def local_path(path: str) -> str:
+    """A path of the local file system without its scheme; others as they are."""
+    return "/" + path.split(":", 1)[1].lstrip("/") if path.startswith("file:") else path
+
+
 class BlockReader(DataSourceReader):
     def __init__(self, options):
         self.opt = dict(options)

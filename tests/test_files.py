@@ -185,6 +185,38 @@ def test_catalog_listing_and_pairs(spark, tmp_path):
     assert [x.name for x in ok.collect()] == ["b.sigmf-data"] and [x.name for x in err.collect()] == ["c.sigmf-data"]
 
 
+def test_digests_by_byte_ranges(spark, tmp_path, monkeypatch):
+    """The same tree in a loop; a sparse file of 3 GiB, an empty one, one that is gone and one that has grown."""
+    import hashlib
+    rng = np.random.default_rng(8)
+    leaf, fan = C.LEAF_BYTES, C.FAN
+    data = {"empty": b"", "small": b"abc", "one": rng.bytes(leaf), "two": rng.bytes(leaf + 1), "odd": rng.bytes(5 * leaf + 77)}
+    for k, v in data.items():
+        (tmp_path / k).write_bytes(v)
+
+    def tree(v):
+        level = [hashlib.sha256(v[i:i + leaf]).hexdigest() for i in range(0, max(1, len(v)), leaf)]
+        while len(level) > 1:
+            level = [hashlib.sha256("".join(level[i:i + fan]).encode()).hexdigest() for i in range(0, len(level), fan)]
+        return level[0]
+    rows = [(str(tmp_path / k), len(v)) for k, v in data.items()]
+    mk = lambda r: spark.createDataFrame(r, "path string, size long")
+    want = {p: tree(data[p.split("/")[-1]]) for p, _ in rows}
+    got = {r.path: r.digest for r in C.file_digests(mk(rows + [(str(tmp_path / "gone"), 5), ("file:" + str(tmp_path / "small"), 9)])).collect()}
+    assert {p: got[p] for p in want} == want and got[str(tmp_path / "gone")] is None and got["file:" + str(tmp_path / "small")] is None
+    monkeypatch.setattr(C, "FAN", 2)  # several levels
+    fan = 2
+    want = {p: tree(data[p.split("/")[-1]]) for p, _ in rows}
+    for leaves in (1, 3):
+        assert {r.path: r.digest for r in C.file_digests(mk(rows), leaves).collect()} == want
+    monkeypatch.undo()
+    with open(tmp_path / "sparse", "wb") as f:
+        f.truncate(3 << 30)
+    zero = hashlib.sha256(bytes(leaf)).hexdigest()
+    big = hashlib.sha256((zero * 768).encode()).hexdigest()
+    assert C.file_digests(mk([(str(tmp_path / "sparse"), 3 << 30)])).first().digest == big
+
+
 def test_truth_and_manifest(spark, tmp_path):
     (tmp_path / "t.json").write_text(json.dumps({"sample_rate": 48000, "signals": [{"kind": "bpsk", "snr_db": 10}, {"kind": "fm"}]}, indent=1))
     assert [(r.kind, r.snr_db) for r in C.read_truth(spark, str(tmp_path / "t.json")).collect()] == [("bpsk", 10.0), ("fm", None)]
