@@ -113,13 +113,16 @@ def associate_tracks(det: DataFrame, group_hz: float = GROUP_HZ) -> DataFrame:
 
 
 def fold_tracks(det: DataFrame) -> DataFrame:
-    """One row per track: widest band and span, least confidence, any review or pulse flag."""
+    """One row per track: widest band and span, least confidence, any review or pulse flag; where the detections have
+    them, also the widest threshold extent and the least evidence-based confidence."""
+    more = {"extent_lo": F.min, "extent_hi": F.max, "conf_evidence": F.min}
     return det.groupBy("capture_id", "track").agg(
         F.min("start_sample").alias("start_sample"), F.max("end_sample").alias("end_sample"),
         F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("conf").alias("confidence"),
         F.bool_or("needs_review").alias("needs_review"), F.bool_or("is_pulsed").alias("is_pulsed"),
         F.min("block").alias("block_first"), F.max("block").alias("block_last"),
-        F.when(F.min("method") != F.max("method"), F.lit(MIXED_METHOD)).otherwise(F.min("method")).alias("bounds_method"))
+        F.when(F.min("method") != F.max("method"), F.lit(MIXED_METHOD)).otherwise(F.min("method")).alias("bounds_method"),
+        *[f(c).alias(c) for c, f in more.items() if c in det.columns])
 
 
 def track_envelope_pool(env: DataFrame, keys: list[str], row: Column, value: str) -> DataFrame:

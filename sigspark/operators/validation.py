@@ -34,10 +34,14 @@ def capture_health(samples: DataFrame, keys: list[str]) -> DataFrame:
     a = samples.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_samples"),
                                    F.bool_or(bad).alias("not_finite"),
                                    F.max(F.when(~bad, mag)).alias("peak"))
-    reason = (F.when(F.col("not_finite"), "contains NaN or infinite samples")
-               .when(F.col("peak") > MAX_MAGNITUDE, "sample magnitude is too large")
-               .when(F.col("n_samples") < MIN_SAMPLES, "fewer than 1,024 samples"))
-    return a.withColumn("reason", reason)
+    return a.withColumn("reason", health_reason())
+
+
+def health_reason() -> Column:
+    """First failed check of a row with not_finite, peak and n_samples."""
+    return (F.when(F.col("not_finite"), "contains NaN or infinite samples")
+             .when(F.col("peak") > MAX_MAGNITUDE, "sample magnitude is too large")
+             .when(F.col("n_samples") < MIN_SAMPLES, "fewer than 1,024 samples"))
 
 
 def validate_samples(samples: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:

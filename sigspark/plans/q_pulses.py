@@ -8,7 +8,7 @@ from ..functions.expr import r
 from ..operators import partitioning as PT, pulses as P, tracks as TR
 from . import views as V
 from .registry import query
-from .views import sql
+from .views import ORDERED_SQL, WALK_SQL, recursive, sql
 
 KEY = ["capture_id"]
 def _power():
@@ -254,20 +254,8 @@ def _(spark, d):
     return x.select("capture_id", "block", "det", "excess", "prev_det", "prev_excess", r(F.col("overlap_hz")).alias("overlap_hz"))
 
 
-# The walk of a capture spelled out: one step per detection, the list of tracks as its state. A track last seen in the block
-# before is one that is open and not taken in this block
-_STEP = """SELECT o.capture_id, 0 AS k, CAST([] AS STRUCT(lo DOUBLE, hi DOUBLE, seen BIGINT)[]) AS tracks, CAST(NULL AS BIGINT) AS took FROM ordered o WHERE o.k = 1
- UNION ALL SELECT capture_id, k, CASE WHEN hit IS NULL THEN list_append(tracks, struct_pack(lo := lo, hi := hi, seen := block))
-   ELSE list_transform(tracks, lambda t, i: CASE WHEN i = hit THEN struct_pack(lo := least(t.lo, lo), hi := greatest(t.hi, hi), seen := block) ELSE t END) END,
-   CAST(coalesce(hit - 1, len(tracks)) AS BIGINT)
- FROM (SELECT w.capture_id, o.k, o.block, o.lo, o.hi, w.tracks, list_position(list_transform(w.tracks, lambda t: t.seen = o.block - 1
-   AND least(t.hi, o.hi) - greatest(t.lo, o.lo) >= 0.5 * least(t.hi - t.lo, o.hi - o.lo)), true) AS hit
-   FROM walk w JOIN ordered o ON o.capture_id = w.capture_id AND o.k = w.k + 1)"""
-_ORDERED = "SELECT *, row_number() OVER (PARTITION BY capture_id ORDER BY block, lo, hi, det, excess) AS k FROM tdet"
-
-
-ASSOCIATE_SQL = sql("SELECT o.capture_id, o.block, o.det, w.took AS track FROM ordered o JOIN walk w USING (capture_id, k)",
-                               "detected_bands", tdet=_TDET, ordered=_ORDERED, walk=_STEP).replace("WITH ", "WITH RECURSIVE ", 1).replace("walk AS MATERIALIZED", "walk AS")
+ASSOCIATE_SQL = recursive(sql("SELECT o.capture_id, o.block, o.det, w.took AS track FROM ordered o JOIN walk w USING (capture_id, k)",
+                              "detected_bands", tdet=_TDET, ordered=ORDERED_SQL, walk=WALK_SQL))
 
 
 @query("associate_tracks", ASSOCIATE_SQL)

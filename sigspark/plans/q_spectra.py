@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from ..functions.expr import db, finite_or_null, r, baseband_to_rf, sample_to_time
 from ..operators import blockbands as B, regions as R, spectra as S, validation as VA, wholetrack as WT
 from . import views as V
+from .analyze import analyze
 from .registry import query
-from .views import sql
+from .views import ORDERED_SQL, WALK_SQL, recursive, sql
 
 DB = "10*log10(greatest({},1e-30))"
 
@@ -428,3 +429,30 @@ def _(spark, d):
     m = WT.measure_tracks(WT.track_partials(V.blocks(spark, d), t, V.FS, V.NFFT, V.HOP, V.BLOCK), t, V.FS, V.NFFT)
     return m.withColumns({"mean_power": r(F.col("mean_power") * 1e3), "peak": r(F.col("peak") * 1e3), "snr_db": r(F.col("snr_db")), "mean_hz": r(F.col("mean_hz"), 4),
                           "centroid_hz": r(F.col("centroid_hz"), 4), "inband_share": r(F.col("inband_share")), "peak_density": r(F.col("peak_density") * 1e6)})
+
+
+# The whole analysis: clamped detections, the walk over blocks, folded tracks and their measurement
+_ADET = """SELECT capture_id, block_id AS block, fa AS det, fl AS lo, fh AS hi, xl, xh, greatest(start_sample,block_id*800) AS start_sample, least(end_sample,(block_id+1)*800) AS end_sample,
+  least(greatest(0.48+0.38*(1-exp(-greatest(0,ex)/10))+0.12*occ,0),0.99) AS conf, least(greatest(0.48+0.5*(1-exp(-dev/0.2)),0),0.99) AS ev, bounds_method, ex AS excess
+  FROM bounds JOIN ev USING (capture_id, block_id, fa, fb) JOIN cv USING (capture_id, block_id, fa, fb) JOIN (
+  SELECT capture_id, block_id, fa, fb, greatest(min(lft),min(frame)*8) AS start_sample, least(max(rgt),max(frame)*8+32) AS end_sample
+  FROM merged_cells GROUP BY ALL) USING (capture_id, block_id, fa, fb) WHERE least(end_sample,(block_id+1)*800)>greatest(start_sample,block_id*800)"""
+_ATRK = """SELECT o.capture_id, w.took AS track, min(lo) AS lo, max(hi) AS hi, min(xl) AS xl, max(xh) AS xh, min(start_sample) AS start_sample, max(end_sample) AS end_sample, min(conf) AS confidence,
+  min(ev) AS ev, min(block) AS block_first, max(block) AS block_last, CASE WHEN count(DISTINCT bounds_method)>1 THEN 'mixed across blocks (union of per-block bounds)' ELSE min(bounds_method) END AS bounds_method
+  FROM ordered o JOIN walk w USING (capture_id, k) GROUP BY ALL"""
+
+
+@query("analyze_captures", recursive(sql("""SELECT t.capture_id, t.track AS id, start_sample, end_sample, round(lo,6)+0.0 AS freq_lower_hz, round(hi,6)+0.0 AS freq_upper_hz, round(xl,6)+0.0 AS freq_extent_lower_hz,
+  round(xh,6)+0.0 AS freq_extent_upper_hz, round(confidence,6) AS confidence, round(ev,6) AS confidence_evidence_based, confidence<0.7 AS needs_review, block_first, block_last, bounds_method,
+  s.n_blocks, coalesce(n_frames,0) AS n_frames, n_samples, round(m2*1e3,6) AS mean_power, round(least(greatest(10*log10(sqrt(greatest(2*m2*m2-m4,1e-12))/greatest(m2-sqrt(greatest(2*m2*m2-m4,1e-12)),1e-12)),-10),30),6)+0.0 AS snr_db,
+  round(atan2(im,re)*32000.0/(2*pi()),4)+0.0 AS mean_hz, round(c,4)+0.0 AS centroid_hz, round(share,6) AS inband_share
+  FROM trk t JOIN ts s USING (capture_id, track) LEFT JOIN (SELECT capture_id, track, any_value(n) AS n_frames,
+    sum(power*f) FILTER (f>=lo AND f<hi)/sum(power) FILTER (f>=lo AND f<hi) AS c, sum(power) FILTER (f>=lo AND f<hi)/sum(power) AS share FROM tf GROUP BY ALL) USING (capture_id, track)""",
+                                          "merged_cells", "spec", "iq", **_M, tdet=_ADET, ordered=ORDERED_SQL, walk=WALK_SQL, trk=_ATRK, tf=_TF, ts=_TS)))
+def _(spark, d):
+    a = analyze(V.blocks(spark, d), V.FS, V.NFFT, V.HOP, V.BLOCK, V.MARGIN_DB, group_hz=4000.0)
+    x = a.tracks.select("capture_id", "id", "start_sample", "end_sample", *[r(F.col(c)).alias(c) for c in (
+        "freq_lower_hz", "freq_upper_hz", "freq_extent_lower_hz", "freq_extent_upper_hz", "confidence", "confidence_evidence_based")],
+        "needs_review", "block_first", "block_last", "bounds_method", "n_blocks", "n_frames", "n_samples", r(F.col("mean_power") * 1e3).alias("mean_power"),
+        r(F.col("snr_db")).alias("snr_db"), r(F.col("mean_hz"), 4).alias("mean_hz"), r(F.col("centroid_hz"), 4).alias("centroid_hz"), r(F.col("inband_share")).alias("inband_share"))
+    return x
