@@ -272,9 +272,12 @@ def corrected_segment(blocks: DataFrame, windows: DataFrame, rate: float, residu
     """Longest window isolated to its band, residual offset removed, filter support cut off at both ends.
 
     `windows` carries lower_hz and upper_hz per capture. Samples outside the window are zeroed before the
-    filter, block by block, as if the window were a capture of its own.
+    filter, block by block, as if the window were a capture of its own. A capture whose longest window is under `min_len`
+    has one row of NULLs with the reason in `status`.
     """
-    w = longest_window(windows, ["capture_id"]).where(F.col("end_sample") - F.col("start_sample") >= min_len)
+    longest = longest_window(windows, ["capture_id"])
+    enough = F.col("end_sample") - F.col("start_sample") >= min_len
+    w = longest.where(enough)
     band = windows.select("capture_id", "lower_hz", "upper_hz").distinct()
     b = blocks.join(w.join(band, "capture_id"), "capture_id") \
         .where((F.col("core_end") > F.col("start_sample")) & (F.col("core_start") < F.col("end_sample")))
@@ -287,4 +290,6 @@ def corrected_segment(blocks: DataFrame, windows: DataFrame, rate: float, residu
     z = z.join(w.join(band, "capture_id"), "capture_id").withColumn("k", F.col("n") - F.col("start_sample"))
     z = z.where((F.col("k") >= HALF_SUPPORT) & (F.col("n") < F.col("end_sample") - HALF_SUPPORT))
     re, im = rotate(F.col("i"), F.col("q"), residual * F.col("k") / rate)
-    return z.withColumns({"i": re, "q": im}).select("capture_id", "n", "k", "i", "q")
+    z = z.withColumns({"i": re, "q": im, "status": F.lit("ok")}).select("capture_id", "n", "k", "i", "q", "status")
+    short = longest.where(~enough).select("capture_id", F.lit(f"longest window under {min_len} samples").alias("status"))
+    return z.unionByName(short, allowMissingColumns=True)

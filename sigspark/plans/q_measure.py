@@ -47,12 +47,11 @@ def _(spark, d):
 
 
 @query("snr_db", sql("""SELECT capture_id, round(o,8) AS on_power, round(CASE WHEN o>f*32000.0 THEN 10*log10((o-f*32000.0)/(f*32000.0)) END,6)+0.0 AS snr_db FROM (
-  SELECT capture_id, avg(i*i+q*q) AS o FROM iq WHERE (n>=100 AND n<900) OR (n>=1500 AND n<2600) GROUP BY 1) JOIN (SELECT capture_id, median(noise_floor)*0.8 AS f FROM floors GROUP BY 1) USING (capture_id)""", "iq", "floors"))
+  SELECT x.capture_id, avg(i*i+q*q) AS o FROM iq x JOIN loud w ON w.capture_id=x.capture_id AND x.n>=start_sample AND x.n<end_sample GROUP BY 1)
+  JOIN (SELECT capture_id, median(noise_floor)*0.8 AS f FROM floors GROUP BY 1) USING (capture_id)""", "iq", "floors", loud=V.loud_sql(7)))
 def _(spark, d):
-    c = V.catalog(spark, d)
-    w = c.select("capture_id", F.explode(F.array(F.struct(F.lit(100).alias("a"), F.lit(900).alias("b")), F.struct(F.lit(1500).alias("a"), F.lit(2600).alias("b")))).alias("w"))
-    w = w.select("capture_id", F.col("w.a").alias("a"), F.col("w.b").alias("b"))
-    on = PT.point_in_interval(V.iq(spark, d), w, ["capture_id"], "n", "a", "b", 1024).groupBy("capture_id").agg(F.avg(_power()).alias("on_power"))
+    w = V.loud_windows(spark, d, 7)
+    on = PT.point_in_interval(V.iq(spark, d), w, ["capture_id"], "n", "start_sample", "end_sample", 1024).groupBy("capture_id").agg(F.avg(_power()).alias("on_power"))
     f = V.frames(spark, d).groupBy(*BK).agg(F.first("floor").alias("f"))
     f = PT.quantiles(f, ["capture_id"], "f", {"m": 0.5}).select("capture_id", (F.col("m") * 0.8).alias("f"))
     x = on.join(f, "capture_id")

@@ -151,12 +151,11 @@ def _(spark, d):
 
 @query("tone_split", sql("""SELECT capture_id, round(l,4)+0.0 AS low_hz, round(h,4)+0.0 AS high_hz, round((l+h)/2,4)+0.0 AS centre_hz, round(h-l,4) AS split_hz,
   round((l+h)/2-((h-l)/2+1000),4)+0.0 AS band_lower_hz, round((l+h)/2+((h-l)/2+1000),4)+0.0 AS band_upper_hz FROM (SELECT capture_id, quantile_cont(s,0.15) AS l, quantile_cont(s,0.85) AS h FROM (
-  SELECT a.capture_id, a.n, avg(b.fi) AS s FROM fi a JOIN fi b ON b.capture_id=a.capture_id AND b.n BETWEEN a.n-1 AND a.n+1 AND b.n>100 AND b.n<3000
-  WHERE a.n>=104 AND a.n<2997 GROUP BY ALL) GROUP BY 1)""", "iq", fi=FI))
+  SELECT a.capture_id, a.n, avg(b.fi) AS s FROM fi a JOIN longest w ON w.capture_id=a.capture_id AND a.n>=start_sample+4 AND a.n<end_sample-3
+  JOIN fi b ON b.capture_id=a.capture_id AND b.n BETWEEN a.n-1 AND a.n+1 AND b.n>start_sample AND b.n<end_sample GROUP BY ALL) GROUP BY 1)""", "iq", fi=FI, loud=V.loud_sql(15), longest=V.LONGEST))
 def _(spark, d):
     fi = P.instantaneous_frequency(V.iq(spark, d), KEY, V.FS, 1024)
-    pk = V.catalog(spark, d).select("capture_id", F.lit(100).alias("start_sample"), F.lit(3000).alias("end_sample"))
-    t = P.tone_split(fi, pk, KEY, 1024)
+    t = P.tone_split(fi, P.longest_window(V.loud_windows(spark, d, 15), KEY), KEY, 1024)
     lo, hi = P.expected_band(F.lit("FSK2"), F.col("centre_hz"), F.col("split_hz"), F.lit(1000.0))
     t = t.withColumn("band_lower_hz", lo).withColumn("band_upper_hz", hi)
     return t.select("capture_id", *[r(F.col(c), 4).alias(c) for c in t.columns[1:]])
@@ -214,18 +213,17 @@ def _(spark, d):
     return P.joined_bursts(_windows(spark, d), KEY, 60)
 
 
-_SEG = """SELECT x.capture_id, x.n, sum(y.i*h) AS i, sum(y.q*h) AS q FROM (SELECT capture_id, n, n+m-128 AS yn, h FROM iq, taps WHERE n>=628 AND n<2372) x
-  JOIN mixed y ON y.capture_id=x.capture_id AND y.n=x.yn WHERE y.n>=500 AND y.n<2500 GROUP BY ALL"""
+_SEG = """SELECT x.capture_id, x.n, x.k, sum(y.i*h) AS i, sum(y.q*h) AS q FROM (SELECT v.capture_id, n, n+m-128 AS yn, h, n-start_sample AS k, start_sample, end_sample FROM iq v JOIN longest w
+    ON w.capture_id=v.capture_id AND end_sample-start_sample>=1280 AND n>=start_sample+128 AND n<end_sample-128, taps) x
+  JOIN mixed y ON y.capture_id=x.capture_id AND y.n=x.yn WHERE y.n>=start_sample AND y.n<end_sample GROUP BY ALL"""
 
 
-@query("corrected_segment", sql("""SELECT capture_id, n, n-500 AS k, round(i*cos(a)+q*sin(a),6)+0.0 AS i, round(q*cos(a)-i*sin(a),6)+0.0 AS q
-  FROM (SELECT *, 2*pi()*250.0*(n-500)/32000.0 AS a FROM seg)""", "iq", taps=_TAPS, mixed=_MIXED, seg=_SEG))
+@query("corrected_segment", sql("""SELECT capture_id, n, k, round(i*cos(a)+q*sin(a),6)+0.0 AS i, round(q*cos(a)-i*sin(a),6)+0.0 AS q, 'ok' AS status
+  FROM (SELECT *, 2*pi()*250.0*k/32000.0 AS a FROM seg)
+  UNION ALL SELECT capture_id, NULL, NULL, NULL, NULL, 'longest window under 1280 samples' FROM longest WHERE end_sample-start_sample<1280""",
+                                "iq", taps=_TAPS, mixed=_MIXED, loud=V.loud_sql(31, 0.5), longest=V.LONGEST, seg=_SEG))
 def _(spark, d):
-    c = V.catalog(spark, d)
-    w = c.select("capture_id", F.explode(F.array(F.struct(F.lit(500).alias("a"), F.lit(2500).alias("b")),
-                                                 F.struct(F.lit(2600).alias("a"), F.lit(3200).alias("b")))).alias("w"))
-    w = w.select("capture_id", F.col("w.a").alias("start_sample"), F.col("w.b").alias("end_sample"),
-                 F.lit(LO).alias("lower_hz"), F.lit(HI).alias("upper_hz"))
+    w = V.loud_windows(spark, d, 31, 0.5).withColumns({"lower_hz": F.lit(LO), "upper_hz": F.lit(HI)})
     return P.corrected_segment(V.blocks(spark, d), w, V.FS, F.lit(250.0)).withColumns({c: r(F.col(c)) for c in "iq"})
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import spectra as S
+from ..operators.partitioning import runs
 
 # view parameters
 FS = 32_000.0
@@ -35,6 +36,24 @@ def iq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.samples_from_chunks(chunks(spark, sf_dir))
 
 
+def loud_windows(spark: SparkSession, sf_dir: str, gap: int, share: float = 1.0) -> DataFrame:
+    """Windows of a whole recording: samples above `share` of its mean power, pauses of at most `gap` samples bridged."""
+    x = iq(spark, sf_dir).withColumn("_p", F.col("i") * F.col("i") + F.col("q") * F.col("q"))
+    m = x.groupBy("capture_id").agg(F.avg("_p").alias("_m"))
+    w = runs(x.join(m, "capture_id").where(F.col("_p") > share * F.col("_m")), ["capture_id"], "n", 1024, gap=gap)
+    return w.select("capture_id", F.col("start").alias("start_sample"), F.col("end").alias("end_sample"))
+
+
+def loud_sql(gap: int, share: float = 1.0) -> str:
+    return f"""SELECT capture_id, min(n) AS start_sample, max(n)+1 AS end_sample FROM (SELECT *, sum(new) OVER (PARTITION BY capture_id ORDER BY n) AS g FROM (
+  SELECT x.capture_id, n, CASE WHEN n-lag(n) OVER (PARTITION BY x.capture_id ORDER BY n)<={gap + 1} THEN 0 ELSE 1 END AS new FROM iq x
+  JOIN (SELECT capture_id, avg(i*i+q*q) AS m FROM iq GROUP BY 1) USING (capture_id) WHERE i*i+q*q>{share}::DOUBLE*m)) GROUP BY capture_id, g"""
+
+
+#: the longest window of a capture, the first of equal ones
+LONGEST = "SELECT * FROM loud QUALIFY row_number() OVER (PARTITION BY capture_id ORDER BY end_sample-start_sample DESC, start_sample)=1"
+
+
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = chunks(spark, sf_dir)
     return c.groupBy("capture_id").agg(F.sum(F.size("i")).alias("n_samples"))
