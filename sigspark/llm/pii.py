@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 #: kinds in the order of results; the first four are always reported once their validator accepts
-KINDS = ["email", "ip", "card", "phone", "iban", "ssn"]
+KINDS = ["email", "ip", "card", "phone", "iban", "ssn", "secret"]
 BASE = KINDS[:4]
 
 PATTERNS = {
@@ -21,15 +21,17 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    "secret": r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+",
 }
 #: cheap tests that every text with a match passes
 HINTS = {"email": "@", "ip": ".", "phone": "+", "ssn": "-"}
 
 #: score of a confirmed match before its context is read, and words that raise or lower it
-PRIOR = {"email": 0.8, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "ssn": 0.3}
+PRIOR = {"email": 0.8, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "ssn": 0.3, "secret": 0.3}
 FOR = {
     "email": "mail|contact|write", "ip": "ip|host|server|address|login", "card": "card|visa|credit|payment|karte|tarjeta|carte",
     "phone": "phone|call|tel|mobile|fax|telefon", "iban": "iban|account|bank|konto|compte|cuenta", "ssn": "ssn|social|security|taxpayer",
+    "secret": "token|secret|api|key|password|passwd|bearer|auth",
 }
 AGAINST = "version|isbn|order|serial|example|invoice|build"
 CONTEXT = 40
@@ -101,6 +103,8 @@ CONFIRM = {
     "card": lambda m: luhn(digits(m)),
     "phone": lambda m: F.length(digits(m)).between(9, 15),
     "iban": mod97,
+    # no word: letters, digits and many different ones of both
+    "secret": lambda m: m.rlike("[0-9]") & m.rlike("[A-Za-z]") & (F.size(F.array_distinct(F.split(m, ""))) >= 10),
     "ssn": lambda m: ~F.substring(m, 1, 3).isin("000", "666") & (F.substring(m, 1, 1) != "9") & (F.substring(m, 5, 2) != "00") & (F.substring(m, 8, 4) != "0000"),
 }
 
@@ -113,7 +117,12 @@ def kind_spans(text: Column, kind: str) -> Column:
 
     def span(x: Column) -> Column:
         m, start = x["m"], x["at"] + F.length(x["before"])
-        near = F.lower(F.concat(F.right(x["before"], F.lit(CONTEXT)), F.lit(" "), F.left(x["after"], F.lit(CONTEXT))))
+        if kind in BASE:  # the score of these decides nothing: the gaps to the next matches will do
+            around = F.concat(F.right(x["before"], F.lit(CONTEXT)), F.lit(" "), F.left(x["after"], F.lit(CONTEXT)))
+        else:
+            around = F.concat(F.substring(text, F.greatest(start - CONTEXT, F.lit(0)).cast("int") + 1, F.least(start, F.lit(CONTEXT)).cast("int")), F.lit(" "),
+                              F.substring(text, (start + F.length(m)).cast("int") + 1, F.lit(CONTEXT)))
+        near = F.lower(around)
         score = F.lit(PRIOR[kind]) + F.when(near.rlike(rf"\b(?:{FOR[kind]})"), SHIFT).otherwise(0.0) - F.when(near.rlike(rf"\b(?:{AGAINST})"), SHIFT).otherwise(0.0)
         return F.struct(F.lit(kind).alias("kind"), start.cast("long").alias("start"), (start + F.length(m)).cast("long").alias("end"), m.alias("value"),
                         F.least(F.lit(1.0), F.greatest(F.lit(0.0), score)).alias("score"))
@@ -137,8 +146,8 @@ def find(docs: DataFrame) -> DataFrame:
 
     Input: doc_id, text; other columns are ignored. Output per input row: doc_id, spans: array of (kind, start, end, value,
     score), positions in code points with the end exclusive, by kind in the order of `KINDS`, then start. Spans of email,
-    ip, card and phone are reported whenever their validator accepts, whatever the score; of iban and ssn when the score is
-    at least `THRESHOLD`. Null text is empty and has no spans; repeated rows give repeated results; an empty table gives an
+    ip, card and phone are reported whenever their validator accepts, whatever the score; of iban, ssn and secret when the score is
+    at least `THRESHOLD`, with the words within 40 characters on either side, other matches included. Null text is empty and has no spans; repeated rows give repeated results; an empty table gives an
     empty result.
     """
     t = F.coalesce(F.col("text").cast("string"), F.lit(""))

@@ -48,3 +48,11 @@ def test_query_columns(spark, tmp_path):
             assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in b).encode()).hexdigest()
             assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(k == x for k, _, _ in b) for x in P.BASE)
     assert P.find(df.limit(0)).count() == 0
+
+
+def test_context_reaches_over_other_matches_and_secrets_need_one(spark):
+    key = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    rows = ["SSN: 123-45-6789, 223-45-6789", "x" * 60 + " ssn " + "y" * 45 + " 123-45-6789", f'token = "{key}" and more', f"commit {key} fixed it", "token aaaaaaaaaaaaaaaaaaaaaaaa1", "secret of an" + "overlylongword" * 3]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: [(s.kind, s.start, s.value) for s in r.spans if s.kind not in P.BASE] for r in P.find(df).collect()}
+    assert got == {0: [("ssn", 5, "123-45-6789"), ("ssn", 18, "223-45-6789")], 1: [], 2: [("secret", 9, key)], 3: [], 4: [], 5: []}
