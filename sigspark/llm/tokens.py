@@ -33,8 +33,8 @@ SKIPPABLE_SEEK, SEEK_MAGIC, HAS_CHECKSUM = 0x184D2A5E, 0x8F92EAB1, 0x80
 END_ID = 1
 #: text bytes per file
 FILE_BYTES = 32 << 20
-#: words that a worker remembers with their ids, some 60 MB
-REMEMBER = 300_000
+#: words of each of the two generations that a worker remembers with their ids, some 70 MB each
+REMEMBER = 400_000
 LEVEL = 3
 
 _STRIP = ".,!#$%&*|;:?"
@@ -45,23 +45,22 @@ _PLAIN = re.compile("[a-z\u00e0-\u00f6\u00f8-\u00ff]+")
 class _Known(dict):
     """Words with their ids; a word that is not there yet is encoded when it is asked for."""
 
-    def __init__(self, encode):
+    def __init__(self, encode, older: dict | None = None):
         super().__init__({"": b""})
-        self.encode = encode
+        self.encode, self.older = encode, older or {}
 
     def __missing__(self, word: str) -> bytes:
-        ids = self[word] = self.encode(word)
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.encode(word)
+        self[word] = ids
         return ids
 
-    def halve(self) -> None:
-        """Forget the half that was learnt last: frequent words are met early."""
-        for word in list(self)[len(self) // 2:]:
-            del self[word]
-
 
 class Encoder:
     """Ids of whole texts. Neither normalisation nor splitting of these tokenizers reaches across a space, so a text is
-    encoded word by word and frequent words are looked up. What is remembered is bounded by `REMEMBER` words."""
+    encoded word by word and frequent words are looked up. What is remembered is bounded: two generations of `REMEMBER`
+    words."""
 
     _by_path: dict[str, Encoder] = {}
 
@@ -107,7 +106,7 @@ class Encoder:
         if not self.by_word:
             return self._ids(texts)
         if len(self.known) > REMEMBER:
-            self.known.halve()
+            self.known = _Known(self._word, dict(self.known))
         get = self.known.__getitem__
         return [b"".join(map(get, t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))) for t in texts]
 
